@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op4_jaccard_join
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
+}
 
 #: SQL for those that SQL can express; tests/llm holds the others against brute force.
 ORACLE: dict[str, str] = {}
