@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .jaccard_join import op4_jaccard_join
+from .substring_dedup import op3_substring_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
 }
 
