@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import op4_jaccard_join
+from .packing import op5_best_fit_packing
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op1_toxicity
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
 #: SQL for those that SQL can express; tests/llm holds the others against brute force.
