@@ -2,11 +2,12 @@
 
 Documents with equal sets of shingles are one class; classes are joined exactly:
 
-1. All shingles get a global order, rare ones first: by the logarithm of a fixed-size
-   count sketch of the whole corpus, then by hash. Any order gives the same links; the
-   sketch only keeps frequent shingles out of the prefixes. Linked sets share a shingle
-   in the first ``n - ceil(t * n) + 1`` of this order, so classes that share such a
-   shingle meet in the group of the shingle's smallest class.
+1. All shingles get a global order: first those of a pool (a quarter, by hash), the rare
+   ones before the frequent ones, then the rest by hash. Any order gives the same links;
+   this one needs exact counts of the pool alone. Linked sets share a shingle among the
+   first ``n - ceil(t * n) + 1`` of this order, so classes of fitting sizes that share such
+   a shingle meet in the group of its smallest class. Shingles of a single class lead
+   nowhere and are dropped when counted.
 2. In a group, sets lie in a prefix tree (most frequent shingle of the group first). A
    set walks the tree once for all others: paths share the overlap counted so far, and a
    subtree ends as soon as its missing or remaining shingles exclude the needed overlap.
@@ -35,13 +36,12 @@ from .common import Forest, Scratch, components
 
 @dataclass(frozen=True)
 class Settings:
-    """k: words of a shingle. num / den: the least Jaccard similarity. block: sets in a tree. sketch_bits: counters of the order's sketch."""
+    """k: words of a shingle. num / den: the least Jaccard similarity. block: sets in a tree. table_bits: size of the Bloom tables."""
 
     k: int = 3
     num: int = 90
     den: int = 100
     block: int = 1024
-    sketch_bits: int = 22
     table_bits: int = 24
 
 
@@ -57,28 +57,19 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 CHUNK = 1 << 16
 
 
-def merged(parts: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Adds up (or, for kind "or", unites) the tasks' arrays, given as rows (chunk, data); ``size`` bounds what the driver gets."""
-    dtype = np.uint8 if kind == "or" else np.uint32
+def merged(parts: DataFrame, size: int) -> np.ndarray:
+    """Unites the tasks' bit tables, given as rows (chunk, data); ``size`` bounds what the driver gets."""
 
     def unite(batches):
         table: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = np.frombuffer(zstandard.decompress(data.as_py()), dtype)
-                if chunk not in table:
-                    table[chunk] = row.copy()
-                elif kind == "or":
-                    table[chunk] |= row
-                else:
-                    table[chunk] += np.minimum(row, np.iinfo(np.uint32).max - table[chunk])
+                row = np.frombuffer(zstandard.decompress(data.as_py()), np.uint8)
+                table[chunk] = table[chunk] | row if chunk in table else row
         for chunk, row in table.items():
-            if kind == "log":
-                row = np.ceil(np.log2(row + 1.0)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zstandard.compress(row.tobytes(), 1)])], ["chunk", "data"])
 
-    n = max(1, size // CHUNK)
-    rows = parts.repartition(n, "chunk").mapInArrow(unite, "chunk int, data binary").collect()
+    rows = parts.repartition(max(1, size // CHUNK), "chunk").mapInArrow(unite, "chunk int, data binary").collect()
     out = np.zeros(size, np.uint8)
     for row in rows:
         got = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
@@ -93,48 +84,46 @@ def in_chunks(table: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)])], ["chunk", "data"])
 
 
-def frequency_sketch(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Logarithms of the counts of all shingles, summed up by hash."""
-
-    def run(batches):
-        table = np.zeros(1 << s.sketch_bits, np.uint32)
-        for batch in batches:
-            for part in V.slices(batch):
-                hashes, _, _, first = V.word_hashes(*V.text_bytes(part.column(0)))
-                sh, _ = V.shingle_hashes(hashes, first, s.k)
-                at, n = np.unique(sh >> np.uint64(64 - s.sketch_bits), return_counts=True)
-                table[at.astype(np.int64)] += n.astype(np.uint32)
-        yield from in_chunks(table)
-
-    return merged(docs.select("text").mapInArrow(run, "chunk int, data binary"), 1 << s.sketch_bits, "log")
+#: Hashes below this are the pool of the global order.
+POOL = 1 << 62
 
 
-def prefix(shingles: np.ndarray, sketch: np.ndarray, s: Settings) -> np.ndarray:
-    n = len(shingles)
-    keep = n - -(-s.num * n // s.den) + 1 if n else 0
-    if keep >= n:
-        return shingles
-    rank = sketch[(shingles >> np.uint64(64 - s.sketch_bits)).astype(np.int64)]
-    return shingles[np.lexsort((shingles, rank))[:keep]]
-
-
-def documents_of(docs: DataFrame, sketch: np.ndarray, s: Settings) -> DataFrame:
-    """(doc_id, n, sig, prefix) of every document; sig is a 128-bit digest of its set."""
+def documents_of(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, n, sig, pool) of every document: sig is a 128-bit digest of its set, pool its shingles of the pool and,
+    if they are fewer than a prefix, as many of the others as a prefix then holds."""
     import xxhash
 
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    def first(shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        return shingles[: max(int(np.searchsorted(shingles, np.uint64(POOL))), n + (-s.num * n // s.den) + 1 if n else 0)]
 
     def run(batches):
         for batch in batches:
             for part in V.slices(batch):
                 sets = shingle_sets(part.column(1), s.k)
                 sig = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-                heads = [prefix(x, shared.value, s) for x in sets]
+                heads = [first(x) for x in sets]
                 edge = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], ["doc_id", "n", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], ["doc_id", "n", "sig", "pool"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, pool array<long>")
+
+
+def prefixes(classes: DataFrame, s: Settings) -> DataFrame:
+    """(rep, n, token): those shingles of each class's prefix that other classes hold too; classes is (rep, n, pool)."""
+    from pyspark.sql import Window as W
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
+    tokens = classes.select("rep", "n", F.explode("pool").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    pooled = F.col("token").between(0, POOL - 1)
+    own = W.partitionBy("rep")
+    size = classes.select("rep", F.size(F.filter("pool", lambda x: x.between(0, POOL - 1))).alias("size"))
+    kept = tokens.join(shared, "token").withColumn("pooled", pooled)
+    ranked = kept.withColumn("at", F.row_number().over(own.orderBy(F.desc("pooled"), "df", "token"))).withColumn("common", F.count_if("pooled").over(own))
+    # The pool's shingles that no other class has come first: size - common of them.
+    room = F.expr(f"n - ({s.num} * n + {s.den - 1}) div {s.den} + 1") - (F.col("size") - F.col("common"))
+    return ranked.join(size, "rep").where(~F.col("pooled") | (F.col("at") <= room)).select("rep", "n", "token")
 
 
 def sets_of(docs: DataFrame, wanted: np.ndarray, s: Settings) -> DataFrame:
@@ -168,7 +157,7 @@ def bloom(ids: DataFrame, s: Settings) -> np.ndarray:
             np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from in_chunks(table)
 
-    return merged(ids.mapInArrow(run, "chunk int, data binary"), 1 << (s.table_bits - 3), "or")
+    return merged(ids.mapInArrow(run, "chunk int, data binary"), 1 << (s.table_bits - 3))
 
 
 # ---------------------------------------------------------------- the tree
@@ -316,15 +305,20 @@ def join(spark: SparkSession, docs: DataFrame, settings: Settings = Settings())
     """
     s, scratch = settings, Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = frequency_sketch(docs, s)
-    rows = scratch.keep(documents_of(docs, sketch, s), "rows", "lz4")
+    full = scratch.keep(documents_of(docs, s), "full", "lz4")
+    rows = scratch.keep(full.drop("pool"), "rows")
     known = rows.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    first = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    # One row a class, the smallest id's; the prefix follows from the set, so any of the copies' will do.
-    classes = known.join(first.withColumnsRenamed({"sig": "s2"}), (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s2"))).select("rep", "n", "sig", F.explode("prefix").alias("token")).distinct()
-    classes = classes.select("rep", "token")
-    tokens = classes.groupBy("token").agg(F.min("rep").alias("g"), F.max("rep").alias("last")).where("g < last").select("token", "g")
-    met = scratch.keep(classes.join(tokens, "token").select("g", "rep").distinct(), "met")
+    first = scratch.keep(known.groupBy("sig").agg(F.min("doc_id").alias("rep")), "first")
+    # A row for each class, its smallest id's.
+    classes = full.join(first.withColumnRenamed("sig", "s2"), (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s2")))
+    classes = scratch.keep(classes.dropDuplicates(["sig"]).select("rep", "n", "pool"), "classes", "lz4")
+    scratch.drop("full")
+    level = F.floor(F.log("n") / math.log(s.den / s.num) * (1 - 1e-9))  # sizes of linked sets are a level apart at most
+    heads = prefixes(classes, s).select("rep", "token", F.explode(F.array(level, level + 1)).alias("level"))
+    heads = scratch.keep(heads, "heads")
+    scratch.drop("classes")
+    tokens = heads.groupBy("token", "level").agg(F.min("rep").alias("g"), F.max("rep").alias("last")).where("g < last").select("token", "level", "g")
+    met = scratch.keep(heads.join(tokens, ["token", "level"]).select("g", "rep").distinct(), "met")
     wanted = bloom(met.select("rep").distinct(), s)
     sets = scratch.keep(sets_of(docs, wanted, s), "sets", "lz4")
     sets = sets.withColumnRenamed("doc_id", "rep")
