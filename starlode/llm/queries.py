@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
 from .jaccard_join import op4_jaccard_join
 from .packing import op5_best_fit_packing
 from .substring_dedup import op3_substring_dedup
+from .token_store import op6_token_store
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_token_store": op6_token_store,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 #: SQL for those that SQL can express; tests/llm holds the others against brute force.
