@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .fingerprints import op7_fingerprints
 from .jaccard_join import op4_jaccard_join
 from .packing import op5_best_fit_packing
 from .substring_dedup import op3_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
+    "op7_fingerprints": op7_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
