@@ -5,7 +5,7 @@
 2. Every seed that several documents hold is matched with its first occurrence (smallest
    document, then position), which is the one that stays. A seed of any number of documents
    therefore makes as many matches, not all pairs.
-3. The matches of two documents are chained in order: a match adds its weight and pays for
+3. The matches of two documents are chained in order, two at least: a match adds its weight and pays for
    the words between it and the match before; a Fenwick tree over the first document's
    positions gives the best predecessor.
 4. Chains are aligned word by word over the two texts, their ends extended, and those of at
@@ -167,7 +167,7 @@ def chains(found: DataFrame, s: Settings) -> DataFrame:
             if now is None:
                 return
             for path in chain(b, a, s):
-                if b[path[-1]] + s.k - b[path[0]] >= s.min_chain - 2 * s.k or len(path) > 1:
+                if len(path) > 1:
                     for column, value in zip(rows, (now[0], now[1], blocks(b, a, path, s.k))):
                         column.append(value)
 

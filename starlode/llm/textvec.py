@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Slices end after this many bytes of text (a longer document is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # Multipliers of the rolling and mixing hashes: fixed values.
 BASE = 0x9E3779B97F4A7C15
