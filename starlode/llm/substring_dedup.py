@@ -5,7 +5,8 @@
 2. Every seed that several documents hold is matched with its first occurrence (smallest
    document, then position), which is the one that stays. A seed of any number of documents
    therefore makes as many matches, not all pairs.
-3. The matches of two documents are chained in order, two at least: a match adds its weight and pays for
+3. A document's matches, whatever their partners, have to stand closely enough for a
+   passage (``close_runs``). The matches of two documents are chained in order: a match adds its weight and pays for
    the words between it and the match before; a Fenwick tree over the first document's
    positions gives the best predecessor.
 4. Chains are aligned word by word over the two texts, their ends extended, and those of at
@@ -15,6 +16,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,20 +158,37 @@ def blocks(b: list[int], a: list[int], path: list[int], k: int) -> list[int]:
     return out
 
 
+def close_runs(positions: list[int], s: Settings) -> list[tuple[int, int]]:
+    """Runs of matched positions (ascending) with small gaps, three at least, that a passage of min_words may hold."""
+    out, first, n, last = [], None, 0, -(1 << 40)
+    for p in [*positions, 1 << 40]:
+        if p - last > s.max_gap + s.k:
+            if n >= 3 and last + s.k - first >= s.min_words - 2 * (s.window + s.k):
+                out.append((first, last))
+            first, n = p, 0
+        n += p != last
+        last = p
+    return out
+
+
 def chains(found: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, a_doc, runs) of the chains; a document's matches go through one task as a sorted stream."""
 
     def run(batches):
-        now, b, a = None, [], []
+        now, with_ = None, {}  # the document and its matches by partner
         rows: tuple[list, list, list] = ([], [], [])
 
         def flush():
-            if now is None:
+            runs = close_runs(sorted(p for b, _ in with_.values() for p in b), s)
+            if not runs:
                 return
-            for path in chain(b, a, s):
-                if len(path) > 1:
-                    for column, value in zip(rows, (now[0], now[1], blocks(b, a, path, s.k))):
-                        column.append(value)
+            starts = [r[0] for r in runs]
+            for partner, (b, a) in with_.items():
+                for path in chain(b, a, s):
+                    at = bisect_right(starts, b[path[0]]) - 1
+                    if at >= 0 and b[path[0]] <= runs[at][1]:
+                        for column, value in zip(rows, (now, partner, blocks(b, a, path, s.k))):
+                            column.append(value)
 
         def batch_of():
             out = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int32()))], ["doc_id", "a_doc", "runs"])
@@ -185,10 +204,10 @@ def chains(found: DataFrame, s: Settings) -> DataFrame:
             for i, j in zip(edge, edge[1:]):
                 if i == j:
                     continue
-                key = (int(doc[i]), int(a_doc[i]))
-                if key != now:
+                if doc[i] != now:
                     flush()
-                    now, b, a = key, [], []
+                    now, with_ = int(doc[i]), {}
+                b, a = with_.setdefault(int(a_doc[i]), ([], []))
                 b += pos[i:j]
                 a += a_pos[i:j]
             yield batch_of()
@@ -268,7 +287,7 @@ def aligned(found: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
     c = c.join(one.withColumnRenamed("doc_id", "a_doc"), "a_doc").withColumn("a", cut("words", "a0", "a1")).drop("words")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             rows = []
             doc, a_doc, b0, a0 = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for i, (runs, b, a) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5), batch.column(6))):
