@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .chat_format import op2_chat_format
+from .embedding_dedup import op9_embedding_dedup
 from .fingerprints import op7_fingerprints
 from .jaccard_join import op4_jaccard_join
 from .packing import op5_best_fit_packing
@@ -12,12 +14,14 @@ from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
     "op7_fingerprints": op7_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 #: SQL for those that SQL can express; tests/llm holds the others against brute force.
