@@ -66,7 +66,8 @@ def _clean() -> None:
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, root), root being the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges no longer change. A step
+    Alternates large-star and small-star steps until all edges lead from a node with no
+    other edge to its root. A step
     is a minimum per node (combined before its shuffle) and a join that AQE may split, so
     a node with very many edges doesn't end up in one task. Nodes without edges, null
     ends and loops have no row.
@@ -78,25 +79,25 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return distinct(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         return distinct(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least))
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every a has one b, and no b is an a."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").limit(1).count()
 
     now = scratch.keep(small(distinct(edges.select("a", "b"))), f"{name}0")
-    seen = state(now)
-    for step in range(1, 100):
+    step = 0
+    while not stars(now):
+        step += 1
         after = scratch.keep(small(large(now)), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")
-        now, was = after, seen
-        seen = state(now)
-        if seen == was:
-            break
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -7,6 +7,7 @@ from .chat_format import op2_chat_format
 from .embedding_dedup import op9_embedding_dedup
 from .fingerprints import op7_fingerprints
 from .jaccard_join import op4_jaccard_join
+from .licenses import op10_license_scan
 from .packing import op5_best_fit_packing
 from .substring_dedup import op3_substring_dedup
 from .token_store import op6_token_store
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: SQL for those that SQL can express; tests/llm holds the others against brute force.
