@@ -1,10 +1,70 @@
-"""The corpus pipeline: each stage takes what the one before it kept."""
+"""The corpus pipeline: toxicity filter, n-gram Jaccard dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and
+returns a DataFrame: the columns of documents, but for the last one, which returns packed
+pieces. ``run`` writes every stage's result to the shared folder and reads it back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starlode.llm import common, jaccard_join, packing, substring_dedup, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 stay. The model learns from the labelled documents that are not held out."""
+    model = toxicity.model_for(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of similar shingle sets connect, the document with the smallest id stays (one row of it).
+
+    Sets are of five-word shingles at a Jaccard similarity of 0.8. Documents without words
+    or without an id stay.
+    """
+    found = jaccard_join.join(spark, docs, jaccard_join.Settings(k=5, num=80, den=100))
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    # Rows that repeat an id and its text are one document.
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document with a smaller id holds are cut out; n_chars follows the text."""
+    scratch = common.Scratch(spark, "substring")
+    found = scratch.keep(substring_dedup.passages(spark, docs, scratch=scratch), "passages")
+    cut = substring_dedup.without(docs, found)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each packed piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    import public_tokenizers
+
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_passages),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: The trained, fuzzy and packing stages have no SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = common.Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
