@@ -1 +1 @@
-
+"""Column expressions: photometric scalars, sky geometry and frame headers."""

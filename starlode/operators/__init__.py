@@ -1 +1 @@
-
+"""Relational operators over measurement, frame and catalogue tables."""

@@ -1,6 +1,524 @@
-"""The engine's queries over the driver's tables, by name, and the SQL that must give the same rows."""
+"""The engine's queries over the driver's tables, by name, and the SQL that must give the same rows.
+
+The tables are not astronomical, so views stand in: grouped ``events`` for measurements,
+``customer`` for stars, ``orders`` for frames, ``lineitem`` for calibrator observations and
+``embeddings`` for sky positions. Each has an expression here and its SQL in ``VIEWS``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar, sky
+from .operators import calibrate, depth, ensemble, match, period
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+VIEWS = {
+    "meas": """SELECT source_id, frame, band, flux, n, time, -2.5 * log10(flux) AS m_inst, 1.0857 / sqrt(flux) AS mag_err, CASE WHEN n > 2 THEN 1 ELSE 0 END AS flag
+        FROM (SELECT user_id AS source_id, strftime(ts, '%Y-%m-%d') AS frame, event_type AS band, sum(value) AS flux, count(*) AS n,
+              epoch_us(min(ts)) / 86400000000.0 - 19723 AS time FROM events GROUP BY 1, 2, 3) WHERE flux > 0""",
+    "stars": """SELECT c_custkey AS source_id, 10 + (c_acctbal - 4 * floor(c_acctbal / 4)) AS v_jkc_mag, 0.5 + 0.02 * c_nationkey AS bp_rp,
+        CASE WHEN c_mktsegment = 'MACHINERY' THEN 'VARIABLE' ELSE 'NOT_AVAILABLE' END AS phot_variable_flag, c_nationkey * 1.0 AS sep_target_arcmin, c_custkey = 7 AS is_target
+        FROM customer WHERE c_custkey IN (SELECT user_id FROM events)""",
+    "frames": """SELECT o_orderkey AS frame, o_orderpriority AS unit, o_orderstatus AS model, o_orderdate AS date_obs, 14 + (o_totalprice - 4 * floor(o_totalprice / 4)) AS v_lim_5sigma,
+        0.1 * ((o_custkey % 100) / 100.0) AS rms, 300.0 * (1 + o_custkey % 12) AS total_exptime, 18 + (o_custkey % 37) / 12.0 AS sky_sb, 2 + (o_orderkey % 29) / 10.0 AS fwhm_G FROM orders""",
+    "obs": """SELECT strftime(l_shipdate, '%Y-%m') AS frame, l_returnflag AS band, l_extendedprice AS flux, sqrt(l_extendedprice) AS snr, l_quantity AS x, l_discount * 10 AS bp_rp,
+        22 - 2.5 * log10(l_extendedprice) + 0.12 * l_discount * 10 + (l_tax - 0.04) + CASE WHEN l_quantity > 49 THEN 0.5 ELSE 0 END AS v_jkc_mag,
+        l_extendedprice * 0.7 AS max_pix_value FROM lineitem WHERE l_extendedprice > 0""",
+    "sky": """SELECT vec_id, degrees(atan2(e2, e1)) + 180 AS ra, degrees(asin(greatest(-1.0, least(1.0, e3 / sqrt(e1 * e1 + e2 * e2 + e3 * e3))))) AS dec, label
+        FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS e1, embedding[2]::DOUBLE AS e2, embedding[3]::DOUBLE AS e3 FROM embeddings)""",
+}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def positive_rest(c: str, m: int):
+    return F.col(c) - m * F.floor(F.col(c) / m)
+
+
+def meas(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    time = F.unix_micros(F.min("ts").cast("timestamp")) / 86400e6 - 19723
+    g = e.groupBy(F.col("user_id").alias("source_id"), day.alias("frame"), F.col("event_type").alias("band")).agg(F.sum("value").alias("flux"), F.count("*").alias("n"), time.alias("time"))
+    return g.where("flux > 0").withColumn("m_inst", scalar.instrumental_mag("flux")).withColumn("mag_err", scalar.mag_error(F.sqrt("flux"))).withColumn("flag", F.when(F.col("n") > 2, 1).otherwise(0))
+
+
+def stars(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").join(read(spark, d, "events").select("user_id").distinct(), F.col("c_custkey") == F.col("user_id"), "left_semi")
+    return c.select(
+        F.col("c_custkey").alias("source_id"), (10 + positive_rest("c_acctbal", 4)).alias("v_jkc_mag"), (0.5 + 0.02 * F.col("c_nationkey")).alias("bp_rp"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "VARIABLE").otherwise("NOT_AVAILABLE").alias("phot_variable_flag"),
+        F.col("c_nationkey").cast("double").alias("sep_target_arcmin"), (F.col("c_custkey") == 7).alias("is_target"),
+    )
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    cust = F.col("o_custkey")
+    return read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("frame"), F.col("o_orderpriority").alias("unit"), F.col("o_orderstatus").alias("model"), F.col("o_orderdate").alias("date_obs"),
+        (14 + positive_rest("o_totalprice", 4)).alias("v_lim_5sigma"), (0.1 * ((cust % 100) / 100.0)).alias("rms"), (300.0 * (1 + cust % 12)).alias("total_exptime"),
+        (18 + (cust % 37) / 12.0).alias("sky_sb"), (2 + (F.col("o_orderkey") % 29) / 10.0).alias("fwhm_G"),
+    )
+
+
+def obs(spark: SparkSession, d: str) -> DataFrame:
+    price = F.col("l_extendedprice")
+    return read(spark, d, "lineitem").where("l_extendedprice > 0").select(
+        F.date_format("l_shipdate", "yyyy-MM").alias("frame"), F.col("l_returnflag").alias("band"), price.alias("flux"), F.sqrt(price).alias("snr"), F.col("l_quantity").alias("x"),
+        (F.col("l_discount") * 10).alias("bp_rp"), (22 - 2.5 * F.log10(price) + 0.12 * F.col("l_discount") * 10 + (F.col("l_tax") - 0.04) + F.when(F.col("l_quantity") > 49, 0.5).otherwise(0.0)).alias("v_jkc_mag"),
+        (price * 0.7).alias("max_pix_value"),
+    )
+
+
+def sky_points(spark: SparkSession, d: str) -> DataFrame:
+    e = [F.col("embedding")[i].cast("double") for i in range(3)]
+    norm = F.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+    z = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), e[2] / norm))
+    return read(spark, d, "embeddings").select("vec_id", (F.degrees(F.atan2(e[1], e[0])) + 180).alias("ra"), F.degrees(F.asin(z)).alias("dec"), "label")
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+
+
+def query(name: str, sql: str | None = None, views: str = ""):
+    """Registers a query and its SQL, which may use the named views."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in views.split()) + " " if views else "") + sql
+        return f
+
+    return add
+
+
+def joined(sql: str, before: str) -> str:
+    """SQL whose own CTEs follow the views'."""
+    return f", {before} {sql}"
+
+
+SEP = "degrees(2 * asin(sqrt(least(greatest(pow(sin(radians({d1} - {d0}) / 2), 2) + cos(radians({d0})) * cos(radians({d1})) * pow(sin(radians({a1} - {a0}) / 2), 2), 0), 1))))"
+
+# ------------------------------------------------------------------ scalars
+
+@query("fn01_instrumental_mag", "SELECT l_orderkey, l_linenumber, round(-2.5 * log10(l_extendedprice), 6) + 0.0 AS m_inst FROM lineitem WHERE l_extendedprice > 0")
+def fn01(s, d):
+    return rounded(read(s, d, "lineitem").where("l_extendedprice > 0").select("l_orderkey", "l_linenumber", scalar.instrumental_mag("l_extendedprice").alias("m_inst")), "m_inst")
+
+
+@query("fn02_mag_error", "SELECT l_orderkey, CASE WHEN l_discount > 0 THEN round(1.0857 / l_discount, 6) END AS mag_err FROM lineitem")
+def fn02(s, d):
+    return rounded(read(s, d, "lineitem").select("l_orderkey", scalar.mag_error("l_discount").alias("mag_err")), "mag_err")
+
+
+@query("fn03_apply_calibration", "SELECT l_orderkey, round(-2.5 * log10(l_extendedprice) + 22 + 0.12 * (l_discount * 10 - 0.5), 6) + 0.0 AS mag FROM lineitem")
+def fn03(s, d):
+    m = scalar.apply_calibration(scalar.instrumental_mag("l_extendedprice"), F.lit(22.0), F.lit(0.12), F.col("l_discount") * 10, F.lit(0.5))
+    return rounded(read(s, d, "lineitem").select("l_orderkey", m.alias("mag")), "mag")
+
+
+@query("fn04_limiting_mag", "SELECT l_orderkey, round(22 - 2.5 * log10(5 * l_quantity), 6) AS v5, round(22 - 2.5 * log10(100 * l_quantity), 6) AS v100 FROM lineitem")
+def fn04(s, d):
+    q = F.col("l_quantity")
+    return rounded(read(s, d, "lineitem").select("l_orderkey", scalar.limiting_mag(F.lit(22.0), q).alias("v5"), scalar.limiting_mag(F.lit(22.0), q, 100.0).alias("v100")), "v5", "v100")
+
+
+@query("fn05_sky_brightness", "SELECT p_partkey, CASE WHEN p_retailprice - 950 > 0 THEN round(21.5 - 2.5 * log10((p_retailprice - 950) / (2.39 * 2.39)), 6) END AS sky_sb FROM part")
+def fn05(s, d):
+    return rounded(read(s, d, "part").select("p_partkey", scalar.sky_surface_brightness(F.col("p_retailprice"), F.lit(21.5), F.lit(2.39), 950.0).alias("sky_sb")), "sky_sb")
+
+
+@query("fn06_bortle", "SELECT frame, CASE WHEN sky_sb >= 21.75 THEN 1.0 WHEN sky_sb >= 21.5 THEN 2.0 WHEN sky_sb >= 21.25 THEN 3.0 WHEN sky_sb >= 20.5 THEN 4.0 WHEN sky_sb >= 19.5 THEN 5.0 WHEN sky_sb >= 18.75 THEN 6.0 WHEN sky_sb >= 18.0 THEN 7.0 WHEN sky_sb >= 17.0 THEN 8.0 ELSE 9.0 END::DOUBLE AS bortle FROM frames", "frames")
+def fn06(s, d):
+    return frames(s, d).select("frame", scalar.effective_bortle("sky_sb").alias("bortle"))
+
+
+@query("fn07_scale_limit", "SELECT frame, round(v_lim_5sigma + 1.25 * log10(900.0 / total_exptime), 6) AS v_ref FROM frames", "frames")
+def fn07(s, d):
+    return rounded(frames(s, d).select("frame", scalar.scale_limit("v_lim_5sigma", "total_exptime").alias("v_ref")), "v_ref")
+
+
+@query("fn08_haversine", f"SELECT vec_id, round({SEP.format(a0=186.6821, d0=81.474, a1='ra', d1='dec')}, 6) AS sep FROM sky", "sky")
+def fn08(s, d):
+    return rounded(sky_points(s, d).select("vec_id", sky.separation_deg(186.6821, 81.474, "ra", "dec").alias("sep")), "sep")
+
+
+@query("fn09_hpx", "SELECT l_orderkey, ((l_orderkey * 1000003 * 65536) >> 49)::INT AS hpx5 FROM lineitem")
+def fn09(s, d):
+    return read(s, d, "lineitem").select("l_orderkey", scalar.hpx_of(F.col("l_orderkey") * 1000003 * 65536).alias("hpx5"))
+
+
+@query("fn10_epoch", """SELECT vec_id, round((ra + pm * 10 / 3.6e6 / greatest(cos(radians(dec)), 1e-8)) - 360 * floor((ra + pm * 10 / 3.6e6 / greatest(cos(radians(dec)), 1e-8)) / 360), 6) AS ra, round(dec + coalesce(-pm, 0) * 10 / 3.6e6, 6) + 0.0 AS dec
+    FROM (SELECT *, label * 1000.0 AS pm FROM sky)""", "sky")
+def fn10(s, d):
+    p = sky_points(s, d).withColumn("pm", F.col("label") * 1000.0)
+    ra, dec = sky.propagate_epoch("ra", "dec", "pm", -F.col("pm"), 2026.0)
+    return rounded(p.select("vec_id", ra.alias("ra"), dec.alias("dec")), "ra", "dec")
+
+
+@query("fn18_phase_fold", "SELECT source_id, frame, band, round((time / 0.37) - floor(time / 0.37), 6) AS phase FROM meas", "meas")
+def fn18(s, d):
+    return rounded(meas(s, d).select("source_id", "frame", "band", scalar.phase_fold("time", 0.37, 0.0).alias("phase")), "phase")
+
+
+@query("fn21_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_-]', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+def fn21(s, d):
+    return read(s, d, "part").select("p_partkey", scalar.slug("p_name").alias("slug"))
+
+
+@query("fn26_vote_threshold", "SELECT p_partkey, round(greatest(8.0, e + 8 * sqrt(e)), 6) AS votes FROM (SELECT p_partkey, p_size * 20.0 * 250 / pow(2 * 500.0 / 32, 2) AS e FROM part)")
+def fn26(s, d):
+    return rounded(read(s, d, "part").select("p_partkey", scalar.vote_threshold(F.col("p_size") * 20.0, F.lit(250), F.lit(500.0)).alias("votes")), "votes")
+
+
+@query("fn30_tan_projection", """SELECT vec_id, CASE WHEN den > 0 THEN round(209 + degrees(cos(radians(dec)) * sin(radians(ra - 180)) / den) / -0.5, 4) + 0.0 END AS x,
+    CASE WHEN den > 0 THEN round(189 + degrees((cos(radians(20.0)) * sin(radians(dec)) - sin(radians(20.0)) * cos(radians(dec)) * cos(radians(ra - 180))) / den) / 0.5, 4) + 0.0 END AS y
+    FROM (SELECT *, sin(radians(20.0)) * sin(radians(dec)) + cos(radians(20.0)) * cos(radians(dec)) * cos(radians(ra - 180)) AS den FROM sky) WHERE den > 0.05""", "sky")
+def fn30(s, d):
+    w = dict(crpix1=F.lit(210.0), crpix2=F.lit(190.0), crval1=F.lit(180.0), crval2=F.lit(20.0), cd11=F.lit(-0.5), cd12=F.lit(0.0), cd21=F.lit(0.0), cd22=F.lit(0.5))
+    x, y = sky.world_to_pixel("ra", "dec", w)
+    den = F.sin(F.radians(F.lit(20.0))) * F.sin(F.radians("dec")) + F.cos(F.radians(F.lit(20.0))) * F.cos(F.radians("dec")) * F.cos(F.radians(F.col("ra") - 180))
+    return rounded(sky_points(s, d).where(den > 0.05).select("vec_id", x.alias("x"), y.alias("y")), "x", "y", digits=4)
+
+
+# ------------------------------------------------------------------ filters and projections
+
+@query("flt02_photometric", "SELECT frame, round(rms, 6) AS rms FROM frames WHERE rms < 0.06", "frames")
+def flt02(s, d):
+    return rounded(depth.photometric(frames(s, d)).select("frame", "rms"), "rms")
+
+
+COMPS = """comps AS (SELECT st.* FROM stars st, (SELECT v_jkc_mag AS tv, bp_rp AS tc FROM stars WHERE is_target) t
+    WHERE st.source_id <> 7 AND abs(st.v_jkc_mag - t.tv) <= 1.5 AND abs(st.bp_rp - t.tc) <= 0.4 AND st.phot_variable_flag <> 'VARIABLE')"""
+
+
+def comparisons(s, d) -> DataFrame:
+    return ensemble.select_comparisons(stars(s, d), dmag=1.5, colour_tol=0.4)
+
+
+@query("flt06_select_comparisons", joined("SELECT source_id, round(v_jkc_mag, 6) AS v_jkc_mag, round(bp_rp, 6) AS bp_rp FROM comps", COMPS), "stars")
+def flt06(s, d):
+    return rounded(comparisons(s, d).select("source_id", "v_jkc_mag", "bp_rp"), "v_jkc_mag", "bp_rp")
+
+
+@query("flt07_valid_measurements", "SELECT source_id, frame, n FROM meas WHERE band = 'click' AND flag <= 0", "meas")
+def flt07(s, d):
+    return ensemble.valid(meas(s, d), "click").select("source_id", "frame", "n")
+
+
+@query("flt16_semi", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def flt16(s, d):
+    return read(s, d, "part").join(read(s, d, "lineitem").where("l_quantity > 45").select("l_partkey"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+
+
+@query("flt17_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+def flt17(s, d):
+    return read(s, d, "orders").join(read(s, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("prj07_conform_flag", "SELECT c_custkey, lower(c_mktsegment) IN ('true', 't', '1', 'yes') AS as_text, c_nationkey = 1 AS as_number FROM customer")
+def prj07(s, d):
+    return read(s, d, "customer").select("c_custkey", scalar.conform_flag("c_mktsegment").alias("as_text"), scalar.conform_flag("c_nationkey").alias("as_number"))
+
+
+# ------------------------------------------------------------------ ensemble photometry
+
+def lc_sql(out: str) -> str:
+    return joined(out, f"""{COMPS}, good AS (SELECT * FROM meas WHERE band = 'click' AND flag <= 0),
+    zp AS (SELECT frame, avg(z) AS zp_ens, coalesce(stddev_samp(z), 0) AS zp_scatter, count(*) AS n_comp FROM (SELECT g.frame, c.v_jkc_mag - g.m_inst AS z FROM good g JOIN comps c USING (source_id)) GROUP BY frame HAVING count(*) >= 3),
+    lc0 AS (SELECT t.time, t.m_inst + zp_ens AS mag, sqrt(pow(t.mag_err, 2) + pow(zp_scatter / sqrt(n_comp), 2)) AS mag_err, zp_ens, zp_scatter, n_comp, frame FROM good t JOIN zp USING (frame) WHERE t.source_id = 7),
+    lc AS (SELECT *, mag - (SELECT median(mag) FROM lc0) AS dmag FROM lc0)""")
+
+
+def lightcurve(s, d) -> DataFrame:
+    return ensemble.differential_lightcurve(meas(s, d), 7, comparisons(s, d), band="click", time_col="time")
+
+
+@query("agg01_ensemble_lc", lc_sql("SELECT frame, round(time, 6) AS time, round(mag, 6) AS mag, round(mag_err, 6) AS mag_err, round(zp_ens, 6) AS zp_ens, round(zp_scatter, 6) AS zp_scatter, n_comp FROM lc"), "meas stars")
+def agg01(s, d):
+    return rounded(lightcurve(s, d).select("frame", "time", "mag", "mag_err", "zp_ens", "zp_scatter", "n_comp"), "time", "mag", "mag_err", "zp_ens", "zp_scatter")
+
+
+@query("agg02_dmag", lc_sql("SELECT frame, round(dmag, 6) + 0.0 AS dmag FROM lc"), "meas stars")
+def agg02(s, d):
+    return rounded(lightcurve(s, d).select("frame", "dmag"), "dmag")
+
+
+@query("agg02_summary", lc_sql("SELECT 7 AS target_id, 'click' AS band, (SELECT count(*) FROM comps) AS n_comp_pool, round(stddev_pop(mag), 6) AS scatter FROM lc"), "meas stars")
+def agg02_summary(s, d):
+    return rounded(ensemble.summary(lightcurve(s, d), 7, "click", comparisons(s, d)), "scatter")
+
+
+LOO = f"""{COMPS}, good AS (SELECT m.*, c.v_jkc_mag - m.m_inst AS z FROM meas m JOIN comps c USING (source_id) WHERE band = 'click' AND flag <= 0),
+    curve AS (SELECT a.source_id, a.frame, a.m_inst + avg(b.z) AS mag, avg(b.z) AS zp_ens, coalesce(stddev_samp(b.z), 0) AS zp_scatter, count(*) AS n_comp
+    FROM good a JOIN good b ON a.frame = b.frame AND a.source_id <> b.source_id GROUP BY a.source_id, a.frame, a.m_inst HAVING count(*) >= 3),
+    curves AS (SELECT *, mag - median(mag) OVER (PARTITION BY source_id) AS dmag FROM curve)"""
+
+
+def curves(s, d) -> DataFrame:
+    return ensemble.comparison_curves(meas(s, d), comparisons(s, d), band="click", time_col="time")
+
+
+@query("agg09_leave_one_out", joined("SELECT source_id, frame, round(mag, 5) AS mag, round(zp_ens, 5) AS zp_ens, round(zp_scatter, 5) AS zp_scatter, n_comp, round(dmag, 5) + 0.0 AS dmag FROM curves", LOO), "meas stars")
+def agg09(s, d):
+    return rounded(curves(s, d).select("source_id", "frame", "mag", "zp_ens", "zp_scatter", "n_comp", "dmag"), "mag", "zp_ens", "zp_scatter", "dmag", digits=5)
+
+
+RANK = "SELECT source_id, count(*) AS n, coalesce(stddev_pop(dmag), 0) AS scatter FROM curves GROUP BY source_id"
+
+
+@query("agg19_scatter_rank", joined(f'SELECT source_id, n, round(scatter, 5) AS scatter, scatter > 0.05 AS "check" FROM ({RANK})', LOO), "meas stars")
+def agg19(s, d):
+    return rounded(ensemble.scatter_ranking(curves(s, d)), "scatter", digits=5)
+
+
+@query("agg20_noise_floor", joined(f"SELECT round(min(CASE WHEN scatter > 1e-9 THEN scatter END), 5) AS floor FROM ({RANK})", LOO), "meas stars")
+def agg20(s, d):
+    ranking = ensemble.scatter_ranking(curves(s, d)).withColumn("scatter", F.when(F.col("scatter") > 1e-9, F.col("scatter")).otherwise(0.0))
+    return rounded(ensemble.noise_floor(ranking), "floor", digits=5)
+
+
+# ------------------------------------------------------------------ depth and quality
+
+@query("agg03_depth_by_group", "SELECT model, count(*) AS n, round(median(v), 6) AS v_lim, round(stddev_pop(v), 6) AS v_lim_std FROM (SELECT model, v_lim_5sigma + 1.25 * log10(900.0 / total_exptime) AS v FROM frames WHERE rms < 0.06) GROUP BY model", "frames")
+def agg03(s, d):
+    return rounded(depth.detection_limit(frames(s, d)), "v_lim", "v_lim_std")
+
+
+@query("agg04_depth_grid", "SELECT model, exptime, count(*) AS n, round(median(v), 5) AS v_lim, round(stddev_pop(v), 5) AS v_lim_std FROM (SELECT model, exptime, v_lim_5sigma + 1.25 * log10(exptime / total_exptime) AS v FROM frames, (SELECT unnest([60.0, 900.0, 3600.0, 14400.0, 57600.0])::DOUBLE AS exptime) WHERE rms < 0.06) GROUP BY model, exptime", "frames")
+def agg04(s, d):
+    return rounded(depth.limit_vs_exptime(frames(s, d)), "v_lim", "v_lim_std", digits=5)
+
+
+@query("agg06_rms_percentiles", "SELECT round(quantile_cont(rms, 0.1), 6) AS p10, round(quantile_cont(rms, 0.5), 6) AS p50, round(quantile_cont(rms, 0.9), 6) AS p90, count(*) FILTER (rms < 0.06) AS n_photometric, count(*) AS n FROM frames", "frames")
+def agg06(s, d):
+    return rounded(depth.rms_percentiles(frames(s, d)), "p10", "p50", "p90")
+
+
+@query("agg07_saturation", "SELECT frame, round(max(CASE WHEN max_pix_value >= 62258.25 THEN v_jkc_mag END), 6) AS v_sat FROM obs GROUP BY frame", "obs")
+def agg07(s, d):
+    return rounded(calibrate.saturation_mag(obs(s, d)), "v_sat")
+
+
+@query("agg08_aperture_noise", "SELECT frame, round(median(sqrt(flux)), 6) AS sigma_aper FROM obs WHERE band = 'N' GROUP BY frame", "obs")
+def agg08(s, d):
+    return rounded(obs(s, d).where("band = 'N'").groupBy("frame").agg(F.median(F.sqrt("flux")).alias("sigma_aper")), "sigma_aper")
+
+
+@query("agg10_counts", "SELECT frame, count(*) AS n FROM meas GROUP BY frame", "meas")
+def agg10(s, d):
+    return meas(s, d).groupBy("frame").agg(F.count("*").alias("n"))
+
+
+@query("agg11_distinct_ids", "SELECT DISTINCT source_id FROM meas", "meas")
+def agg11(s, d):
+    return meas(s, d).select("source_id").distinct()
+
+
+@query("agg17_histogram", """SELECT least(floor((rms - a) / ((b - a) / 40)), 39)::BIGINT AS bin, count(*) AS n FROM (SELECT round(rms, 9) AS rms FROM frames), (SELECT min(round(rms, 9)) - 0.00001 AS a, max(round(rms, 9)) + 0.0000137 AS b FROM frames) GROUP BY 1""", "frames")
+def agg17(s, d):
+    f = frames(s, d).select(F.round("rms", 9).alias("rms"))
+    low, high = f.agg(F.min("rms") - 0.00001, F.max("rms") + 0.0000137).first()
+    return period.histogram(f, "rms", 40, bounds=(low, high)).select(F.col("bin").cast("long").alias("bin"), "n")
+
+
+POINTS = """p0 AS (SELECT frame || band AS frame, v_jkc_mag - (-2.5 * log10(flux)) AS r, bp_rp AS colour, snr FROM obs WHERE v_jkc_mag BETWEEN 10 AND 14),
+    p AS (SELECT *, colour - median(colour) OVER (PARTITION BY frame) AS x, median(colour) OVER (PARTITION BY frame) AS colour0, true AS u0 FROM p0)"""
+
+
+def fit_sql(colour: bool, out: str) -> str:
+    parts, last = [POINTS], "p"
+    for i in range(3):
+        k = f"CASE WHEN regr_sxx(r, x) FILTER (u{i}) > 0 THEN regr_slope(r, x) FILTER (u{i}) END" if colour else "0.0"
+        zp = f"regr_intercept(r, x) FILTER (u{i})" if colour else f"avg(r) FILTER (u{i})"
+        parts.append(f"f{i} AS (SELECT frame, {k} AS k{i}, {zp} AS zp{i}, regr_sxx(r, x) FILTER (u{i}) AS sxx{i}, avg(x) FILTER (u{i}) AS mx{i}, count(*) FILTER (u{i}) AS n{i} FROM {last} GROUP BY frame)")
+        resid = f"r - zp{i} - k{i} * x" if colour else f"r - zp{i}"
+        parts.append(f"r{i} AS (SELECT l.*, k{i}, zp{i}, sxx{i}, mx{i}, n{i}, {resid} AS e{i} FROM {last} l JOIN f{i} USING (frame))")
+        parts.append(f"g{i} AS (SELECT *, abs(e{i}) < 3 * stddev_pop(CASE WHEN u{i} THEN e{i} END) OVER (PARTITION BY frame) AS u{i + 1} FROM r{i})")
+        last = f"g{i}"
+    parts.append("""fit AS (SELECT frame, any_value(zp2) AS zeropoint, any_value(k2) AS colour_term, any_value(colour0) AS colour0, count(*) FILTER (u3) AS n_stars, stddev_pop(e2) FILTER (u3) AS rms, any_value(n2) AS n_fit,
+        any_value(sxx2) AS sxx, any_value(mx2) AS mx, sum(e2 * e2) FILTER (u2) / nullif(any_value(n2) - 2, 0) AS s2, sum(pow(e2 * snr / 1.0857, 2)) FILTER (u3) AS chi2, stddev_pop(r) FILTER (u3) AS spread FROM g2 GROUP BY frame)""")
+    return joined(out, ", ".join(parts))
+
+
+def fit_input(s, d) -> DataFrame:
+    return obs(s, d).withColumn("frame", F.concat("frame", "band")).withColumn("band", F.lit("G")).withColumn("phot_variable_flag", F.lit("NOT_AVAILABLE"))
+
+
+FIT_OUT = "SELECT frame, round(zeropoint, 5) AS zeropoint, round(sqrt(s2 * (1.0 / n_fit + mx * mx / sxx)), 5) AS zeropoint_err, round(colour_term, 5) + 0.0 AS colour_term, round(sqrt(s2 / sxx), 5) AS colour_term_err, round(colour0, 5) AS colour0, n_stars, round(rms, 5) AS rms FROM fit WHERE n_fit > 2 AND n_stars > 0"
+
+
+@query("fit01_zeropoint", fit_sql(True, FIT_OUT), "obs")
+def fit01(s, d):
+    return rounded(calibrate.fit_zeropoint(fit_input(s, d)).select("frame", "zeropoint", "zeropoint_err", "colour_term", "colour_term_err", "colour0", "n_stars", "rms"), "zeropoint", "zeropoint_err", "colour_term", "colour_term_err", "colour0", "rms", digits=5)
+
+
+@query("fit02_clipped_mean", fit_sql(False, "SELECT frame, round(zeropoint, 4) AS zeropoint, round(spread / sqrt(n_stars), 4) AS zeropoint_err, n_stars, round(rms, 4) AS rms FROM fit WHERE n_stars > 0"), "obs")
+def fit02(s, d):
+    return rounded(calibrate.fit_zeropoint(fit_input(s, d).drop("bp_rp")).select("frame", "zeropoint", "zeropoint_err", "n_stars", "rms"), "zeropoint", "zeropoint_err", "rms", digits=4)
+
+
+@query("fit03_chi2", fit_sql(True, "SELECT frame, round(chi2 / greatest(n_stars - 2, 1), 3) AS chi2_red FROM fit WHERE n_fit > 2 AND n_stars > 0"), "obs")
+def fit03(s, d):
+    return rounded(calibrate.fit_zeropoint(fit_input(s, d)).select("frame", "chi2_red"), "chi2_red", digits=3)
+
+
+@query("fit05_depth_model")
+def fit05(s, d):
+    return depth.fit_depth_model(frames(s, d), keys=("unit",))
+
+
+@query("fit06_trend", "SELECT unit, round(regr_slope(v_lim_5sigma, sky_sb), 6) + 0.0 AS slope, round(regr_intercept(v_lim_5sigma, sky_sb), 6) AS intercept, count(*) AS n FROM frames GROUP BY unit HAVING count(*) > 5", "frames")
+def fit06(s, d):
+    from .operators import diagnostics
+
+    return rounded(diagnostics.trend(frames(s, d), "sky_sb", "v_lim_5sigma", ("unit",)), "slope", "intercept")
+
+
+# ------------------------------------------------------------------ series
+
+@query("win02_running_median")
+def win02(s, d):
+    return rounded(period.running_median(meas(s, d), "time", "m_inst", ("band",), ("source_id",)), "x", "y")
+
+
+ORACLE["win02_running_median"] = f"""WITH meas AS ({VIEWS['meas']}), i AS (SELECT band, time, m_inst, count(*) OVER (PARTITION BY band) AS c, row_number() OVER (PARTITION BY band ORDER BY time, m_inst, source_id) - 1 AS i FROM meas),
+    k AS (SELECT *, greatest(c // 20, 4) AS k FROM i WHERE c > 20), t AS (SELECT *, CASE WHEN i < (c % k) * (c // k + 1) THEN i // (c // k + 1) ELSE (c % k) + (i - (c % k) * (c // k + 1)) // (c // k) END + 1 AS tile FROM k)
+    SELECT band, tile, round(median(time), 6) AS x, round(median(m_inst), 6) AS y, count(*) AS n FROM t GROUP BY band, tile"""
+
+
+@query("win05_relative_time", "SELECT source_id, frame, band, round(time - (SELECT floor(min(time)) FROM meas), 6) AS rel_time FROM meas", "meas")
+def win05(s, d):
+    return rounded(period.relative_time(meas(s, d)).select("source_id", "frame", "band", "rel_time"), "rel_time")
+
+
+PG = """pts AS (SELECT time - (SELECT min(time) FROM lc) AS t, dmag AS y FROM lc), span AS (SELECT max(t) AS base, count(*) AS n FROM pts),
+    grid AS (SELECT 1.0 / base + unnest(range(0, 1 + round((1.0 / 0.5 - 1.0 / base) * base * 10)::BIGINT)) / (base * 10) AS frequency FROM span),
+    m AS (SELECT frequency, avg(cos(a)) AS c, avg(sin(a)) AS s, avg(y) AS y, avg(y * y) AS yy, avg(y * cos(a)) AS yc, avg(y * sin(a)) AS ys, avg(cos(a) * cos(a)) AS cc, avg(sin(a) * sin(a)) AS ss, avg(cos(a) * sin(a)) AS cs
+        FROM (SELECT frequency, y, 2 * pi() * frequency * t AS a FROM grid, pts) GROUP BY frequency),
+    q AS (SELECT frequency, yy - y * y AS yy, yc - y * c AS yc, ys - y * s AS ys, cc - c * c AS cc, ss - s * s AS ss, cs - c * s AS cs FROM m)"""
+
+
+@query("fit07_periodogram", lc_sql("SELECT round(frequency, 6) AS frequency, round((ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)), 5) AS power FROM q WHERE yy * (cc * ss - cs * cs) > 1e-9").replace(" SELECT round(frequency", f", {PG} SELECT round(frequency"), "meas stars")
+def fit07(s, d):
+    pg = period.periodogram(lightcurve(s, d), min_period=0.5)
+    return rounded(rounded(pg.where("power IS NOT NULL").select("frequency", "power"), "frequency"), "power", digits=5)
+
+
+@query("dia19_phase_bins", lc_sql("SELECT (bin + 0.5) / 25 AS phase, round(avg(dmag), 6) + 0.0 AS mean, count(*) AS n FROM (SELECT dmag, floor((time / 3.7 - floor(time / 3.7)) * 25) AS bin FROM lc) GROUP BY bin"), "meas stars")
+def dia19(s, d):
+    return rounded(period.phase_bins(period.fold(lightcurve(s, d), 3.7, 0.0)), "mean")
+
+
+# ------------------------------------------------------------------ joins on the sky and in pixels
+
+def sides(s, d):
+    p = sky_points(s, d)
+    det = p.where("vec_id % 2 = 0").select(F.col("vec_id").alias("det_id"), "ra", "dec")
+    cat = p.where("vec_id % 2 = 1").select(F.col("vec_id").alias("source_id"), "ra", "dec", F.when(F.col("label") != 3, F.col("label") + 10.0).alias("v_jkc_mag"))
+    return det, cat
+
+
+XM = f"""near AS (SELECT det_id, arg_min(struct_pack(sep, id, v), struct_pack(sep, id)) AS b FROM (SELECT d.vec_id AS det_id, c.vec_id AS id, CASE WHEN c.label <> 3 THEN c.label + 10.0 END AS v,
+    {SEP.format(a0="d.ra", d0="d.dec", a1="c.ra", d1="c.dec")} * 3600 AS sep FROM (SELECT * FROM sky WHERE vec_id % 2 = 0) d, (SELECT * FROM sky WHERE vec_id % 2 = 1) c) GROUP BY det_id)"""
+
+
+@query("join01_crossmatch", joined("SELECT det_id, round(b.sep, 3) AS sep_arcsec, coalesce(CASE WHEN b.sep < 7200 THEN b.id END, -1) AS source_id, CASE WHEN b.sep < 7200 THEN b.v END AS v_jkc_mag FROM near", XM), "sky")
+def join01(s, d):
+    det, cat = sides(s, d)
+    return rounded(match.crossmatch(det, cat, "det_id", 7200.0, ("source_id", "v_jkc_mag"), radii_deg=(4.0, 16.0)).select("det_id", "sep_arcsec", F.coalesce("source_id", F.lit(-1)).alias("source_id"), "v_jkc_mag"), "sep_arcsec", digits=3)
+
+
+@query("agg05_match_quality", joined("SELECT round(quantile_cont(b.sep, 0.5), 3) AS sep_median, round(quantile_cont(b.sep, 0.9), 3) AS sep_p90, round(avg((b.sep < 7200)::INT), 6) AS matched_frac, count(*) AS n FROM near", XM), "sky")
+def agg05(s, d):
+    det, cat = sides(s, d)
+    q = match.match_quality(match.crossmatch(det, cat, "det_id", 7200.0, ("source_id",), radii_deg=(4.0, 16.0)), 7200.0)
+    return rounded(rounded(q, "sep_median", "sep_p90", digits=3), "matched_frac")
+
+
+def pixels(s, d):
+    det, cat = sides(s, d)
+    return det.select("det_id", F.col("ra").alias("x"), F.col("dec").alias("y")), cat.select(F.col("source_id").alias("cat_id"), F.col("ra").alias("cx"), F.col("dec").alias("cy"))
+
+
+@query("join02_pairs", """, pairs AS (SELECT d.vec_id AS det_id, c.vec_id AS cat_id, sqrt(pow(d.ra - c.ra, 2) + pow(d.dec - c.dec, 2)) AS dist FROM sky d JOIN sky c ON d.vec_id % 2 = 0 AND c.vec_id % 2 = 1),
+    one AS (SELECT * FROM pairs WHERE dist <= 5 QUALIFY row_number() OVER (PARTITION BY cat_id ORDER BY dist, det_id) = 1)
+    SELECT det_id, cat_id, round(dist, 6) AS dist FROM one QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY dist, cat_id) = 1""", "sky")
+def join02(s, d):
+    return rounded(match.pair_up(*pixels(s, d), 5.0), "dist")
+
+
+@query("join03_offset_vote")
+def join03(s, d):
+    det, cat = pixels(s, d)
+    top = lambda df, c: df.orderBy(c).limit(250)  # noqa: E731 the brightest of a field
+    return match.offset_vote(top(det, "det_id"), top(cat, "cat_id").select(F.col("cx").alias("px"), F.col("cy").alias("py")), 160.0)
+
+
+@query("join11_nn", "SELECT a.vec_id AS det_id, round(min(sqrt(pow(a.ra - b.ra, 2) + pow(a.dec - b.dec, 2))) FILTER (sqrt(pow(a.ra - b.ra, 2) + pow(a.dec - b.dec, 2)) <= 20), 6) AS nn_dist FROM sky a JOIN sky b ON a.vec_id <> b.vec_id AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 0 GROUP BY 1", "sky")
+def join11(s, d):
+    return rounded(match.nearest_neighbour(pixels(s, d)[0], 20.0, "det_id"), "nn_dist")
+
+
+@query("join04_lookup", "SELECT l_orderkey, l_linenumber, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10")
+def join04(s, d):
+    return read(s, d, "lineitem").join(read(s, d, "part").where("p_size < 10"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand", "p_size")
+
+
+@query("join06_dict", joined("SELECT m.source_id, m.frame, round(c.v_jkc_mag, 6) AS cat FROM meas m JOIN comps c USING (source_id)", COMPS), "meas stars")
+def join06(s, d):
+    return rounded(meas(s, d).join(ensemble.reference_mags(comparisons(s, d), "v_jkc_mag"), "source_id").select("source_id", "frame", "cat"), "cat")
+
+
+@query("join07_frame_join", "SELECT m.frame, count(*) AS n, round(avg(zp), 6) AS zp FROM meas m JOIN (SELECT frame, avg(m_inst) AS zp FROM meas GROUP BY frame) f USING (frame) GROUP BY m.frame", "meas")
+def join07(s, d):
+    m = meas(s, d)
+    return rounded(m.join(m.groupBy("frame").agg(F.avg("m_inst").alias("zp")), "frame").groupBy("frame").agg(F.count("*").alias("n"), F.avg("zp").alias("zp")), "zp")
+
+
+@query("cat05_cone", f"SELECT vec_id, round(sep, 6) AS sep FROM (SELECT vec_id, label, {SEP.format(a0=120.0, d0=10.0, a1='ra', d1='dec')} AS sep FROM sky) WHERE sep <= 40 AND label < 8", "sky")
+def cat05(s, d):
+    p = sky_points(s, d).withColumn("sep", sky.separation_deg(120.0, 10.0, "ra", "dec"))
+    return rounded(p.where("sep <= 40 AND label < 8").select("vec_id", "sep"), "sep")
+
+
+# ------------------------------------------------------------------ sets, sorts, limits
+
+@query("set01_union", "SELECT s_suppkey AS key, s_name AS name, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def set01(s, d):
+    a = read(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    return a.unionByName(read(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), allowMissingColumns=True)
+
+
+@query("set02_unique", "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def set02(s, d):
+    first = F.min(F.struct("l_orderkey", "l_linenumber")).alias("f")
+    return read(s, d, "lineitem").groupBy("l_partkey").agg(first).select("l_partkey", "f.l_orderkey", "f.l_linenumber")
+
+
+@query("srt05_top_n", "SELECT band, source_id, frame, round(flux, 4) AS flux FROM meas QUALIFY row_number() OVER (PARTITION BY band ORDER BY round(flux, 4) DESC, source_id, frame) <= 20", "meas")
+def srt05(s, d):
+    from pyspark.sql import Window as W
+
+    m = meas(s, d).withColumn("flux", F.round("flux", 4))
+    return m.withColumn("r", F.row_number().over(W.partitionBy("band").orderBy(F.desc("flux"), "source_id", "frame"))).where("r <= 20").select("band", "source_id", "frame", "flux")
+
+
+@query("srt07_worst", joined(f"SELECT source_id, round(scatter, 5) AS scatter FROM ({RANK}) ORDER BY round(scatter, 5) DESC, source_id LIMIT 16", LOO), "meas stars")
+def srt07(s, d):
+    return rounded(ensemble.scatter_ranking(curves(s, d)), "scatter", digits=5).orderBy(F.desc("scatter"), "source_id").limit(16).select("source_id", "scatter")
+
+
+@query("srt08_strided", "SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, ceil((SELECT count(*) FROM embeddings) / 60.0)::BIGINT AS k FROM embeddings) WHERE i % k = 0")
+def srt08(s, d):
+    from .operators.solve import strided
+
+    return strided(read(s, d, "embeddings").select("vec_id"), "vec_id", 60)
+
