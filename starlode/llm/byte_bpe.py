@@ -1,14 +1,15 @@
 """Byte-level BPE by a shuffle of distinct words, and decoding by the token-byte table.
 
-1. Blocks of documents become their distinct pre-tokens (word, block, number in the block)
-   and a stream: the numbers of all pre-tokens in order.
-2. The words are shuffled by value, so all blocks' copies of a word stand together; it is
-   encoded once and its ids go to every block that has it. A word occurs once in a block
+1. Groups of consecutive documents become their distinct pre-tokens (word, group, number
+   in the group) and streams, one for each block of documents: the numbers of all its
+   pre-tokens in order, which are their positions.
+2. The words are shuffled by value, so all groups' copies of a word stand together; it is
+   encoded once and its ids go to every group that has it. A word occurs once in a group
    at most, so no word, however frequent, makes a task much larger than others.
-3. Ids and stream of a block meet, and each document's ids follow from its positions.
+3. Ids and streams of a group meet, and each document's ids follow from its positions.
 
-Blocks are the same each time the input is scanned; ``docs`` has to be such an input (a
-table's scan). Blocks whose words and ids don't fit raise an error.
+Groups are the same each time the input is scanned; ``docs`` has to be such an input (a
+table's scan). Groups whose words and ids don't fit raise an error.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from . import textvec as V
 
-#: Bytes of text in a block.
-BLOCK = 12 << 20
+#: Bytes of text in a block; a group takes no further block beyond this many words.
+BLOCK, WORDS = 4 << 20, 400_000
+#: Streams stand behind the words of their group.
+STREAM = 1 << 30
 
 
 @lru_cache(maxsize=2)
@@ -48,28 +51,32 @@ def encoding(path: str, pattern: str):
 
 
 def blocks(docs: DataFrame, want: str) -> DataFrame:
-    """(block, idx, data): for "words" each block's distinct pre-tokens, for "streams" a row with idx -1."""
+    """(block, idx, data), block being the group: for "words" its distinct pre-tokens, for "streams" its blocks (idx from STREAM on)."""
 
     def run(batches):
-        made = 0
+        made, known, at = 0, {}, 0
         for batch in batches:
             for part in V.slices(batch, limit=BLOCK):
-                block = (part.column(2)[0].as_py() << 32) + made
+                if len(known) > WORDS:
+                    made, known, at = made + 1, {}, 0
+                group = (part.column(2)[0].as_py() << 32) + made
                 array, first, _ = V.pieces(part.column(1).to_pylist(), True)
                 coded = array.dictionary_encode()
-                n = len(coded.dictionary)
+                words, before = coded.dictionary.to_pylist(), len(known)
+                number = np.array([known.setdefault(w, len(known)) for w in words], "<i4")
                 if want == "words":
-                    data, idx = coded.dictionary.cast(pa.binary()), np.arange(n, dtype=np.int32)
+                    new = number >= before
+                    data, idx = coded.dictionary.filter(pa.array(new)).cast(pa.binary()), number[new]
                 else:
-                    order = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
+                    order = number[coded.indices.to_numpy(zero_copy_only=False)]
                     planes = np.ascontiguousarray(order.view(np.uint8).reshape(-1, 4).T)  # like bytes of the numbers together
                     ids = part.column(0)
-                    known = ids.is_valid().to_numpy(zero_copy_only=False)
-                    head = np.array([n, part.num_rows, len(order)], "<i8").tobytes()
-                    blob = head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + known.tobytes() + planes.tobytes()
-                    data, idx = pa.array([zstandard.compress(blob, 3)], pa.binary()), np.array([-1], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), block)), pa.array(idx), data], ["block", "idx", "data"])
-                made += 1
+                    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+                    head = np.array([len(known), part.num_rows, len(order)], "<i8").tobytes()
+                    blob = head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + planes.tobytes()
+                    data, idx = pa.array([zstandard.compress(blob, 6)], pa.binary()), np.array([STREAM + at], np.int32)
+                    at += 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), group)), pa.array(idx), data], ["block", "idx", "data"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     return plain.mapInArrow(run, "block long, idx int, data binary")
@@ -94,47 +101,48 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """(doc_id, ids): every document's ids, little-endian 16-bit; a block's stream stands before its words' ids."""
+    """(doc_id, ids): every document's ids, little-endian 16-bit; the ids of a group's words stand before its streams."""
 
-    def rebuild(stream: bytes, ids: list[bytes]):
+    def rebuild(stream: bytes, sizes: np.ndarray, begin: np.ndarray, values: np.ndarray):
         raw = zstandard.decompress(stream)
         n, rows, total = np.frombuffer(raw, "<i8", 3).tolist()
-        if len(ids) != n:
-            raise ValueError("a block's words and ids don't fit; is the input the same at every scan?")
+        if len(sizes) < n:
+            raise ValueError("a group's words and ids don't fit; is the input the same at every scan?")
         at = 24
         first = np.frombuffer(raw, "<i8", rows + 1, at)
         at += 8 * (rows + 1)
         docs = np.frombuffer(raw, "<i8", rows, at)
         at += 8 * rows
-        known = np.frombuffer(raw, bool, rows, at)
+        valid = np.frombuffer(raw, bool, rows, at)
         at += rows
         order = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * total, at).reshape(4, -1).T).view("<i4").ravel()
-        sizes = np.array([len(x) // 2 for x in ids], np.int64)
-        values = np.frombuffer(b"".join(ids), "<u2")
-        all_ids = V.gather(order, sizes, values, np.cumsum(sizes) - sizes)
+        all_ids = V.gather(order, sizes, values, begin)
         edge = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)[first]
         for i in range(0, rows, 512):
             j = min(i + 512, rows)
             data = [all_ids[edge[d] : edge[d + 1]].tobytes() for d in range(i, j)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[i:j], mask=~known[i:j]), pa.array(data, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[i:j], mask=~valid[i:j]), pa.array(data, pa.binary())], ["doc_id", "ids"])
 
     def run(batches):
-        now, stream, ids = None, None, []
+        now, sizes, values, ready = None, [], [], None
         for batch in batches:
-            block, data = batch.column(0).to_numpy(), batch.column(2)
-            edge = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            group, idx, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            edge = [0, *(np.flatnonzero((group[1:] != group[:-1]) | ((idx[1:] >= STREAM) & (idx[:-1] < STREAM))) + 1).tolist(), len(group)]
             for i, j in zip(edge, edge[1:]):
                 if i == j:
                     continue
-                own = data.slice(i, j - i).to_pylist()
-                if block[i] != now:
-                    if stream is not None:
-                        yield from rebuild(stream, ids)
-                    now, stream, ids = int(block[i]), own[0], own[1:]
-                else:
-                    ids += own
-        if stream is not None:
-            yield from rebuild(stream, ids)
+                if group[i] != now:
+                    now, sizes, values, ready = int(group[i]), [], [], None
+                if idx[i] < STREAM:
+                    flat, offsets = V.text_bytes(data.slice(i, j - i))
+                    sizes.append(np.diff(offsets) // 2)
+                    values.append(flat.tobytes())
+                    continue
+                if ready is None:
+                    size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+                    ready = size, np.cumsum(size) - size, np.frombuffer(b"".join(values), "<u2")
+                for k in range(i, j):
+                    yield from rebuild(data[k].as_py(), *ready)
 
     return parts.repartition("block").sortWithinPartitions("block", "idx").mapInArrow(run, "doc_id long, ids binary")
 

@@ -38,7 +38,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 def text_offsets(column: pa.Array) -> np.ndarray:
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     raw = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
     return raw[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
@@ -46,7 +46,7 @@ def text_offsets(column: pa.Array) -> np.ndarray:
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes and len+1 offsets; null texts have no bytes."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = text_offsets(column)
