@@ -1 +1 @@
-
+"""Sources and sinks: image files, catalogue datasets and tables."""

@@ -1 +1 @@
-
+"""Incremental reductions by Structured Streaming."""
