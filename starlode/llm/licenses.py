@@ -75,7 +75,7 @@ SIGNS = "licen[cs]e|permission|redistribution|software|cc0|licensed|warranty"
 class Settings:
     """joined: consecutive sentences tried together. gap: foreign sentences allowed between two of a rule."""
 
-    joined: int = 12
+    joined: int = 32
     gap: int = 3
 
 
