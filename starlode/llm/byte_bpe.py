@@ -51,7 +51,11 @@ def encoding(path: str, pattern: str):
 
 
 def blocks(docs: DataFrame, want: str) -> DataFrame:
-    """(block, idx, data), block being the group: for "words" its distinct pre-tokens, for "streams" its blocks (idx from STREAM on)."""
+    """(at, data): for "words" each group's distinct pre-tokens, for "streams" its blocks.
+
+    ``at`` holds the group (20 bits of the scan's partition, 12 of the group in it) and, in
+    31 bits, the word's number or, from STREAM on, that of the block.
+    """
 
     def run(batches):
         made, known, at = 0, {}, 0
@@ -59,7 +63,9 @@ def blocks(docs: DataFrame, want: str) -> DataFrame:
             for part in V.slices(batch, limit=BLOCK):
                 if len(known) > WORDS:
                     made, known, at = made + 1, {}, 0
-                group = (part.column(2)[0].as_py() << 32) + made
+                if made >= 1 << 12:
+                    raise ValueError("over 4096 groups in one partition; scan the input in smaller ones")
+                group = ((part.column(2)[0].as_py() << 12) + made) << 31
                 array, first, _ = V.pieces(part.column(1).to_pylist(), True)
                 coded = array.dictionary_encode()
                 words, before = coded.dictionary.to_pylist(), len(known)
@@ -74,30 +80,30 @@ def blocks(docs: DataFrame, want: str) -> DataFrame:
                     valid = ids.is_valid().to_numpy(zero_copy_only=False)
                     head = np.array([len(known), part.num_rows, len(order)], "<i8").tobytes()
                     blob = head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + planes.tobytes()
-                    data, idx = pa.array([zstandard.compress(blob, 6)], pa.binary()), np.array([STREAM + at], np.int32)
+                    data, idx = pa.array([zstandard.compress(blob, 9)], pa.binary()), np.array([STREAM + at], np.int32)
                     at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), group)), pa.array(idx), data], ["block", "idx", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(group + idx.astype(np.int64)), data], ["at", "data"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    return plain.mapInArrow(run, "block long, idx int, data binary")
+    return plain.mapInArrow(run, "at long, data binary")
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(block, idx, data): the ids of each word (16 bits each), encoded once for all blocks that stand together."""
+    """(at, data): the ids of each word (16 bits each), encoded once for all groups that stand together."""
 
     def run(batches):
         encode = encoding(path, pattern)._core_bpe.encode_single_piece
         last, got = None, b""
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
+            coded = batch.column(1).dictionary_encode()
             ids = []
             for word in coded.dictionary.to_pylist():
                 if word != last:
                     last, got = word, np.array(encode(word), "<u2").tobytes()
                 ids.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "idx", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()).take(coded.indices)], ["at", "data"])
 
-    return words.repartition("data").sortWithinPartitions("data").mapInArrow(run, "block long, idx int, data binary")
+    return words.repartition("data").sortWithinPartitions("data").mapInArrow(run, "at long, data binary")
 
 
 def assemble(parts: DataFrame) -> DataFrame:
@@ -126,7 +132,8 @@ def assemble(parts: DataFrame) -> DataFrame:
     def run(batches):
         now, sizes, values, ready = None, [], [], None
         for batch in batches:
-            group, idx, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            at, data = batch.column(0).to_numpy(), batch.column(1)
+            group, idx = at >> 31, at & ((1 << 31) - 1)
             edge = [0, *(np.flatnonzero((group[1:] != group[:-1]) | ((idx[1:] >= STREAM) & (idx[:-1] < STREAM))) + 1).tolist(), len(group)]
             for i, j in zip(edge, edge[1:]):
                 if i == j:
@@ -144,7 +151,7 @@ def assemble(parts: DataFrame) -> DataFrame:
                 for k in range(i, j):
                     yield from rebuild(data[k].as_py(), *ready)
 
-    return parts.repartition("block").sortWithinPartitions("block", "idx").mapInArrow(run, "doc_id long, ids binary")
+    return parts.repartition(F.shiftright("at", 31)).sortWithinPartitions("at").mapInArrow(run, "doc_id long, ids binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
