@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar, sky
-from .operators import calibrate, depth, ensemble, match, period
+from .operators import calibrate, depth, diagnostics, ensemble, growth, match, period
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -377,8 +377,6 @@ def fit05(s, d):
 
 @query("fit06_trend", "SELECT unit, round(regr_slope(v_lim_5sigma, sky_sb), 6) + 0.0 AS slope, round(regr_intercept(v_lim_5sigma, sky_sb), 6) AS intercept, count(*) AS n FROM frames GROUP BY unit HAVING count(*) > 5", "frames")
 def fit06(s, d):
-    from .operators import diagnostics
-
     return rounded(diagnostics.trend(frames(s, d), "sky_sb", "v_lim_5sigma", ("unit",)), "slope", "intercept")
 
 
@@ -522,3 +520,137 @@ def srt08(s, d):
 
     return strided(read(s, d, "embeddings").select("vec_id"), "vec_id", 60)
 
+
+
+# ------------------------------------------------------------------ growth curves, widths, reports
+
+STARS_SQL = """star AS (SELECT l_returnflag AS band, l_suppkey AS star, l_linenumber AS radius, sum(l_quantity) * l_linenumber AS flux FROM lineitem GROUP BY 1, 2, 3),
+    cog AS (SELECT band, radius, median(frac) AS flux_frac, stddev_pop(frac) AS flux_frac_std, count(*) AS n_stars FROM (SELECT *, flux / arg_max(flux, radius) OVER (PARTITION BY band, star) AS frac FROM star) GROUP BY band, radius)"""
+
+
+def growth_rows(s, d) -> DataFrame:
+    rows = read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("band"), F.col("l_suppkey").alias("star"), F.col("l_linenumber").alias("radius")).agg((F.sum("l_quantity") * F.first("l_linenumber")).alias("flux"))
+    return growth.median_growth(rows, ("band",))
+
+
+@query("agg13_curve_of_growth", f"WITH {STARS_SQL} SELECT band, radius, round(flux_frac, 6) AS flux_frac, round(flux_frac_std, 6) AS flux_frac_std, n_stars FROM cog")
+def agg13(s, d):
+    return rounded(growth_rows(s, d), "flux_frac", "flux_frac_std")
+
+
+@query("fn19_aperture", f"""WITH {STARS_SQL}, seg AS (SELECT band, radius, flux_frac AS x1, lag(flux_frac) OVER w AS x0, radius AS y1, lag(radius) OVER w AS y0 FROM cog WINDOW w AS (PARTITION BY band ORDER BY radius)),
+    hit AS (SELECT band, radius, CASE WHEN x0 IS NULL AND x1 >= 0.5 THEN y1 WHEN x0 < 0.5 AND x1 >= 0.5 THEN y0 + (0.5 - x0) * (y1 - y0) / (x1 - x0) END AS v, y1 FROM seg)
+    SELECT band, round(coalesce(arg_min(v, radius) FILTER (v IS NOT NULL), arg_max(y1, radius))::DOUBLE, 6) AS aperture FROM hit GROUP BY band""")
+def fn19(s, d):
+    return rounded(growth.aperture_for_enclosed_flux(growth_rows(s, d), 0.5, ("band",)), "aperture")
+
+
+@query("fn20_aperture_correction", f"WITH {STARS_SQL} SELECT a.band, round(2.5 * log10((a.flux_frac + b.flux_frac) / 2), 6) + 0.0 AS correction FROM cog a JOIN cog b ON a.band = b.band AND a.radius = 3 AND b.radius = 4")
+def fn20(s, d):
+    return rounded(growth.aperture_correction(growth_rows(s, d), 3.5, ("band",)), "correction")
+
+
+@query("flt12_point_like", "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, median(CASE WHEN l_extendedprice > 50000 THEN l_quantity END) OVER (PARTITION BY l_returnflag) AS r FROM lineitem) WHERE r IS NULL OR l_quantity <= 0.5 * r")
+def flt12(s, d):
+    rows = read(s, d, "lineitem").withColumn("a", F.col("l_quantity"))
+    return growth.point_like(rows, F.col("l_extendedprice") > 50000, 0.5, ("l_returnflag",)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("flt11_bright_round", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice / 1000 > 50 AND l_quantity / 50 > 0.7 AND (l_linenumber & 2) = 0")
+def flt11(s, d):
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("snr"), F.lit(50.0).alias("a"), F.col("l_quantity").alias("b"), F.col("l_linenumber").alias("flag"))
+    return growth.bright_round(rows, 50.0, 2).select("l_orderkey", "l_linenumber")
+
+
+@query("agg14_median_fwhm", "SELECT l_returnflag AS band, round(2 * median(l_quantity / 20), 6) AS fwhm FROM lineitem GROUP BY 1")
+def agg14(s, d):
+    return rounded(growth.median_fwhm(read(s, d, "lineitem").select(F.col("l_returnflag").alias("band"), (F.col("l_quantity") / 20).alias("r_half")), ("band",)), "fwhm")
+
+
+@query("agg16_stack_report", """SELECT o_orderpriority AS unit, count(*) AS n_in, count(*) FILTER (o_orderstatus <> 'F') AS n_ok, count(*) FILTER (o_orderstatus = 'F') AS n_bad, round(median(o_totalprice) FILTER (o_orderstatus <> 'F'), 4) AS resid_median_px,
+    round(max(o_custkey) FILTER (o_orderstatus <> 'F') - min(o_custkey) FILTER (o_orderstatus <> 'F'), 4)::DOUBLE AS rot_span_deg, round(sum(o_totalprice) FILTER (o_orderstatus <> 'F'), 2) AS total_exptime FROM orders GROUP BY 1""")
+def agg16(s, d):
+    rows = read(s, d, "orders").select(F.col("o_orderpriority").alias("unit"), (F.col("o_orderstatus") != "F").alias("ok"), F.col("o_totalprice").alias("resid"), F.col("o_custkey").cast("double").alias("rotation"), F.col("o_totalprice").alias("exptime"), F.col("o_orderstatus").alias("reason"))
+    return rounded(rounded(growth.stack_report(rows, ("unit",)).drop("reasons"), "resid_median_px", "rot_span_deg", digits=4), "total_exptime", digits=2)
+
+
+@query("agg21_status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def agg21(s, d):
+    return read(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("agg22_host_flux", """SELECT frame, CASE WHEN count(f) >= 4 THEN round(median(f), 6) ELSE 0 END AS host, CASE WHEN count(f) > 1 THEN round(stddev_pop(f), 6) END AS host_std, count(f) AS n
+    FROM (SELECT frame, CASE WHEN flag = 0 THEN flux END AS f FROM meas) GROUP BY frame""", "meas")
+def agg22(s, d):
+    return rounded(growth.host_flux(meas(s, d).select("frame", "flux", (F.col("flag") == 0).alias("clean"))), "host", "host_std")
+
+
+@query("win01_first_row", "SELECT source_id, frame, band, round(m_inst, 6) AS m_inst FROM meas QUALIFY row_number() OVER (PARTITION BY source_id, band ORDER BY time, m_inst, frame) = 1", "meas")
+def win01(s, d):
+    from pyspark.sql import Window as W
+
+    rows = meas(s, d).withColumn("r", F.row_number().over(W.partitionBy("source_id", "band").orderBy("time", "m_inst", "frame"))).where("r = 1")
+    return rounded(rows.select("source_id", "frame", "band", "m_inst"), "m_inst")
+
+
+@query("win03_nearest_target", "SELECT source_id, sep_target_arcmin FROM stars ORDER BY sep_target_arcmin, source_id LIMIT 1", "stars")
+def win03(s, d):
+    return stars(s, d).orderBy("sep_target_arcmin", "source_id").limit(1).select("source_id", "sep_target_arcmin")
+
+
+@query("win06_unit_series", "SELECT unit, round(rms, 6) AS value, date_obs AS time, (epoch_us(date_obs) - min(epoch_us(date_obs)) OVER (PARTITION BY unit))::BIGINT AS since_us FROM frames", "frames")
+def win06(s, d):
+    f = frames(s, d).withColumn("t", F.unix_micros(F.col("date_obs").cast("timestamp")))
+    out = diagnostics.series_by_unit(f, "rms", "t")
+    return rounded(out.select("unit", "value", F.timestamp_micros("time").cast("timestamp_ntz").alias("time"), F.col("since").alias("since_us")), "value")
+
+
+@query("srt01_frames_sorted", "SELECT unit, date_obs, frame FROM frames ORDER BY unit, date_obs, frame LIMIT 500", "frames")
+def srt01(s, d):
+    return frames(s, d).select("unit", "date_obs", "frame").orderBy("unit", "date_obs", "frame").limit(500)
+
+
+@query("srt06_brightness_rank", "SELECT source_id, row_number() OVER (ORDER BY v_jkc_mag ASC NULLS LAST, source_id)::INT AS rank FROM stars", "stars")
+def srt06(s, d):
+    from .operators.solve import brightness_rank
+
+    return brightness_rank(stars(s, d)).select("source_id", "rank")
+
+
+@query("set03_upsert", "SELECT l_orderkey AS key, max(l_quantity) AS value FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)")
+def set03(s, d):
+    new = read(s, d, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_quantity").alias("value"))
+    old = read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    return new.unionByName(old.join(new.select("key"), "key", "left_anti"))
+
+
+@query("set04_or_of_footprints", "SELECT vec_id FROM sky s WHERE EXISTS (SELECT 1 FROM sky f WHERE f.vec_id % 50 = 0 AND abs(s.ra - f.ra) <= 20 AND abs(s.dec - f.dec) <= 10)", "sky")
+def set04(s, d):
+    p = sky_points(s, d).withColumn("gx", F.floor(F.col("ra") / 20)).withColumn("gy", F.floor(F.col("dec") / 10))
+    near = F.array(*map(F.lit, (-1, 0, 1)))
+    prints = p.where("vec_id % 50 = 0")
+    prints = prints.select(F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), "gx", "gy", F.explode(near).alias("i")).select("ra0", "dec0", (F.col("gx") + F.col("i")).alias("hx"), "gy", F.explode(near).alias("j"))
+    prints = prints.select("ra0", "dec0", "hx", (F.col("gy") + F.col("j")).alias("hy"))
+    inside = (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")) & (F.abs(F.col("ra") - F.col("ra0")) <= 20) & (F.abs(F.col("dec") - F.col("dec0")) <= 10)
+    return p.join(prints, inside, "left_semi").select("vec_id")
+
+
+@query("flt04_footprint", "SELECT vec_id FROM sky WHERE sin(radians(20.0)) * sin(radians(dec)) + cos(radians(20.0)) * cos(radians(dec)) * cos(radians(ra - 180)) > 0.5 AND abs(dec) < 60", "sky")
+def flt04(s, d):
+    return sky_points(s, d).where((sky.separation_deg(180.0, 20.0, "ra", "dec") < 60) & (F.abs("dec") < 60)).select("vec_id")
+
+
+@query("dia14_depth_vs_exptime", "SELECT model, total_exptime, round(v_lim_5sigma, 6) AS v_lim_5sigma, round(median(v_lim_5sigma) OVER (PARTITION BY model) + 1.25 * log10(total_exptime / median(total_exptime) OVER (PARTITION BY model)), 6) AS line FROM frames WHERE rms < 0.06", "frames")
+def dia14(s, d):
+    return rounded(diagnostics.depth_vs_exptime(frames(s, d)), "v_lim_5sigma", "line")
+
+
+@query("dia16_lightcurve", lc_sql("SELECT round(time, 6) AS time, round(dmag, 6) + 0.0 AS dmag, round(mag_err, 6) AS mag_err, round(stddev_pop(dmag) OVER (), 6) AS scatter, round(median(mag_err) OVER (), 6) AS median_err FROM lc"), "meas stars")
+def dia16(s, d):
+    return rounded(diagnostics.lightcurve(lightcurve(s, d)), "time", "dmag", "mag_err", "scatter", "median_err")
+
+
+@query("dia18_scatter_vs_magnitude", joined(f"SELECT r.source_id, round(c.v_jkc_mag, 6) AS mag, round(1000 * r.scatter, 2) AS scatter_mmag FROM ({RANK}) r JOIN comps c USING (source_id)", LOO), "meas stars")
+def dia18(s, d):
+    out = diagnostics.scatter_vs_magnitude(curves(s, d), comparisons(s, d)).drop("floor_mmag")
+    return rounded(rounded(out, "mag"), "scatter_mmag", digits=2)
