@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, s: Settings, with_ids: bool = Fa
 
         tool = encoder(vocabulary, "byte")
         for batch in batches:
-            for part in V.slices(batch, limit=8 << 20):
+            for part in V.slices(batch, limit=4 << 20):
                 ids, first = tool.encode(part.column(2))
                 out: list[list] = [[], [], [], []]
                 rows, blobs = [], []

@@ -96,7 +96,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray | None =
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for factor in (BASE, pow(BASE, -1, 1 << 64)):
@@ -115,7 +115,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over the bytes, for span_hash."""
-    size = 1 << max(16, int(len(data)).bit_length())
+    size = 1 << max(20, int(len(data)).bit_length())
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size)[0][: len(data)], out=out[1:])
     return out
@@ -123,7 +123,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    size = 1 << max(16, int(len(prefix) - 1).bit_length())
+    size = 1 << max(20, int(len(prefix) - 1).bit_length())
     value = (prefix[ends] - prefix[starts]) * _powers(size)[1][starts]
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(SEED_2))
 

@@ -55,9 +55,9 @@ def cuts(ids: np.ndarray, s: Settings) -> list[int]:
     n = len(ids)
     ends: list[int] = []
     if n > s.least:
-        sums = np.cumsum(V.mix(ids.astype(np.uint64) + np.uint64(1)) * V._powers(1 << max(16, n.bit_length()))[0][:n])
+        sums = np.cumsum(V.mix(ids.astype(np.uint64) + np.uint64(1)) * V._powers(1 << max(20, n.bit_length()))[0][:n])
         rolled = sums[s.window :] - sums[: -s.window]
-        rolled = rolled * V._powers(1 << max(16, n.bit_length()))[1][1 : len(rolled) + 1]
+        rolled = rolled * V._powers(1 << max(20, n.bit_length()))[1][1 : len(rolled) + 1]
         found = np.flatnonzero(V.mix(rolled) % np.uint64(s.mean) == 0) + s.window + 1
         at = 0
         for cut in [*found.tolist(), n]:
@@ -86,7 +86,7 @@ def chunk_rows(docs: DataFrame, vocabulary: str, s: Settings) -> DataFrame:
     def run(batches):
         tool, seen = encoder(vocabulary, "word"), set()
         for batch in batches:
-            for part in V.slices(batch, limit=8 << 20):
+            for part in V.slices(batch, limit=4 << 20):
                 ids, first = tool.encode(part.column(2))
                 rows, idx, size, hashes, data = [], [], [], [], []
                 for d in range(part.num_rows):

@@ -7,6 +7,7 @@ Vocabulary files are read where the caller says they are.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -36,10 +37,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces come once; the cache would only cost
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters)))
+    def piece(self, text: str) -> bytes:
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def prepare(self, text: str) -> str:
         """What the word vocabulary's normaliser does, but for white space, which no piece holds: NFC, then each letter's lower case."""
@@ -63,10 +65,10 @@ class PieceEncoder:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 skip = self.kind == "word" and V.classes()[ord(text[0])] == V.SPACE
-                got = known[text] = () if skip else piece(text)
+                got = known[text] = b"" if skip else piece(text)
             ids.append(got)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        values = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        values = np.frombuffer(b"".join(ids), "<u4")
         if self.kind == "word":
             order = np.where(keep, order, len(ids))
             sizes = np.append(sizes, 0)
