@@ -38,9 +38,9 @@ class Settings:
 
 @lru_cache(maxsize=4)
 def _terms(width: int) -> np.ndarray:
-    """c * log2(c) for counts up to width + 1."""
+    """c * log2(c) for counts up to width + 1, in whole 2^-24ths, so that sums don't depend on what stands before."""
     c = np.arange(width + 2, dtype=np.float64)
-    return np.where(c > 0, c * np.log2(np.maximum(c, 1)), 0.0)
+    return np.round(np.where(c > 0, c * np.log2(np.maximum(c, 1)), 0.0) * (1 << 24)).astype(np.int64)
 
 
 def entropy_levels(data: np.ndarray, s: Settings) -> np.ndarray:
@@ -55,13 +55,21 @@ def entropy_levels(data: np.ndarray, s: Settings) -> np.ndarray:
         after[: n - lag] += same
         before[lag:] += same
     terms = _terms(w)
-    steps = (terms[1:] - terms[:-1]).astype(np.float32)
-    start = terms[np.bincount(data[:w], minlength=256)].sum()
+    steps = terms[1:] - terms[:-1]
+    total = np.empty(n - w + 1, np.int64)
+    total[0] = terms[np.bincount(data[:w], minlength=256)].sum()
     # Out goes data[i] (counted among i .. i+w-1), in comes data[i+w] (counted among i+1 .. i+w).
-    change = steps[before[w:] - 1] - steps[after[: n - w] - 1]
-    total = np.concatenate([[start], start + np.cumsum(change, dtype=np.float64)])
-    entropy = np.log2(w) - total / w
-    return np.clip(np.round(entropy * (s.levels / np.log2(w))), 0, s.levels).astype(np.int32)
+    np.cumsum(steps[before[w:] - 1] - steps[after[: n - w] - 1], out=total[1:])
+    total[1:] += total[0]
+    most = int(np.log2(w) * (1 << 24)) * w
+    return ((most - total) * s.levels // most).clip(0, s.levels).astype(np.int32)
+
+
+def levels_of_all(texts: list[np.ndarray], s: Settings) -> list[np.ndarray]:
+    """entropy_levels of several texts by one pass over all their bytes."""
+    every = entropy_levels(np.concatenate([*texts, np.zeros(0, np.uint8)]), s)
+    edge = np.cumsum([0, *map(len, texts)])
+    return [every[e : e + max(len(t) - s.width + 1, 0)] for e, t in zip(edge.tolist(), texts)]
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -98,7 +106,7 @@ def feature_places(levels: np.ndarray, rank: np.ndarray, s: Settings) -> np.ndar
     return found if len(found) else np.array([int(np.argmax(wins))])
 
 
-def filters(data: np.ndarray, rank: np.ndarray, s: Settings) -> np.ndarray:
+def filters(data: np.ndarray, levels: np.ndarray, rank: np.ndarray, s: Settings) -> np.ndarray:
     """The chain of Bloom filters (rows of BITS / 8 bytes) of a text. Of a text below four windows, every window of ``short`` bytes is a feature."""
     n = len(data)
     if not n:
@@ -107,7 +115,7 @@ def filters(data: np.ndarray, rank: np.ndarray, s: Settings) -> np.ndarray:
         w = min(s.short, n)
         at = np.arange(n - w + 1)
     else:
-        w, at = s.width, feature_places(entropy_levels(data, s), rank, s)
+        w, at = s.width, feature_places(levels, rank, s)
     hashes = V.span_hash(V.prefix_hash(data), at, at + w)
     _, first = np.unique(hashes, return_index=True)
     hashes = hashes[np.sort(first)]  # a repeated feature counts once
@@ -172,9 +180,11 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, offsets = V.text_bytes(batch.column(batch.schema.get_field_index("text")))
-            marks = [text_of(filters(data[offsets[i] : offsets[i + 1]], rank, s)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], [*batch.schema.names, "fingerprint"])
+            for part in V.slices(batch):
+                data, offsets = V.text_bytes(part.column(part.schema.get_field_index("text")))
+                texts = [data[i:j] for i, j in zip(offsets, offsets[1:])]
+                marks = [text_of(filters(t, x, rank, s)) for t, x in zip(texts, levels_of_all(texts, s))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, pa.string())], [*part.schema.names, "fingerprint"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
@@ -227,27 +237,36 @@ def compare_edited(spark: SparkSession, docs: DataFrame, settings: Settings = Se
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def chain(text: str) -> np.ndarray:
-        return filters(np.frombuffer(text.encode(), np.uint8), rank, s)
-
-    def result(held, following):
-        doc, text, own = held
-        n = len(text)
-        edited = text[: n - n // 4] + following[1][: n // 4]
-        new = own if edited == text else chain(edited)
-        return doc, n, hashlib.sha256(edited.encode()).hexdigest(), text_of(own), text_of(new), likeness(own, new), likeness(own, following[2])
+    def results(pairs):
+        """Rows of (document, next document), each as (doc_id, text, bytes, levels, filters). What an edited text keeps keeps its levels."""
+        kept, edits = [], []
+        for (_, text, data, _, _), (_, after, *_) in pairs:
+            n = len(text)
+            head = len(text[: n - n // 4].encode())
+            edits.append(np.concatenate([data[:head], np.frombuffer(after[: n // 4].encode(), np.uint8)]))
+            kept.append(max(head - s.width + 1, 0))
+        tails = levels_of_all([e[k:] for e, k in zip(edits, kept)], s)
+        rows = []
+        for ((doc, text, data, levels, own), following), edited, k, tail in zip(pairs, edits, kept, tails):
+            new = filters(edited, np.concatenate([levels[:k], tail]), rank, s)
+            rows.append((doc, len(text), hashlib.sha256(edited.tobytes()).hexdigest(), text_of(own), text_of(new), likeness(own, new), likeness(own, following[4])))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     def run(batches):
         held, now = None, None
         for batch in batches:
-            rows = []
-            for bucket, ghost, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                this = (doc, text or "", chain(text or ""))
-                if held is not None and bucket == now:
-                    rows.append(result(held, this))
-                held, now = (None if ghost else this), bucket
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])], names)
+            for part in V.slices(batch, "text"):
+                data, offsets = V.text_bytes(part.column(3))
+                texts = [data[i:j] for i, j in zip(offsets, offsets[1:])]
+                pairs = []
+                for bucket, ghost, doc, text, raw, levels in zip(*(part.column(i).to_pylist() for i in range(4)), texts, levels_of_all(texts, s)):
+                    this = (doc, text or "", raw, levels, filters(raw, levels, rank, s))
+                    if held is not None and bucket == now:
+                        pairs.append((held, this))
+                    held, now = (None if ghost else this), bucket
+                if pairs:
+                    yield results(pairs)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = in_order(docs).repartition("bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), F.coalesce(F.sha2("text", 256), F.lit("")))
