@@ -200,15 +200,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     docs = docs.select(key.alias("key"), "doc_id", "text")
     cut = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
     cuts = sorted(set(cut))
-    # A key's range is the number of bounds not above it, found by halving.
-    bucket = F.lit(0)
-    table = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    if cuts:
-        step = 1 << (len(cuts).bit_length() - 1)
-        while step:
-            ahead = bucket + step
-            bucket = F.when((ahead <= len(cuts)) & (F.get(table, ahead - 1) <= F.col("key")), ahead).otherwise(bucket)
-            step >>= 1
+    # A key's range is the number of bounds not above it.
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
     ranged = docs.withColumn("bucket", bucket.cast("int"))
     full = [r["bucket"] for r in ranged.groupBy("bucket").agg(F.count("*")).select("bucket").collect()]
     full.sort()
