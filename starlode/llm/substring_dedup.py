@@ -1,22 +1,22 @@
 """Substring dedup by collinear chaining: finds passages that documents share, edits included.
 
-1. Seeds: k-word hashes that are the smallest of some ``window`` consecutive ones, so two
-   texts that agree over ``k + window - 1`` words share a seed.
+1. Seeds: the hashes of all k-word runs, dealt in blobs by bucket. At k = 4, ``min_words`` = 50 and
+   ``similarity`` = 0.8 a passage shares at least ``shared`` = 7 of them with its source: a change
+   breaks k of them at most (q-gram lemma).
 2. Every seed that several documents hold is matched with its first occurrence (smallest
    document, then position), which is the one that stays. A seed of any number of documents
    therefore makes as many matches, not all pairs.
-3. A document's matches, whatever their partners, have to stand closely enough for a
-   passage (``close_runs``). The matches of two documents are chained in order: a match adds its weight and pays for
-   the words between it and the match before; a Fenwick tree over the first document's
-   positions gives the best predecessor.
-4. Chains are aligned word by word over the two texts, their ends extended, and those of at
-   least ``similarity`` stay. The passages of a document are the unions of its aligned
-   chains that reach ``min_words``.
+3. A document's matches, whatever their partners, have to be as many as a passage must have
+   (``close_runs``). The matches of two documents are chained in order: a match adds its weight
+   and pays for the words between it and the match before; a Fenwick tree over the first
+   document's positions gives the best predecessor. A chain may have a single match.
+4. Chains are aligned word by word over the two texts, their ends extended, and their stretches
+   of at least ``similarity`` stay. The passages of a document are the unions of its aligned
+   stretches that reach ``min_words``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,67 +31,112 @@ from .common import Scratch
 
 @dataclass(frozen=True)
 class Settings:
-    """k: words of a seed. window: seeds of which the smallest is taken. max_gap: words between two matches of a chain.
-    extend: words tried beyond a chain's ends. min_chain: words of a chain that counts towards a passage."""
+    """k: words of a seed. max_gap: words between two matches of a chain. extend: words tried beyond a chain's ends.
+    min_chain: words of a chain that counts towards a passage. buckets: parts that seeds are matched in. stride: matches of one diagonal of which one is chained."""
 
-    k: int = 5
-    window: int = 12
+    k: int = 4
     min_words: int = 50
     similarity: float = 0.8
     weight: float = 6.0
     gap_cost: float = 0.05
-    max_gap: int = 24
-    extend: int = 32
+    max_gap: int = 40
+    extend: int = 48
     min_chain: int = 12
+    buckets: int = 1024
+    stride: int = 8
 
+    @property
+    def shared(self) -> int:
+        changes = int(self.min_words * (1 - self.similarity) + 1e-9)
+        return max(self.min_words - self.k + 1 - self.k * changes, 1)
 
-def minimizers(hashes: np.ndarray, first: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, word position) of the seeds."""
-    counts = np.maximum(np.diff(first) - s.k + 1, 0)
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, word position) of all runs of k words."""
+    counts = np.maximum(np.diff(first) - k + 1, 0)
     owner = np.repeat(np.arange(len(counts)), counts)
-    edge = np.concatenate([[0], np.cumsum(counts)])
-    position = np.arange(total) - edge[owner]
+    position = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
     at = position + first[owner]
-    seeds = V.join_hash(*(hashes[at + j] for j in range(s.k)))
-    # Documents stand window - 1 places apart, filled with the largest hash.
-    place = np.arange(total) + owner * (s.window - 1)
-    row = np.full(int(place[-1]) + s.window, np.iinfo(np.uint64).max, np.uint64)
-    row[place] = seeds
-    least = row[: len(row) - s.window + 1].copy()
-    for j in range(1, s.window):
-        np.minimum(least, row[j : j + len(least)], out=least)
-    opens = np.zeros(len(row), bool)  # windows within a document; a short document has one
-    opens[place[position <= np.maximum(counts[owner] - s.window, 0)]] = True
-    least = np.concatenate([least, np.zeros(s.window - 1, np.uint64)])
-    least[~opens] = 0
-    chosen = np.zeros(len(row), bool)
-    for j in range(s.window):
-        chosen[j:] |= row[j:] == least[: len(row) - j]
-    keep = np.flatnonzero(chosen[place])
-    return seeds[keep], owner[keep], position[keep]
+    return V.join_hash(*(hashes[at + j] for j in range(k))), owner, position
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(values.max())).tobytes()
+
+
+def wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{len(blob) // n}").astype(np.int64)
 
 
 def seeds(docs: DataFrame, s: Settings) -> DataFrame:
-    """(h, doc_id, pos) of every document with an id."""
+    """(bucket, least, n, h, doc, pos): the seeds of some documents in a bucket; 40 bits of each hash, ids less ``least``."""
 
     def run(batches):
         for batch in batches:
-            for part in V.slices(batch):
+            for part in V.slices(batch, limit=2 << 20):
                 hashes, _, _, first = V.word_hashes(*V.text_bytes(part.column(1)))
-                h, owner, position = minimizers(hashes, first, s)
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[owner]), pa.array(position.astype(np.int32))], ["h", "doc_id", "pos"])
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
+                h, owner, position = grams(hashes, first, s.k)
+                bucket = (h >> np.uint64(40)).astype(np.int64) % s.buckets
+                order = np.argsort(bucket.astype(np.uint16) if s.buckets <= 1 << 16 else bucket, kind="stable")
+                edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=s.buckets))])
+                h, ids, position = h[order].view(np.uint8).reshape(-1, 8)[:, :5], part.column(0).to_numpy()[owner[order]], position[order]
+                rows: list[list] = [[] for _ in range(6)]
+                for b in np.flatnonzero(np.diff(edge)).tolist():
+                    i, j = int(edge[b]), int(edge[b + 1])
+                    least = int(ids[i:j].min())
+                    # The difference of two longs fits an unsigned one.
+                    away = ids[i:j].view(np.uint64) - np.uint64(least & 0xFFFFFFFFFFFFFFFF)
+                    for column, value in zip(rows, (b, least, j - i, h[i:j].tobytes(), narrow(away), narrow(position[i:j]))):
+                        column.append(value)
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "least", "n", "h", "doc", "pos"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "bucket int, least long, n int, h binary, doc binary, pos binary")
+
+
+def first_matches(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, pos, a_doc, a_pos): each occurrence of a hash with its first one, in another document."""
+    order = np.argsort(h)
+    g = h[order]
+    same = g[1:] == g[:-1]
+    order = order[np.append(same, False) | np.append(False, same)]  # hashes that occur twice
+    order = order[np.lexsort((pos[order], doc[order], h[order]))]
+    h, doc, pos = h[order], doc[order], pos[order]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    at = np.flatnonzero(new)[np.cumsum(new) - 1]
+    keep = doc > doc[at]
+    return doc[keep], pos[keep], doc[at][keep], pos[at][keep]
 
 
 def matches(found: DataFrame) -> DataFrame:
     """(doc_id, pos, a_doc, a_pos): each occurrence of a shared seed with the seed's first one, in another document."""
-    shared = found.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last")).where("a.doc_id < last")
-    return found.join(shared.select("h", F.col("a.doc_id").alias("a_doc"), F.col("a.pos").alias("a_pos")), "h").where("doc_id > a_doc").select("doc_id", "pos", "a_doc", "a_pos")
+
+    def run(batches):
+        now, parts = None, []
+
+        def flush():
+            h, doc, pos = (np.concatenate(c) for c in zip(*parts))
+            out = first_matches(h, doc, pos)
+            for i in range(0, len(out[0]), 100_000):
+                columns = [pa.array(c[i : i + 100_000].astype(t)) for c, t in zip(out, (np.int64, np.int32, np.int64, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "a_doc", "a_pos"])
+
+        for batch in batches:
+            bucket, least, n = (batch.column(c).to_pylist() for c in range(3))
+            for i in range(batch.num_rows):
+                if bucket[i] != now:
+                    if parts:
+                        yield from flush()
+                    now, parts = bucket[i], []
+                h, doc, pos = (batch.column(c)[i].as_py() for c in (3, 4, 5))
+                full = np.zeros((n[i], 8), np.uint8)
+                full[:, :5] = np.frombuffer(h, np.uint8).reshape(-1, 5)
+                parts.append((full.view("<u8")[:, 0], wide(doc, n[i]) + least[i], wide(pos, n[i]).astype(np.int32)))
+        if parts:
+            yield from flush()
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, pos int, a_doc long, a_pos int")
 
 
 def chain(b: list[int], a: list[int], s: Settings) -> list[list[int]]:
@@ -158,37 +203,46 @@ def blocks(b: list[int], a: list[int], path: list[int], k: int) -> list[int]:
     return out
 
 
-def close_runs(positions: list[int], s: Settings) -> list[tuple[int, int]]:
-    """Runs of matched positions (ascending) with small gaps, three at least, that a passage of min_words may hold."""
-    out, first, n, last = [], None, 0, -(1 << 40)
-    for p in [*positions, 1 << 40]:
-        if p - last > s.max_gap + s.k:
-            if n >= 3 and last + s.k - first >= s.min_words - 2 * (s.window + s.k):
-                out.append((first, last))
-            first, n = p, 0
-        n += p != last
-        last = p
-    return out
+def close_runs(positions: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of matched positions (ascending, each once) with small gaps that have as many as a passage."""
+    if not len(positions):
+        return positions, positions
+    gap = np.flatnonzero(np.diff(positions) > s.max_gap + s.k)
+    first, last = np.append(0, gap + 1), np.append(gap, len(positions) - 1)
+    keep = last - first + 1 >= s.shared
+    return positions[first[keep]], positions[last[keep]]
 
 
 def chains(found: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, a_doc, runs) of the chains; a document's matches go through one task as a sorted stream."""
 
     def run(batches):
-        now, with_ = None, {}  # the document and its matches by partner
+        now, parts = None, []  # the document and its matches: (a_doc, pos, a_pos)
         rows: tuple[list, list, list] = ([], [], [])
 
         def flush():
-            runs = close_runs(sorted(p for b, _ in with_.values() for p in b), s)
-            if not runs:
+            a_doc, pos, a_pos = (np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
+            if len(pos) < s.shared:
                 return
-            starts = [r[0] for r in runs]
-            for partner, (b, a) in with_.items():
-                for path in chain(b, a, s):
-                    at = bisect_right(starts, b[path[0]]) - 1
-                    if at >= 0 and b[path[0]] <= runs[at][1]:
-                        for column, value in zip(rows, (now, partner, blocks(b, a, path, s.k))):
-                            column.append(value)
+            starts, stops = close_runs(np.unique(pos), s)
+            if not len(starts):
+                return
+            at = np.searchsorted(starts, pos, side="right") - 1
+            inside = (at >= 0) & (pos <= stops[at])
+            a_doc, pos, a_pos = a_doc[inside], pos[inside], a_pos[inside]
+            # Of matches that follow each other word by word the first, the last and some between: the same stretch.
+            goes_on = (a_doc[1:] == a_doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (a_pos[1:] == a_pos[:-1] + 1)
+            begins = np.append(True, ~goes_on)
+            number = np.arange(len(pos)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            keep = (number % s.stride == 0) | np.append(~goes_on, True)
+            a_doc, pos, a_pos = a_doc[keep], pos[keep], a_pos[keep]
+            edge = [0, *(np.flatnonzero(a_doc[1:] != a_doc[:-1]) + 1).tolist(), len(pos)]
+            partner, b, a = a_doc.tolist(), pos.tolist(), a_pos.tolist()
+            for i, j in zip(edge, edge[1:]):
+                x, y = b[i:j], a[i:j]
+                for path in [[0]] if j - i == 1 else chain(x, y, s):
+                    for column, value in zip(rows, (now, partner[i], blocks(x, y, path, s.k))):
+                        column.append(value)
 
         def batch_of():
             out = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int32()))], ["doc_id", "a_doc", "runs"])
@@ -197,21 +251,20 @@ def chains(found: DataFrame, s: Settings) -> DataFrame:
             return out
 
         for batch in batches:
-            doc, a_doc, pos, a_pos = (batch.column(c).to_numpy() for c in range(4))
-            edge = np.flatnonzero((doc[1:] != doc[:-1]) | (a_doc[1:] != a_doc[:-1])) + 1
-            edge = [0, *edge.tolist(), len(doc)]
-            pos, a_pos = pos.tolist(), a_pos.tolist()
+            doc, *rest = (batch.column(c).to_numpy() for c in range(4))
+            edge = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
             for i, j in zip(edge, edge[1:]):
                 if i == j:
                     continue
                 if doc[i] != now:
-                    flush()
-                    now, with_ = int(doc[i]), {}
-                b, a = with_.setdefault(int(a_doc[i]), ([], []))
-                b += pos[i:j]
-                a += a_pos[i:j]
-            yield batch_of()
-        flush()
+                    if parts:
+                        flush()
+                    now, parts = int(doc[i]), []
+                parts.append([c[i:j] for c in rest])
+                if len(rows[0]) >= 10_000:
+                    yield batch_of()
+        if parts:
+            flush()
         yield batch_of()
 
     return found.select("doc_id", "a_doc", "pos", "a_pos").repartition("doc_id").sortWithinPartitions("doc_id", "a_doc", "pos", "a_pos").mapInArrow(run, "doc_id long, a_doc long, runs array<int>")
@@ -235,6 +288,10 @@ def word_rows(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 def edits(x: list[int], y: list[int]) -> int:
     """Words changed, put in or left out between x and y."""
+    if len(x) == len(y):
+        apart = sum(u != v for u, v in zip(x, y))
+        if apart <= 2:  # words put in and left out would be as many
+            return apart
     row = list(range(len(y) + 1))
     for i, u in enumerate(x, 1):
         last, row[0] = row[0], i
@@ -243,31 +300,131 @@ def edits(x: list[int], y: list[int]) -> int:
     return row[-1]
 
 
-def reach(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """How far two texts go on alike: the length at which matches outweigh changes by most, and the changes in it."""
-    n = min(len(x), len(y))
-    if not n:
+def heaviest(alike: np.ndarray, changed: np.ndarray, cost: int) -> tuple[int, int]:
+    """The stretch (start, stop) in which words alike outweigh the changed ones, of ``cost`` each, by most."""
+    total = np.concatenate([[0], np.cumsum(alike - cost * changed)])
+    gain = total - np.minimum.accumulate(total)
+    stop = int(np.argmax(gain))
+    return int(np.argmin(total[: stop + 1])), stop
+
+
+def longest(alike: np.ndarray, changed: np.ndarray, cost: int) -> tuple[int, int]:
+    """The longest stretch (start, stop) between words alike in which they outweigh or match the changed ones, of ``cost`` each."""
+    total = np.concatenate([[0], np.cumsum(alike - cost * changed)])
+    least = np.minimum.accumulate(np.where(alike > 0, total[:-1], 1 << 40))
+    stops = np.flatnonzero(alike > 0) + 1
+    if not len(stops):
         return 0, 0
-    same = x[:n] == y[:n]
-    total = np.cumsum(np.where(same, 1, -3))
-    i = int(np.argmax(total))
-    return (i + 1, int(i + 1 - np.count_nonzero(same[: i + 1]))) if total[i] > 0 else (0, 0)
+    starts = np.searchsorted(-least, -total[stops])
+    k = int(np.argmax(stops - starts))
+    return int(starts[k]), int(stops[k])
+
+
+def diagonal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns (words alike, words changed, words of x, words of y) of two stretches word against word, as far as the shorter goes."""
+    n = min(len(x), len(y))
+    same = (x[:n] == y[:n]).astype(np.int64)
+    return np.stack([same, 1 - same, np.ones_like(same), np.ones_like(same)])
+
+
+def shifted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of the alignment of x and y with the fewest changes, up to the end of one of them."""
+    x, y = x.tolist(), y.tolist()
+    table = [list(range(len(y) + 1))]
+    for i, u in enumerate(x, 1):
+        row, last = [i], table[-1]
+        for j, v in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (u != v)))
+        table.append(row)
+    i, j = min([(len(x), j) for j in range(len(y) + 1)] + [(i, len(y)) for i in range(len(x) + 1)], key=lambda e: (table[e[0]][e[1]], -e[0] - e[1]))
+    out = []
+    while i or j:
+        if i and j and table[i][j] == table[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((int(x[i] == y[j]), int(x[i] != y[j]), 1, 1))
+        elif i and table[i][j] == table[i - 1][j] + 1:
+            i -= 1
+            out.append((0, 1, 1, 0))
+        else:
+            j -= 1
+            out.append((0, 1, 0, 1))
+    return np.array(out[::-1], np.int64).reshape(-1, 4).T
+
+
+def common(x: np.ndarray, y: np.ndarray, k: int) -> int:
+    """Places of x whose k words stand somewhere in y, too."""
+    if min(len(x), len(y)) < k:
+        return 0
+    u, v = (sum(w[j : len(w) - k + 1 + j].astype(np.uint64) * np.uint64(pow(V.BASE, j + 1, 1 << 64)) for j in range(k)) for w in (x, y))
+    v = np.sort(v)
+    return int(np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u))
+
+
+def stretches(columns: np.ndarray, b0: int, a0: int, s: Settings) -> list[tuple[int, int, int, int, float]]:
+    """b's and a's bounds and the similarity of the stretches of an alignment that are similar enough."""
+    same, changed, nb, na = columns
+    at_b, at_a, at_e = (np.concatenate([[0], np.cumsum(n)]) + v for n, v in ((nb, b0), (na, a0), (changed, 0)))
+    cost = round(s.similarity / (1 - s.similarity))  # of a change, at which a stretch can't fall below the similarity
+
+    def take(i, j):
+        words = max(at_b[j] - at_b[i], at_a[j] - at_a[i])
+        similarity = 1.0 - (at_e[j] - at_e[i]) / max(words, 1)
+        return (int(at_b[i]), int(at_b[j]), int(at_a[i]), int(at_a[j]), float(similarity)), similarity >= s.similarity - 1e-9
+
+    out, todo = [], [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        # At a cost of 3 a stretch ends where it should but may fall below the similarity.
+        for weight in (3, cost):
+            i, j = (v + lo for v in heaviest(same[lo:hi], changed[lo:hi], weight))
+            if max(at_b[j] - at_b[i], at_a[j] - at_a[i]) < s.min_chain:
+                break
+            found, fits = take(i, j)
+            if fits:
+                if found[1] - found[0] >= s.min_chain:
+                    out.append(found)
+                todo += [(lo, i), (j, hi)]
+                break
+    if size(out) < s.min_words:
+        # A passage whose ends are changed so much that its heaviest stretch is too short for one.
+        found, fits = take(*longest(same, changed, cost))
+        if fits and found[1] - found[0] >= s.min_words:
+            return [found]
+    return out
 
 
-def align(b: np.ndarray, a: np.ndarray, runs: np.ndarray, s: Settings) -> tuple[int, int, int, int, float]:
-    """Aligns two stretches along a chain (runs relative to them): b's and a's bounds and the similarity."""
+def size(found: list[tuple[int, int, int, int, float]]) -> int:
+    return max((x[1] - x[0] for x in found), default=0)
+
+
+def align(b: np.ndarray, a: np.ndarray, runs: np.ndarray, s: Settings) -> list[tuple[int, int, int, int, float]]:
+    """Aligns two stretches along a chain (runs relative to them) and beyond its ends: b's and a's bounds and the similarity of what is similar enough."""
     runs = runs.reshape(-1, 3)
-    b0, a0, n0 = (int(v) for v in runs[0])
-    changed = int(np.count_nonzero(b[b0 : b0 + n0] != a[a0 : a0 + n0]))
-    ends = b0 + n0, a0 + n0
-    for bi, ai, n in runs[1:].tolist():
-        changed += edits(b[ends[0] : bi].tolist(), a[ends[1] : ai].tolist())
-        changed += int(np.count_nonzero(b[bi : bi + n] != a[ai : ai + n]))
+    b0, a0, _ = (int(v) for v in runs[0])
+    ends, core = (b0, a0), []
+    for bi, ai, n in runs.tolist():
+        x, y = b[ends[0] : bi].tolist(), a[ends[1] : ai].tolist()
+        if x or y:
+            d = edits(x, y)
+            core.append(np.array([[max(len(x), len(y)) - d], [d], [len(x)], [len(y)]]))
+        core.append(diagonal(b[bi : bi + n], a[ai : ai + n]))
         ends = bi + n, ai + n
-    left, more = reach(b[:b0][::-1][: s.extend], a[:a0][::-1][: s.extend])
-    right, most = reach(b[ends[0] :][: s.extend], a[ends[1] :][: s.extend])
-    b0, a0, b1, a1 = b0 - left, a0 - left, ends[0] + right, ends[1] + right
-    return b0, b1, a0, a1, 1.0 - (changed + more + most) / max(b1 - b0, a1 - a0)
+
+    def beyond(how):
+        left = how(b[:b0][::-1][: s.extend], a[:a0][::-1][: s.extend])[:, ::-1]
+        right = how(b[ends[0] :][: s.extend], a[ends[1] :][: s.extend])
+        columns = np.concatenate([left, *core, right], axis=1)
+        if columns[0].sum() < s.min_chain * s.similarity:
+            return []
+        return stretches(columns, b0 - int(left[2].sum()), a0 - int(left[3].sum()), s)
+
+    found = beyond(diagonal)
+    if size(found) < s.min_words and common(b, a, s.k) >= s.shared:
+        # Words put in or left out near the ends: as many seeds as a passage must have.
+        more = beyond(shifted)
+        if size(more) >= s.min_words:
+            return more
+    return found
 
 
 def aligned(found: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
@@ -292,8 +449,7 @@ def aligned(found: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
             doc, a_doc, b0, a0 = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for i, (runs, b, a) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5), batch.column(6))):
                 runs = np.array(runs, np.int64).reshape(-1, 3) - np.array([b0[i], a0[i], 0])
-                x = align(np.frombuffer(b.as_py(), "<u4"), np.frombuffer(a.as_py(), "<u4"), runs, s)
-                if x[4] >= s.similarity and x[1] - x[0] >= s.min_chain:
+                for x in align(np.frombuffer(b.as_py(), "<u4"), np.frombuffer(a.as_py(), "<u4"), runs, s):
                     rows.append((doc[i], x[0] + b0[i], x[1] + b0[i], a_doc[i], x[2] + a0[i], x[3] + a0[i], x[4]))
             names = ["doc_id", "start", "stop", "a_doc", "a_start", "a_stop", "similarity"]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]

@@ -111,6 +111,21 @@ def test_substring_dedup_finds_planted_passages(spark, words, odd_docs, no_docs)
     assert substring_dedup.passages(spark, no_docs).count() == 0
 
 
+def test_substring_dedup_finds_edited_passages(spark):
+    # A change in every fifth or tenth word, so that no five words or few stay together; strangers around.
+    rows, want = [], set()
+    for i in range(60):
+        step, n = (5, 60) if i % 2 else (10, 80)
+        passage = [f"p{i}x{j}" for j in range(n)]
+        edited = [f"e{i}x{j}" if j % step == step // 2 else w for j, w in enumerate(passage)]
+        for d, part in ((i, passage), (100 + i, edited)):
+            rows.append((d, " ".join([*(f"l{d}x{j}" for j in range(70)), *part, *(f"r{d}x{j}" for j in range(70))])))
+        want.add((100 + i, i))
+    found = substring_dedup.passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["a_doc"]) for r in found} == want
+    assert all(r["similarity"] >= 0.8 and r["start"] >= 70 and r["stop"] <= 150 for r in found)
+
+
 def test_chains_are_the_best_ones():
     s = substring_dedup.Settings()
     rng = random.Random(4)
