@@ -7,6 +7,7 @@ Vocabulary files are read where the caller says they are.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 from functools import lru_cache
@@ -28,15 +29,23 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Ids of whole texts by a tokenizers file; ``kind`` is "byte" or "word" (see textvec.pieces)."""
+    """Ids of whole texts by a tokenizers file; ``kind`` is "byte" or "word" (see textvec.pieces).
 
-    def __init__(self, path: str, kind: str):
+    With ``added``, the file's added tokens get their own ids, as the library does at its defaults.
+    """
+
+    def __init__(self, path: str, kind: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.kind, self.letters = kind, byte_letters()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces come once; the cache would only cost
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
+            raise ValueError(f"{path}: added tokens other than literal ones")
+        self.added = {t.content: i for i, t in tokens.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
 
     def piece(self, text: str) -> bytes:
@@ -52,6 +61,27 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's first (len+1); null texts are empty."""
         texts = [t or "" for t in column.to_pylist()]
+        if self.split is None or not any(map(self.split.search, texts)):
+            return self.plain(texts)
+        # What stands between added tokens is encoded as texts of their own.
+        parts = [self.split.split(t) for t in texts]
+        ids, first = self.plain([p for t in parts for p in t[::2]])
+        out, sizes, at = [], [0], 0
+        for text in parts:
+            size = 0
+            for i, part in enumerate(text):
+                if i % 2:
+                    own = np.array([self.added[part]], "<u4")
+                else:
+                    own = ids[first[at] : first[at + 1]]
+                    at += 1
+                out.append(own)
+                size += len(own)
+            sizes.append(size)
+        return np.concatenate(out), np.cumsum(sizes)
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of texts in which no added token is told apart."""
         if self.kind == "word":
             texts = [self.prepare(t) for t in texts]
         array, first, keep = V.pieces(texts, self.kind == "byte")
@@ -80,4 +110,4 @@ class PieceEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, kind: str) -> PieceEncoder:
     """A worker's encoder, kept between its tasks."""
-    return PieceEncoder(path, kind)
+    return PieceEncoder(path, kind, added=True)

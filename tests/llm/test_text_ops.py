@@ -39,6 +39,19 @@ def test_piecewise_encoding_equals_the_library(name, kind):
         assert library.encode(t, add_special_tokens=False).ids == ids[first[i] : first[i + 1]].tolist()
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_added_tokens_get_the_ids_of_the_library_at_its_defaults(name, kind):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n\n ", "'s", "abc", " É́", "Σ", "12", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + ["<|endoftext|>", "a <|endoftext|> b", "", "none"]
+    library = Tokenizer.from_file(P.path(name))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, first = tokens.encoder(P.path(name), kind).encode(pa.array([*texts, None]))
+    assert [ids[first[i] : first[i + 1]].tolist() for i in range(len(texts) + 1)] == [*want, []]
+
+
 def brute_components(docs, k, num, den):
     sets, up = {}, {}
     for d, t in docs:
