@@ -610,6 +610,12 @@ def srt01(s, d):
     return frames(s, d).select("unit", "date_obs", "frame").orderBy("unit", "date_obs", "frame").limit(500)
 
 
+@query("srt01_all_frames_sorted", "SELECT unit, date_obs, frame FROM frames ORDER BY unit, date_obs, frame", "frames")
+def srt01_all(s, d):
+    """The whole sort; srt01_frames_sorted is its first 500 rows, as its SQL has it."""
+    return frames(s, d).select("unit", "date_obs", "frame").orderBy("unit", "date_obs", "frame")
+
+
 @query("srt06_brightness_rank", "SELECT source_id, row_number() OVER (ORDER BY v_jkc_mag ASC NULLS LAST, source_id)::INT AS rank FROM stars", "stars")
 def srt06(s, d):
     from .operators.solve import brightness_rank

@@ -196,3 +196,10 @@ def test_registry_and_sql_agree(spark):
         assert len(a) == len(b)
         for c in key:
             assert (a[c].astype(str) == b[c].astype(str)).all() or np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-4, equal_nan=True), (name, c)
+
+
+def test_frames_are_sorted_whole(spark):
+    d = "/root/testdata/sf0.01"
+    want = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderpriority", "o_orderdate", "o_orderkey").collect()
+    got = [tuple(r) for r in registry.QUERIES["srt01_all_frames_sorted"](spark, d).collect()]
+    assert len(want) > 500 and got == sorted(tuple(r) for r in want)
