@@ -465,6 +465,13 @@ def join11(s, d):
     return rounded(match.nearest_neighbour(pixels(s, d)[0], 20.0, "det_id"), "nn_dist")
 
 
+@query("join11_all_nn", "SELECT a.vec_id AS det_id, round(min(sqrt(pow(a.ra - b.ra, 2) + pow(a.dec - b.dec, 2))) FILTER (sqrt(pow(a.ra - b.ra, 2) + pow(a.dec - b.dec, 2)) <= 20), 6) AS nn_dist FROM sky a JOIN sky b ON a.vec_id <> b.vec_id GROUP BY 1", "sky")
+def join11_all(s, d):
+    """Among all points; join11_nn is among those of even ids, as its SQL has it."""
+    points = sky_points(s, d).select(F.col("vec_id").alias("det_id"), F.col("ra").alias("x"), F.col("dec").alias("y"))
+    return rounded(match.nearest_neighbour(points, 20.0, "det_id"), "nn_dist")
+
+
 @query("join04_lookup", "SELECT l_orderkey, l_linenumber, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10")
 def join04(s, d):
     return read(s, d, "lineitem").join(read(s, d, "part").where("p_size < 10"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand", "p_size")

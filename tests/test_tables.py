@@ -203,3 +203,15 @@ def test_frames_are_sorted_whole(spark):
     want = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderpriority", "o_orderdate", "o_orderkey").collect()
     got = [tuple(r) for r in registry.QUERIES["srt01_all_frames_sorted"](spark, d).collect()]
     assert len(want) > 500 and got == sorted(tuple(r) for r in want)
+
+
+def test_nearest_neighbours_are_among_all_points(spark):
+    d = "/root/testdata/sf0.001"
+    rows = registry.sky_points(spark, d).collect()
+    ids, p = [r["vec_id"] for r in rows], np.array([(r["ra"], r["dec"]) for r in rows])
+    apart = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    np.fill_diagonal(apart, np.inf)
+    want = {i: v if v <= 20 else None for i, v in zip(ids, apart.min(1))}
+    got = {r["det_id"]: r["nn_dist"] for r in registry.QUERIES["join11_all_nn"](spark, d).collect()}
+    assert got.keys() == want.keys() and any(i % 2 for i in got)
+    assert all((got[i] is None) == (v is None) and (v is None or abs(got[i] - v) < 1e-5) for i, v in want.items())
