@@ -1,7 +1,6 @@
 import sys
 from pathlib import Path
 
-import numpy as np
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -30,52 +29,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-# Injected stars, as published for the synthetic field: a 7 x 7 grid of known magnitudes and colours.
-NX, NY, ZP, K, NOISE, PEDESTAL = 420, 380, 21.5, 0.12, 8.0, 800.0
-FWHM = {"R": 4.4, "G": 4.0, "B": 4.8}
-CENTRE = (186.6821, 81.474)
-
-
-def truth(seed=20260803):
-    rng = np.random.default_rng(seed)
-    gx, gy = np.meshgrid(42 + 48 * np.arange(7), 42 + 48 * np.arange(7))
-    v, colour = np.linspace(10.2, 13.8, 49), 0.4 + 1.2 * rng.random(49)
-    green = 10 ** (-(v - ZP - K * (colour - np.median(colour))) / 2.5)
-    return {"x": gx.ravel() + 0.3, "y": gy.ravel() - 0.2, "v": v, "colour": colour, "G": green, "R": green * 10 ** (0.2 * colour), "B": green * 10 ** (-0.2 * colour)}
-
-
-def cube(t, seed=7, shift=(0.0, 0.0)):
-    rng = np.random.default_rng(seed)
-    out = np.zeros((3, NY, NX))
-    gy, gx = np.mgrid[:NY, :NX]
-    for b, name in enumerate("RGB"):
-        s = FWHM[name] / 2.3548
-        for x, y, f in zip(t["x"] + shift[0], t["y"] + shift[1], t[name] * 30):
-            y0, y1, x0, x1 = max(int(y) - 25, 0), int(y) + 26, max(int(x) - 25, 0), int(x) + 26
-            cell = np.s_[y0:y1, x0:x1]
-            out[b][cell] += f / (2 * np.pi * s * s) * np.exp(-((gx[cell] - x) ** 2 + (gy[cell] - y) ** 2) / (2 * s * s))
-        out[b] += PEDESTAL + rng.normal(0, NOISE, (NY, NX))
-    return out.astype(np.float32)
-
-
-HEADER = {
-    "TELESCOP": "S50_8a95aa90", "INSTRUME": "Imager S50", "OBJECT": "MW Cam", "FILTER": "IRCUT", "XPIXSZ": 2.9, "YPIXSZ": 2.9, "FOCALLEN": 250.0,
-    "RA": CENTRE[0], "DEC": CENTRE[1], "SITELAT": 48.3157, "SITELONG": 16.3527, "CCD-TEMP": 20.3, "DATE-OBS": "2026-07-24T21:03:55.341",
-    "EQMODE": 0, "STACKCNT": 39, "EXPTIME": 10.0, "EXPOSURE": 10.0, "TOTALEXP": 390.0,
-}
-
-
-def wcs():
-    from starlode.pixels.solver import Wcs
-
-    return Wcs((NX / 2, NY / 2), CENTRE, np.diag([-2.39 / 3600, 2.39 / 3600]))
-
-
-def catalogue_rows(t):
-    ra, dec = wcs().to_world(t["x"], t["y"])
-    return [(int(i + 1), float(a), float(d), float(v), float(v), float(v + 0.5 * c), float(v - 0.5 * c), float(c), "NOT_AVAILABLE") for i, (a, d, v, c) in enumerate(zip(ra, dec, t["v"], t["colour"]))]
-
-
-CATALOGUE = "source_id long, ra double, dec double, phot_g_mean_mag double, v_jkc_mag double, b_jkc_mag double, r_jkc_mag double, bp_rp double, phot_variable_flag string"

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import CATALOGUE, CENTRE, HEADER, K, NX, NY, ZP, catalogue_rows, cube, truth, wcs
+from synthetic_frames import CATALOGUE, CENTRE, HEADER, K, NX, NY, ZP, catalogue_rows, cube, truth, wcs
 from pyspark.sql import functions as F
 
 from starlode.functions import headers
