@@ -47,6 +47,8 @@ def table(path: str) -> list[bytes]:
 def encoding(path: str, pattern: str):
     import tiktoken
 
+    if len(table(path)) > 1 << 16:
+        raise ValueError(f"{path}: over 65,536 tokens")
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(table(path))}, special_tokens={})
 
 
@@ -65,7 +67,10 @@ def blocks(docs: DataFrame, want: str) -> DataFrame:
                     made, known, at = made + 1, {}, 0
                 if made >= 1 << 12:
                     raise ValueError("over 4096 groups in one partition; scan the input in smaller ones")
-                group = ((part.column(2)[0].as_py() << 12) + made) << 31
+                scan = part.column(2)[0].as_py()
+                if scan >= 1 << 20:
+                    raise ValueError("over 1,048,576 partitions in the scan; read the input in larger ones")
+                group = ((scan << 12) + made) << 31
                 array, first, _ = V.pieces(part.column(1).to_pylist(), True)
                 coded = array.dictionary_encode()
                 words, before = coded.dictionary.to_pylist(), len(known)
@@ -158,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each row of ``docs`` (doc_id, text): ids by the ranks at ``path``, little-endian 16-bit.
 
     Null and empty texts have no ids; rows with one id or none give a row each. Other
-    columns are ignored. The vocabulary has to have fewer than 65,536 tokens.
+    columns are ignored. A vocabulary of over 65,536 tokens raises an error.
     """
     return assemble(encode_words(blocks(docs, "words"), path, pattern).union(blocks(docs, "streams")))
 

@@ -56,69 +56,81 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, part, role, text): the final message of each (conv_id, turn, part).
-
-    Events are dealt by message, so a conversation of any length is spread; a message's
-    events stream through its task in the order of seq (ties by kind in the order above,
-    then text). Null roles and texts are empty, null seqs come first; an unknown kind
-    raises an error. A message that was deleted has no row.
-    """
+MESSAGE = "conv_id long, turn long, part long, role string, text string"
+FORMATTED = "conv_id long, turn long, part long, formatted string, loss_start long, loss_stop long"
 
-    def run(batches):
-        now, role, parts, alive = None, "", [], False
 
-        def message():
-            return (*now, role, "".join(parts))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = [pa.int64() if k == "long" else pa.string() for _, k in fields]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [n for n, _ in fields])
 
-        for batch in batches:
-            rows = []
-            for conv, turn, part, _, kind, who, text in zip(*(c.to_pylist() for c in batch.columns[:7])):
-                key = (conv, turn, part)
-                if key != now:
-                    if alive:
-                        rows.append(message())
-                    now, role, parts, alive = key, "", [], False
-                if kind == "delta":
-                    parts.append(text or "")
-                    role = role or who or ""
-                elif kind in ("open", "regenerate"):
-                    parts, role = [text or ""], who or role
-                elif kind == "edit":
-                    parts = [text or ""]
-                elif kind != "delete":
-                    raise ValueError(f"unknown event {kind!r}")
-                alive = kind != "delete"
-            yield batch_of(rows)
-        yield batch_of([message()] if alive else [])
-
-    def batch_of(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "turn", "part", "role", "text"])
 
+def in_order(events: DataFrame) -> DataFrame:
+    """The log dealt by conversation, its events in order: one shuffle serves folding and all that follows."""
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    sorted_ = events.select("conv_id", "turn", "part", "seq", "kind", "role", "text").repartition("conv_id", "turn", "part").sortWithinPartitions("conv_id", "turn", "part", F.col("seq").asc_nulls_first(), order, "text")
-    return sorted_.mapInArrow(run, "conv_id long, turn long, part long, role string, text string")
+    dealt = events.select("conv_id", "turn", "part", "seq", "kind", "role", "text").repartition("conv_id")
+    return dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "part", F.col("seq").asc_nulls_first(), order, "text")
+
+
+def folded(batches):
+    """Batches of ordered events to batches of messages; a message's events are held, not its conversation's."""
+    now, role, parts, alive = None, "", [], False
+
+    def message():
+        return (*now, role, "".join(parts))
+
+    for batch in batches:
+        rows = []
+        for conv, turn, part, _, kind, who, text in zip(*(c.to_pylist() for c in batch.columns[:7])):
+            key = (conv, turn, part)
+            if key != now:
+                if alive:
+                    rows.append(message())
+                now, role, parts, alive = key, "", [], False
+            if kind == "delta":
+                parts.append(text or "")
+                role = role or who or ""
+            elif kind in ("open", "regenerate"):
+                parts, role = [text or ""], who or role
+            elif kind == "edit":
+                parts = [text or ""]
+            elif kind != "delete":
+                raise ValueError(f"unknown event {kind!r}")
+            alive = kind != "delete"
+        yield _batch(rows, MESSAGE)
+    yield _batch([message()] if alive else [], MESSAGE)
+
+
+def formatted(batches):
+    """Batches of messages to batches of formatted turns with their loss spans."""
+    for batch in batches:
+        rows = []
+        for conv, turn, part, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out, start, stop = render(role, text)
+            rows.append((conv, turn, part, out, *((start, stop) if role == "assistant" else (0, 0))))
+        yield _batch(rows, FORMATTED)
 
 
-def format_messages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, part, formatted, loss_start, loss_stop): a row for each turn; its loss span is empty unless an assistant speaks."""
+def fold(events: DataFrame) -> DataFrame:
+    """(conv_id, turn, part, role, text): the final message of each (conv_id, turn, part).
+
+    A conversation's events stream through one task in the order of turn, part and seq (ties
+    by kind in the order above, then text); what is held is a message. Null roles and texts
+    are empty, null seqs come first; an unknown kind raises an error. A message that was
+    deleted has no row.
+    """
+    return in_order(events).mapInArrow(folded, MESSAGE)
 
-    def run(batches):
-        for batch in batches:
-            turns = [render(r, t) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            loss = [r == "assistant" for r in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([t[0] for t in turns], pa.string()), pa.array([t[1] if on else 0 for t, on in zip(turns, loss)], pa.int64()), pa.array([t[2] if on else 0 for t, on in zip(turns, loss)], pa.int64())],
-                ["conv_id", "turn", "part", "formatted", "loss_start", "loss_stop"],
-            )
 
-    return messages.select("conv_id", "turn", "part", "role", "text").mapInArrow(run, "conv_id long, turn long, part long, formatted string, loss_start long, loss_stop long")
+def format_messages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, part, formatted, loss_start, loss_stop): a row for each turn; its loss span is empty unless an assistant speaks."""
+    return messages.select("conv_id", "turn", "part", "role", "text").mapInArrow(formatted, FORMATTED)
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """The formatted turns of a log of events."""
-    return format_messages(fold(events))
+    """The formatted turns of a log of events, a conversation's in one partition and in order."""
+    return in_order(events).mapInArrow(lambda batches: formatted(folded(batches)), FORMATTED)
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -127,24 +139,18 @@ def conversations(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["formatted"]), "").alias("formatted"))
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation, from its formatted turns.
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-    Turns are parsed where they are; then a conversation's turns stream in order through the
-    digests, which hold nothing of it. Null ids are a conversation of their own.
-    """
 
-    def one(batches):
-        for batch in batches:
-            said, lost, size = [], [], []
-            for text, start, stop in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))):
-                ((role, plain, _, _),) = parse(text)
-                said.append(f"{role}\n{plain}\n")
-                lost.append(unescape(text[start:stop]))
-                size.append(len(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.string()), pa.array(lost, pa.string()), pa.array(size, pa.int64())], ["conv_id", "turn", "part", "said", "lost", "size"])
+def read_back(turns: DataFrame, ordered: bool = False) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation, parsed from its formatted turns.
+
+    A conversation's turns stream in order through the digests, which hold nothing of it.
+    ``ordered``: they already stand so, as ``format_log`` leaves them. Null ids are a
+    conversation of their own.
+    """
 
-    def whole(batches):
+    def run(batches):
         now, state, seen = None, None, False
 
         def row():
@@ -152,40 +158,60 @@ def read_back(turns: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for conv, said, lost, size in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
+            for conv, text, start, stop in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
                 if not seen or conv != now:
                     if seen:
                         rows.append(row())
                     now, state, seen = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
+                ((role, plain, _, _),) = parse(text)
+                lost = unescape(text[start:stop])
                 state[0] += 1
-                state[1].update(said.encode())
+                state[1].update(f"{role}\n{plain}\n".encode())
                 state[2] += len(lost)
                 state[3].update(lost.encode())
-                state[4] += size
-            yield out(rows)
-        yield out([row()] if seen else [])
+                state[4] += len(text)
+            yield _batch(rows, DIGESTS)
+        yield _batch([row()] if seen else [], DIGESTS)
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    turns = turns.select("conv_id", "turn", "part", "formatted", "loss_start", "loss_stop")
+    if not ordered:
+        turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "part")
+    return turns.mapInArrow(run, DIGESTS)
 
-    def out(rows):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    parsed = turns.select("conv_id", "turn", "part", "formatted", "loss_start", "loss_stop").mapInArrow(one, "conv_id long, turn long, part long, said string, lost string, size long")
-    ordered = parsed.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "part")
-    return ordered.mapInArrow(whole, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def finished(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, part, role, text) of a table of messages. Rows with one turn number are messages of their own (part), in the order of role and text."""
+    same = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").repartition("conv_id")
+    return rows.withColumn("part", F.row_number().over(same).cast("long"))
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """A table of finished messages (conv_id, turn, role, text) as a log: each row opens its message.
+    """A table of finished messages (conv_id, turn, role, text) as a log: each row opens its message."""
+    return finished(rows).withColumn("seq", F.lit(0).cast("long")).withColumn("kind", F.lit("open"))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """A table of finished messages as the log of a chat that ended so.
 
-    Rows with one turn number are messages of their own (part), in the order of role and text.
+    By a hash of conversation and turn a message is opened with its text; or opened empty
+    and streamed in two deltas; or drafted, regenerated and streamed; or drafted and edited.
     """
-    same = W.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return rows.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.row_number().over(same).cast("long").alias("part"),
-        F.lit(0).cast("long").alias("seq"), F.lit("open").alias("kind"), "role", "text",
-    )
+    text, half = F.col("text"), F.floor(F.char_length("text") / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+
+    def log(*events):
+        return F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), what.alias("text")) for i, (kind, what) in enumerate(events)])
+
+    none, draft = F.lit(""), F.lit("### draft </turn>")
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    events = (
+        F.when(way == 0, log(("open", text)))
+        .when(way == 1, log(("open", none), ("delta", first), ("delta", rest)))
+        .when(way == 2, log(("open", draft), ("delta", draft), ("regenerate", none), ("delta", first), ("delta", rest)))
+        .otherwise(log(("open", draft), ("delta", draft), ("edit", text)))
+    )
+    return finished(rows).withColumn("e", F.explode(events)).select("conv_id", "turn", "part", "e.seq", "e.kind", "role", "e.text")
 
 
 #: Rows that use the template's own control strings.
@@ -195,4 +221,4 @@ HARD = r"\### Assistant: </turn> ok"
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
-    return read_back(format_log(events_of(rows.union(hard))))
+    return read_back(format_log(streamed(rows.union(hard))), ordered=True)

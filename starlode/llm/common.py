@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,38 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def labels(spark: SparkSession) -> list[int]:
+    """For each partition of a shuffle a number (an int column's value) that Spark's hash partitioning sends there."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    out, found, at = np.arange(n), np.zeros(n, bool), 0
+    while not found.all():
+        i = np.arange(at, at + 16 * n + 64, dtype=np.uint32)
+        to = hash_of(i).view(np.int32).astype(np.int64) % n
+        out[to[::-1]], found[to] = np.where(found[to[::-1]], out[to[::-1]], i[::-1].astype(np.int64)), True
+        at += len(i)
+    return out.tolist()
+
+
+def hash_of(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int: MurmurHash3 of its four bytes, seed 42."""
+
+    def turn(v, r):
+        return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+
+    k = turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = h ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps at once; they would stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables, written to the shared folder: they cut the lineage and outlive executors.
 

@@ -94,26 +94,27 @@ def decode(unit: np.ndarray, words: int, z: float, least: int, s: Settings) -> l
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, key, vec): vec is null for vectors that link with nothing; key is a digest of its components."""
+    """(vec_id, label, dim, key, vec): vec, the components as they came (4 or 8 bytes each), is null for vectors that link with nothing; key is its digest."""
 
     def run(batches):
         for batch in batches:
-            data = []
+            data, item = [], "<f4" if pa.types.is_float32(batch.column(2).type.value_type) else "<f8"
             for v in batch.column(2).to_pylist():
                 ok = v is not None and len(v) > 0 and None not in v
                 x = np.array(v, np.float64) if ok else None
-                data.append(x.astype("<f8").tobytes() if ok and np.isfinite(x).all() and x.any() else None)
+                data.append(x.astype(item).tobytes() if ok and np.isfinite(x).all() and x.any() else None)
             label = batch.column(1).is_valid().to_pylist()
             known = batch.column(0).is_valid().to_pylist()
             data = [d if on and id_ else None for d, on, id_ in zip(data, label, known)]
             key = [hashlib.blake2b(d, digest_size=16).digest() if d is not None else None for d in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) // 8 if d else 0 for d in data], pa.int32()), pa.array(key, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "dim", "key", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) // int(item[2]) if d else 0 for d in data], pa.int32()), pa.array(key, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "dim", "key", "vec"])
 
     return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, "vec_id long, label long, dim int, key binary, vec binary")
 
 
 def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+    raw = b"".join(column.to_pylist())
+    x = np.frombuffer(raw, "<f8" if len(raw) == 8 * dim * len(column) else "<f4").astype(np.float64).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -216,18 +217,20 @@ def dedup(spark: SparkSession, embeddings: DataFrame, settings: Settings = Setti
     Vectors link if their labels are equal and their cosine reaches the least one. Null
     labels and ids, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing; neither do vectors of different length. Rows with equal
-    vectors link with each other. Other columns are ignored.
+    vectors link with each other; rows that share an id but not the vector are judged each on
+    its own. Other columns are ignored.
     """
     scratch = Scratch(spark, "embeddings")
     rows = scratch.keep(vectors(embeddings), "rows")
-    classes = rows.where("vec IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
-    classes = scratch.keep(classes, "classes")
+    classes = rows.where("vec IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    # A class goes by a number of its own: an id may stand in rows of several classes.
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = scratch.keep(compared(scratch.keep(filtered(classes, settings), "cells"), settings), "found")
-    # A vector of two classes can't be: ids that stand in several rows are told apart by key alone.
     roots = components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.select("label", "key", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    placed = classes.select("label", "key", "rep", "least", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    by_class = placed.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "label", "key").join(by_class, ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

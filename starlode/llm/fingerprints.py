@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,18 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as V
+from .common import labels
 
 BITS, HASHES = 2048, 5
 
 
 @dataclass(frozen=True)
 class Settings:
-    """levels: steps of entropy that are ranked. short: bytes of the features of very short texts."""
+    """levels: steps of entropy that are ranked."""
 
-    width: int = 32
-    short: int = 8
-    span: int = 64
-    popularity: int = 16
+    width: int = 16
+    span: int = 16
+    popularity: int = 4
     per_filter: int = 160
     levels: int = 1000
 
@@ -107,16 +108,13 @@ def feature_places(levels: np.ndarray, rank: np.ndarray, s: Settings) -> np.ndar
 
 
 def filters(data: np.ndarray, levels: np.ndarray, rank: np.ndarray, s: Settings) -> np.ndarray:
-    """The chain of Bloom filters (rows of BITS / 8 bytes) of a text. Of a text below four windows, every window of ``short`` bytes is a feature."""
+    """The chain of Bloom filters (rows of BITS / 8 bytes) of a text. A text shorter than a window is its one feature."""
     n = len(data)
     if not n:
         return np.zeros((0, BITS // 8), np.uint8)
-    if n < 4 * s.width:
-        w = min(s.short, n)
-        at = np.arange(n - w + 1)
-    else:
-        w, at = s.width, feature_places(levels, rank, s)
-    hashes = V.span_hash(V.prefix_hash(data), at, at + w)
+    w, at = (n, np.zeros(1, np.int64)) if n < s.width else (s.width, feature_places(levels, rank, s))
+    powers = np.array([pow(V.BASE, j + 1, 1 << 64) for j in range(w)], np.uint64)
+    hashes = V.mix(((data[at[:, None] + np.arange(w)].astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1))
     _, first = np.unique(hashes, return_index=True)
     hashes = hashes[np.sort(first)]  # a repeated feature counts once
     chain = np.arange(len(hashes)) // s.per_filter
@@ -200,9 +198,16 @@ def in_order(docs: DataFrame) -> DataFrame:
     docs = docs.select(key.alias("key"), "doc_id", "text")
     cut = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
     cuts = sorted(set(cut))
-    # A key's range is the number of bounds not above it.
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    ranged = docs.withColumn("bucket", bucket.cast("int"))
+    # A key's range is the number of bounds not above it: first among every k-th, then among the k behind.
+    if cuts:
+        k = math.isqrt(len(cuts)) + 1
+        below = lambda values: F.size(F.filter(values, lambda c: c <= F.col("key")))
+        docs = docs.withColumn("block", below(F.array(*map(F.lit, cuts[::k]))))
+        inside = F.slice(F.array(*map(F.lit, cuts)), F.greatest(F.col("block") - 1, F.lit(0)) * k + 1, F.lit(k))
+        bucket = F.when(F.col("block") > 0, (F.col("block") - 1) * k + below(inside)).otherwise(0)
+    else:
+        bucket = F.lit(0)
+    ranged = docs.withColumn("bucket", bucket.cast("int")).drop("block")
     full = [r["bucket"] for r in ranged.groupBy("bucket").agg(F.count("*")).select("bucket").collect()]
     full.sort()
     if not full:
@@ -224,7 +229,7 @@ def compare_edited(spark: SparkSession, docs: DataFrame, settings: Settings = Se
     The edited text has the last floor(n / 4) of its n code points replaced by the first
     as many (or all) of the next document's, in ascending doc_id; after the last comes the
     first. Rows with one id follow each other by the digest of their texts. Null texts are empty. A
-    lone document is its own next.
+    lone document is its own next. Other columns are ignored; a null text counts as empty in order, too.
     """
     s, rank = settings, rarity(level_counts(docs, settings))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -262,7 +267,8 @@ def compare_edited(spark: SparkSession, docs: DataFrame, settings: Settings = Se
                     yield results(pairs)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = in_order(docs).repartition("bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), F.coalesce(F.sha2("text", 256), F.lit("")))
+    # A range to each partition.
+    dealt = in_order(docs).withColumn("label", F.array(*map(F.lit, labels(spark)))[F.col("bucket")]).repartition("label").drop("label").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), F.coalesce(F.sha2("text", 256), F.lit("")))
     return dealt.mapInArrow(run, schema)
 
 

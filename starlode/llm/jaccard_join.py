@@ -26,23 +26,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as V
+from .bloom import Table, table_of
 from .common import Forest, Scratch, components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """k: words of a shingle. num / den: the least Jaccard similarity. block: sets in a tree. table_bits: size of the Bloom tables."""
+    """k: words of a shingle. num / den: the least Jaccard similarity. block: sets in a tree."""
 
     k: int = 3
     num: int = 90
     den: int = 100
     block: int = 1024
-    table_bits: int = 24
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -52,44 +51,17 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(sh[edge[d] : edge[d + 1]]) for d in range(len(column))]
 
 
-# ---------------------------------------------------------------- fixed-size tables over all rows
-
-CHUNK = 1 << 16
-
-
-def merged(parts: DataFrame, size: int) -> np.ndarray:
-    """Unites the tasks' bit tables, given as rows (chunk, data); ``size`` bounds what the driver gets."""
-
-    def unite(batches):
-        table: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = np.frombuffer(zstandard.decompress(data.as_py()), np.uint8)
-                table[chunk] = table[chunk] | row if chunk in table else row
-        for chunk, row in table.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zstandard.compress(row.tobytes(), 1)])], ["chunk", "data"])
-
-    rows = parts.repartition(max(1, size // CHUNK), "chunk").mapInArrow(unite, "chunk int, data binary").collect()
-    out = np.zeros(size, np.uint8)
-    for row in rows:
-        got = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
-        out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(got)] = got
-    return out
-
-
-def in_chunks(table: np.ndarray):
-    for chunk in range(0, len(table), CHUNK):
-        part = table[chunk : chunk + CHUNK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)])], ["chunk", "data"])
-
-
 #: Hashes below this are the pool of the global order.
 POOL = 1 << 62
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): row tells rows apart and is the same at every scan of a table."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def documents_of(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n, sig, pool) of every document: sig is a 128-bit digest of its set, pool its shingles of the pool and,
+    """(row, doc_id, n, sig, pool) of every document: sig is a 128-bit digest of its set, pool its shingles of the pool and,
     if they are fewer than a prefix, as many of the others as a prefix then holds."""
     import xxhash
 
@@ -100,14 +72,15 @@ def documents_of(docs: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in V.slices(batch):
-                sets = shingle_sets(part.column(1), s.k)
+                sets = shingle_sets(part.column(2), s.k)
                 sig = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 heads = [first(x) for x in sets]
                 edge = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], ["doc_id", "n", "sig", "pool"])
+                lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.binary()), lists], ["row", "doc_id", "n", "sig", "pool"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, pool array<long>")
+    return numbered(docs).mapInArrow(run, "row long, doc_id long, n long, sig binary, pool array<long>")
 
 
 def prefixes(classes: DataFrame, s: Settings) -> DataFrame:
@@ -126,38 +99,18 @@ def prefixes(classes: DataFrame, s: Settings) -> DataFrame:
     return ranked.join(size, "rep").where(~F.col("pooled") | (F.col("at") <= room)).select("rep", "n", "token")
 
 
-def sets_of(docs: DataFrame, wanted: np.ndarray, s: Settings) -> DataFrame:
-    """(doc_id, shingles) of the documents in the Bloom table ``wanted``, and of few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def sets_of(docs: DataFrame, wanted: Table, s: Settings) -> DataFrame:
+    """(rep, shingles) of the rows in the table ``wanted``, and of few others."""
+    shared = wanted.shared(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            at = places(batch.column(0).to_numpy(zero_copy_only=False), s)
-            hit = np.all((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1, axis=0)
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(shared.value.holds(batch.column(0).to_numpy())))
             for part in V.slices(batch):
                 sets = shingle_sets(part.column(1), s.k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "shingles"])
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
-
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "shingles"])
 
-def places(ids: np.ndarray, s: Settings) -> np.ndarray:
-    h = V.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(V.BASE))
-    return np.stack([(V.mix(h + np.uint64(j)) >> np.uint64(64 - s.table_bits)).astype(np.int64) for j in range(3)])
-
-
-def bloom(ids: DataFrame, s: Settings) -> np.ndarray:
-    """A Bloom table of fixed size (2 ** table_bits bits) of the ids; it saves work and decides nothing."""
-
-    def run(batches):
-        table = np.zeros(1 << (s.table_bits - 3), np.uint8)
-        for batch in batches:
-            at = places(batch.column(0).to_numpy(), s).ravel()
-            np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield from in_chunks(table)
-
-    return merged(ids.mapInArrow(run, "chunk int, data binary"), 1 << (s.table_bits - 3))
+    return numbered(docs).select("row", "text").mapInArrow(run, "rep long, shingles binary")
 
 
 # ---------------------------------------------------------------- the tree
@@ -298,20 +251,27 @@ def join(spark: SparkSession, docs: DataFrame, settings: Settings = Settings())
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     A text is its words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; its set holds its
-    distinct shingles, with fewer words than a shingle the whole sequence. Empty and null
-    texts have n_shingles 0 and are their own component. Rows with one id give a row each
-    and count as one document's component only if their sets link. A null id stays null
-    and takes no part in the components. Other columns are ignored.
+    distinct shingles (64-bit hashes of them), with fewer words than a shingle the whole
+    sequence. Empty and null texts have n_shingles 0 and are their own component. Rows with
+    one id give a row each, judged by their own sets, also where their texts differ. A null
+    id stays null and takes no part in the components. Other columns are ignored. ``docs``
+    has to give the same rows at every scan.
     """
+    return components_of(spark, docs, settings).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, stays): as ``join``; row is ``numbered``'s, stays whether a row is its component's
+    first by id and row. Rows without words or id stay."""
     s, scratch = settings, Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     full = scratch.keep(documents_of(docs, s), "full", "lz4")
     rows = scratch.keep(full.drop("pool"), "rows")
     known = rows.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    first = scratch.keep(known.groupBy("sig").agg(F.min("doc_id").alias("rep")), "first")
-    # A row for each class, its smallest id's.
-    classes = full.join(first.withColumnRenamed("sig", "s2"), (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s2")))
-    classes = scratch.keep(classes.dropDuplicates(["sig"]).select("rep", "n", "pool"), "classes", "lz4")
+    # A class has equal sets; it goes by the row of its smallest id.
+    head = F.min(F.struct("doc_id", "row")).alias("head")
+    first = scratch.keep(known.groupBy("sig").agg(head).select("sig", F.col("head.row").alias("rep"), "head"), "first")
+    classes = scratch.keep(full.join(first.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "pool"), "classes", "lz4")
     scratch.drop("full")
     level = F.floor(F.log("n") / math.log(s.den / s.num) * (1 - 1e-9))  # sizes of linked sets are a level apart at most
     heads = prefixes(classes, s).select("rep", "token", F.explode(F.array(level, level + 1)).alias("level"))
@@ -319,9 +279,8 @@ def join(spark: SparkSession, docs: DataFrame, settings: Settings = Settings())
     scratch.drop("classes")
     tokens = heads.groupBy("token", "level").agg(F.min("rep").alias("g"), F.max("rep").alias("last")).where("g < last").select("token", "level", "g")
     met = scratch.keep(heads.join(tokens, ["token", "level"]).select("g", "rep").distinct(), "met")
-    wanted = bloom(met.select("rep").distinct(), s)
+    wanted = table_of(met.select("rep").distinct())
     sets = scratch.keep(sets_of(docs, wanted, s), "sets", "lz4")
-    sets = sets.withColumnRenamed("doc_id", "rep")
     sizes = met.groupBy("g").agg(F.count("*").alias("size"))
     dealt = met.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / s.block)).cast("int"))
     own = dealt.join(sets, "rep").select("g", "block", F.lit(0).alias("part"), F.col("rep").alias("doc_id"), F.col("rep").alias("label"), F.lit(True).alias("query"), F.lit(True).alias("base"), "shingles")
@@ -342,8 +301,17 @@ def join(spark: SparkSession, docs: DataFrame, settings: Settings = Settings())
         across = scratch.keep(group_links(both, s), "across")
         roots = components(spark, edges.union(across), scratch, "all")
 
-    by_class = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))
-    return rows.join(by_class, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # The smallest id of a component: a class without links is its own.
+    placed = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = placed.groupBy("root").agg(F.min("head").alias("least"))
+    by_class = placed.join(least, "root").select("sig", "least")
+    # Rows of a class may be a third of all: the join is by class, and AQE splits it.
+    out = rows.join(by_class, "sig", "left")
+    own = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
+    return out.select(
+        "row", "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce(~own | (F.col("row") == F.col("least.row")), F.lit(True)).alias("stays"),
+    )
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,9 +41,54 @@ SENTENCES = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense-domain": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-grant": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "lgpl2-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl2-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "mpl-title": ["Mozilla Public License Version 2.0"],
+    "epl-title": ["Eclipse Public License - v 2.0"],
+    "artistic-title": ["The Artistic License 2.0"],
     "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 
+#: What a notice says before a licence's name.
+VERBS = ("licensed under", "released under", "distributed under", "available under", "covered by", "published under")
+
+#: Licences that notices name, by SPDX identifier, and the names that they go by: fixed values.
+NAMES = {
+    "MIT": ["the MIT License", "MIT License", "MIT"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache License 2.0", "Apache 2.0"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the Simplified BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the New BSD License", "the Modified BSD License"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "GPLv2"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "GPLv3"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU LGPL v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU LGPL v3", "LGPLv3"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the GNU AGPL v3", "AGPLv3"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL 2.0"],
+    "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0"],
+    "BSL-1.0": ["the Boost Software License, Version 1.0", "the Boost Software License 1.0"],
+    "Zlib": ["the zlib License"],
+    "Artistic-2.0": ["the Artistic License 2.0", "the Artistic License, version 2.0"],
+    "Unlicense": ["the Unlicense", "the Unlicense license"],
+    "ISC": ["the ISC License"],
+    "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "the CC0 1.0 Universal Public Domain Dedication"],
+}
+
 #: Ordered rules: licence, identifiers.
 RULES = [
     ("MIT", ("mit-notice",)),
@@ -65,20 +110,52 @@ RULES = [
     ("BSD-3-Clause", ("bsd-permit", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("ISC", ("isc-grant",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("Unlicense", ("unlicense-domain", "unlicense-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("LGPL-2.1-or-later", ("lgpl2-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")),
+    ("Apache-2.0", ("apache-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("LGPL-2.1", ("lgpl2-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl-title",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("EPL-2.0", ("epl-title",)),
+    ("Artistic-2.0", ("artistic-title",)),
 ]
 
 #: Every known sentence has one of these words (see tests); texts without them hold none.
-SIGNS = "licen[cs]e|permission|redistribution|software|cc0|licensed|warranty"
+SIGNS = "licen[cs]e|permission|redistribution|software|warranty|(?:licensed|released|distributed|available|covered|published) (?:under|by)"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """joined: consecutive sentences tried together. gap: foreign sentences allowed between two of a rule."""
+    """gap: foreign sentences allowed between two of a rule."""
 
-    joined: int = 32
     gap: int = 3
 
 
+@lru_cache(maxsize=1)
+def all_sentences() -> dict[str, list[str]]:
+    """SENTENCES, and the notices that name one of NAMES after one of VERBS or as an SPDX line."""
+    out = {name: list(texts) for name, texts in SENTENCES.items()}
+    given = {normalise(t) for texts in SENTENCES.values() for t in texts}
+    for spdx, names in NAMES.items():
+        made = [f"{start}{verb} {name}" for name in names for verb in VERBS for start in ("", "this work is ", "this project is ", "this software is ", "this file is ")] + [f"SPDX-License-Identifier: {spdx}"]
+        out[f"notice-{spdx}"] = [t for t in made if normalise(t) not in given]
+    return out
+
+
+@lru_cache(maxsize=1)
+def all_rules() -> list[tuple[str, tuple[str, ...]]]:
+    return [*RULES, *((spdx, (f"notice-{spdx}",)) for spdx in NAMES)]
+
+
 WORD = re.compile(r"[a-z0-9]+")
 BREAK = re.compile(r"\n|(?<=[.;:])(?=\s)")
 
@@ -90,13 +167,13 @@ def normalise(text: str) -> str:
 @lru_cache(maxsize=1)
 def known() -> tuple[dict[str, str], set[str], dict[str, list[int]]]:
     """Identifiers by normalised sentence, the proper beginnings of those sentences at word ends, and rules by first identifier."""
-    ids = {normalise(text): name for name, texts in SENTENCES.items() for text in texts}
+    ids = {normalise(text): name for name, texts in all_sentences().items() for text in texts}
     starts = set()
     for text in ids:
         words = text.split()
         starts |= {" ".join(words[:n]) for n in range(1, len(words))}
     first: dict[str, list[int]] = {}
-    for i, (_, sequence) in enumerate(RULES):
+    for i, (_, sequence) in enumerate(all_rules()):
         first.setdefault(sequence[0], []).append(i)
     return ids, starts, first
 
@@ -113,19 +190,31 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def identify(parts: list[tuple[int, int, str]], s: Settings) -> list[tuple[int, int, str]]:
+def notice(text: str) -> str | None:
+    """The identifier of a grant that a longer sentence ends with ("foo is licensed under the mit license"), unless it denies it."""
+    ids = known()[0]
+    for verb in VERBS:
+        at = text.rfind(f" {verb} ")
+        if at >= 0 and not text[:at].endswith((" not", " never")) and text[at + 1 :] in ids:
+            return ids[text[at + 1 :]]
+    return None
+
+
+def identify(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(first, last, identifier): known sentences among parts, the longest from each place; a sentence wrapped over lines is several parts."""
     ids, starts, _ = known()
     out, i = [], 0
     while i < len(parts):
-        text, best = parts[i][2], None
-        for j in range(i, min(i + s.joined, len(parts))):
-            if j > i:
-                text += " " + parts[j][2]
+        text, best, j = parts[i][2], None, i
+        while True:
             if text in ids:
                 best = (i, j, ids[text])
-            if text not in starts:
+            j += 1
+            if text not in starts or j == len(parts):
                 break
+            text += " " + parts[j][2]
+        if best is None and (name := notice(parts[i][2])):
+            best = (i, i, name)
         if best:
             out.append(best)
         i = best[1] + 1 if best else i + 1
@@ -135,12 +224,12 @@ def identify(parts: list[tuple[int, int, str]], s: Settings) -> list[tuple[int,
 def scan(text: str, s: Settings = Settings()) -> list[tuple[str, int, int, list[str]]]:
     """(licence, start, stop, identifiers) of the rules that match, in the order of the text."""
     parts = sentences(text)
-    found = identify(parts, s)
+    found = identify(parts)
     first, out, i = known()[2], [], 0
     while i < len(found):
         best: tuple | None = None
         for rule in first.get(found[i][2], ()):
-            name, sequence = RULES[rule]
+            name, sequence = all_rules()[rule]
             at, k = i, 1
             while k < len(sequence) and at + 1 < len(found) and found[at + 1][0] - found[at][1] - 1 <= s.gap and found[at + 1][2] == sequence[k]:
                 at, k = at + 1, k + 1

@@ -4,8 +4,10 @@ Documents longer than a sequence are cut, from their end, into whole sequences;
 is their first piece. Pieces are dealt by hash into shares of ``share`` pieces on average
 and each share is packed on its own, the longest pieces first: a piece goes where the
 squared counts of the open sequences per residual gap become smallest. A share's
-sequences that stay open below ``full`` are packed once more, together with those of its
-neighbours, by fewer tasks, until a single share is left.
+sequences that stay open below ``full`` are taken apart and their pieces packed once more,
+in as many shares as they fill, until a single share is left or their number doesn't fall:
+then they are pieces that leave sequences open however they are dealt. No share is larger
+than the first ones.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .tokens import encoder
 
 @dataclass(frozen=True)
 class Settings:
-    """length: tokens of a sequence. end: the id behind each document. share: pieces that a task packs on average. full: part of a sequence that closes it."""
+    """length: tokens of a sequence. end: the id behind each document. share: pieces that a task packs on average. full: part of a sequence that closes it. fan_in: by how much a level has fewer shares than the one before, at most."""
 
     length: int = 2048
     end: int = 0
@@ -128,21 +130,22 @@ def place(pieces: DataFrame, share: str, s: Settings) -> DataFrame:
 
 def assign(pieces: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
     """(row, piece, sequence_id, offset) of (row, piece, length): no sequence is longer than the length, none has a gap inside."""
+    rest, done, level = pieces.select("row", "piece", "length"), None, 0
     shares = max(1, -(-pieces.count() // s.share))
-    rest = pieces.select("row", "piece", "length", F.pmod(F.xxhash64("row", "piece"), F.lit(shares)).alias("share"))
-    done, level = None, 0
     while True:
         level += 1
-        packed = scratch.keep(place(rest, "share", s), f"level{level}")
-        last = shares == 1
+        dealt = rest.withColumn("share", F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(shares)))
+        packed = scratch.keep(place(dealt, "share", s), f"level{level}")
+        rest = packed.where(F.col("used") < s.full * s.length).select("row", "piece", "length")
+        fewer = max(1, -(-rest.count() // s.share), shares // s.fan_in)
+        last = fewer >= shares
         closed = packed if last else packed.where(F.col("used") >= s.full * s.length)
         # (level, share, bin) in one number: 8, 27 and 28 bits.
         named = closed.select("row", "piece", (F.lit(level) * (1 << 55) + F.col("share") * (1 << 28) + F.col("bin")).alias("sequence_id"), "offset")
         done = named if done is None else done.union(named)
         if last:
             return done
-        shares = max(1, shares // s.fan_in)
-        rest = packed.where(F.col("used") < s.full * s.length).select("row", "piece", "length", F.pmod("share", F.lit(shares)).alias("share"))
+        shares = fewer
 
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, settings: Settings = Settings()) -> DataFrame:

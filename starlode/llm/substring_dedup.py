@@ -1,18 +1,20 @@
 """Substring dedup by collinear chaining: finds passages that documents share, edits included.
 
-1. Seeds: the hashes of all k-word runs, dealt in blobs by bucket. At k = 4, ``min_words`` = 50 and
-   ``similarity`` = 0.8 a passage shares at least ``shared`` = 7 of them with its source: a change
+1. Seeds: the hashes of all k-word runs. Documents are read in chunks of about ``chunk`` words; a
+   chunk sends each of its distinct seeds once, in one blob for each bucket of hashes, so a seed that
+   stands everywhere comes once a chunk, however many documents hold it. At k = 4, ``min_words`` = 50
+   and ``similarity`` = 0.8 a passage shares at least ``shared`` = 7 seeds with its source: a change
    breaks k of them at most (q-gram lemma).
-2. Every seed that several documents hold is matched with its first occurrence (smallest
+2. A bucket answers each chunk: for every seed that stands earlier, its first occurrence (smallest
    document, then position), which is the one that stays. A seed of any number of documents
-   therefore makes as many matches, not all pairs.
-3. A document's matches, whatever their partners, have to be as many as a passage must have
-   (``close_runs``). The matches of two documents are chained in order: a match adds its weight
-   and pays for the words between it and the match before; a Fenwick tree over the first
-   document's positions gives the best predecessor. A chain may have a single match.
-4. Chains are aligned word by word over the two texts, their ends extended, and their stretches
-   of at least ``similarity`` stay. The passages of a document are the unions of its aligned
-   stretches that reach ``min_words``.
+   therefore makes as many matches, not all pairs, and no bucket or chunk grows with its frequency.
+3. The chunk chains the matches of two documents in order: a match adds its weight and pays for the
+   words between it and the match before; a Fenwick tree over the first document's positions gives
+   the best predecessor. A chain needs ``least`` matches: up to ``shared - least`` seeds of the
+   shortest, most changed passage may have their first occurrence elsewhere.
+4. Chains whose two stretches share ``shared`` seeds, as a passage must, are aligned word by word,
+   their ends extended, and their stretches of at least ``similarity`` stay. The passages of a
+   document are the unions of its aligned stretches that reach ``min_words``.
 """
 
 from __future__ import annotations
@@ -22,28 +24,34 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import jaccard_join
 from . import textvec as V
-from .common import Scratch
+from .bloom import Table, table_of
+from .common import Scratch, labels, settle
+from .textvec import pack, unpack
 
 
 @dataclass(frozen=True)
 class Settings:
-    """k: words of a seed. max_gap: words between two matches of a chain. extend: words tried beyond a chain's ends.
-    min_chain: words of a chain that counts towards a passage. buckets: parts that seeds are matched in. stride: matches of one diagonal of which one is chained."""
+    """k: words of a seed. least: matches of a chain. max_gap: words between two matches of a chain. extend: words tried beyond a chain's ends.
+    min_chain: words of an aligned stretch that counts towards a passage. chunk: words whose seeds are sent together. bucket: seeds matched together, about.
+    stride: matches of one diagonal of which one is chained. inside: whether a document's own repeats count."""
 
     k: int = 4
     min_words: int = 50
     similarity: float = 0.8
+    least: int = 4
     weight: float = 6.0
     gap_cost: float = 0.05
     max_gap: int = 40
     extend: int = 48
     min_chain: int = 12
-    buckets: int = 1024
+    chunk: int = 1 << 20
+    bucket: int = 1 << 22
     stride: int = 8
+    inside: bool = False
 
     @property
     def shared(self) -> int:
@@ -51,92 +59,188 @@ class Settings:
         return max(self.min_words - self.k + 1 - self.k * changes, 1)
 
 
-def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, word position) of all runs of k words."""
-    counts = np.maximum(np.diff(first) - k + 1, 0)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    position = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
-    at = position + first[owner]
-    return V.join_hash(*(hashes[at + j] for j in range(k))), owner, position
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, tag, text) of the rows with an id: row tells rows apart and is the same at every scan of a table, tag is the text's CRC-32."""
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32("text").alias("tag"), "text")
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """Numbers from 0 on in as few bytes each as the largest needs."""
-    return values.astype(np.min_scalar_type(values.max())).tobytes()
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k words from each place on (len - k + 1 of them)."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += words[j : j + n] * np.uint64(pow(V.BASE, 2 * j + 1, 1 << 64))
+    return V.mix(total)
 
 
-def wide(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{len(blob) // n}").astype(np.int64)
+def sorted_by(*columns: np.ndarray) -> np.ndarray:
+    """The order by the columns (non-negative integers), the first one most significant."""
+    widths = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    place = max(len(columns[0]) - 1, 1).bit_length()
+    if sum(widths) + place > 64:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c, w in zip(columns, widths):
+        key = (key << np.uint64(w)) | c.astype(np.uint64)
+    key = np.sort((key << np.uint64(place)) | np.arange(len(key), dtype=np.uint64))
+    return (key & np.uint64((1 << place) - 1)).astype(np.int64)
 
 
-def seeds(docs: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, least, n, h, doc, pos): the seeds of some documents in a bucket; 40 bits of each hash, ids less ``least``."""
+SENT = "label int, bucket int, chunk long, home int, own boolean, data binary"
 
-    def run(batches):
-        for batch in batches:
-            for part in V.slices(batch, limit=2 << 20):
-                hashes, _, _, first = V.word_hashes(*V.text_bytes(part.column(1)))
-                h, owner, position = grams(hashes, first, s.k)
-                bucket = (h >> np.uint64(40)).astype(np.int64) % s.buckets
-                order = np.argsort(bucket.astype(np.uint16) if s.buckets <= 1 << 16 else bucket, kind="stable")
-                edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=s.buckets))])
-                h, ids, position = h[order].view(np.uint8).reshape(-1, 8)[:, :5], part.column(0).to_numpy()[owner[order]], position[order]
-                rows: list[list] = [[] for _ in range(6)]
-                for b in np.flatnonzero(np.diff(edge)).tolist():
-                    i, j = int(edge[b]), int(edge[b + 1])
-                    least = int(ids[i:j].min())
-                    # The difference of two longs fits an unsigned one.
-                    away = ids[i:j].view(np.uint64) - np.uint64(least & 0xFFFFFFFFFFFFFFFF)
-                    for column, value in zip(rows, (b, least, j - i, h[i:j].tobytes(), narrow(away), narrow(position[i:j]))):
-                        column.append(value)
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "least", "n", "h", "doc", "pos"])
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "bucket int, least long, n int, h binary, doc binary, pos binary")
-
-
-def first_matches(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, pos, a_doc, a_pos): each occurrence of a hash with its first one, in another document."""
-    order = np.argsort(h)
-    g = h[order]
-    same = g[1:] == g[:-1]
-    order = order[np.append(same, False) | np.append(False, same)]  # hashes that occur twice
-    order = order[np.lexsort((pos[order], doc[order], h[order]))]
-    h, doc, pos = h[order], doc[order], pos[order]
-    new = np.append(True, h[1:] != h[:-1])[: len(h)]
-    at = np.flatnonzero(new)[np.cumsum(new) - 1]
-    keep = doc > doc[at]
-    return doc[keep], pos[keep], doc[at][keep], pos[at][keep]
-
-
-def matches(found: DataFrame) -> DataFrame:
-    """(doc_id, pos, a_doc, a_pos): each occurrence of a shared seed with the seed's first one, in another document."""
+
+def seeds(docs: DataFrame, s: Settings, buckets: int, places: list[int]) -> DataFrame:
+    """The blobs of all chunks: for each bucket (key, pos, doc, count, id, tag, row) and one of its ``own`` (row, id, tag and its repeats).
+
+    A bucket goes to the partition of ``label``, a chunk comes back to that of ``home``.
+    """
 
     def run(batches):
-        now, parts = None, []
+        from pyspark import TaskContext
+
+        part, made, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []  # (row, id, tag, first position, seeds)
 
         def flush():
-            h, doc, pos = (np.concatenate(c) for c in zip(*parts))
-            out = first_matches(h, doc, pos)
-            for i in range(0, len(out[0]), 100_000):
-                columns = [pa.array(c[i : i + 100_000].astype(t)) for c, t in zip(out, (np.int64, np.int32, np.int64, np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "a_doc", "a_pos"])
+            nonlocal made, size, held
+            rows, ids, tags, starts = (np.array([x[i] for x in held], np.int64) for i in range(4))
+            order = np.lexsort((rows, tags, ids))
+            rows, ids, tags, starts = rows[order], ids[order], tags[order], starts[order]
+            h = np.concatenate([held[i][4] for i in order.tolist()])
+            sizes = np.array([len(held[i][4]) for i in order.tolist()])
+            doc = np.repeat(np.arange(len(rows)), sizes)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+            bucket, key = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            at = sorted_by(bucket, key)
+            again = (bucket[at[1:]] == bucket[at[:-1]]) & (key[at[1:]] == key[at[:-1]])
+            new = np.append(True, ~again)
+            first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            later, source = at[~new], first[~new]
+            chunk, home = (part << 24) + made, places[(5 * part + made) % len(places)]
+            out = [(places[chunk % len(places)], -1, chunk, home, True, pack(rows, ids, tags, doc[later], pos[later], doc[source], pos[source]))]
+            once = np.sort(at[new])
+            order = once[np.argsort(bucket[once].astype(np.uint16) if buckets <= 1 << 16 else bucket[once], kind="stable")]
+            edge = np.concatenate([[0], np.cumsum(np.bincount(bucket[order], minlength=buckets))])
+            key, pos, doc = key[order], pos[order], doc[order]
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                i, j = int(edge[b]), int(edge[b + 1])
+                here = np.flatnonzero(np.append(True, np.diff(doc[i:j]) > 0))
+                there, count = doc[i:j][here], np.diff(np.append(here, j - i))
+                out.append((places[b % len(places)], b, chunk, home, False, pack(key[i:j], pos[i:j], there, count, ids[there], tags[there], rows[there])))
+            made, size, held = made + 1, 0, []
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 64]), kinds)], ["label", "bucket", "chunk", "home", "own", "data"])
 
         for batch in batches:
-            bucket, least, n = (batch.column(c).to_pylist() for c in range(3))
-            for i in range(batch.num_rows):
-                if bucket[i] != now:
-                    if parts:
-                        yield from flush()
-                    now, parts = bucket[i], []
-                h, doc, pos = (batch.column(c)[i].as_py() for c in (3, 4, 5))
-                full = np.zeros((n[i], 8), np.uint8)
-                full[:, :5] = np.frombuffer(h, np.uint8).reshape(-1, 5)
-                parts.append((full.view("<u8")[:, 0], wide(doc, n[i]) + least[i], wide(pos, n[i]).astype(np.int32)))
-        if parts:
+            for few in V.slices(batch):
+                hashes, _, _, first = V.word_hashes(*V.text_bytes(few.column(3)))
+                row, doc, tag = (few.column(i).to_numpy().tolist() for i in range(3))
+                every = grams(hashes, s.k)
+                for d in np.flatnonzero(np.diff(first) >= s.k).tolist():
+                    a, b = int(first[d]), int(first[d + 1]) - s.k + 1
+                    # A very long document comes in several chunks.
+                    for i in range(a, b, s.chunk):
+                        own = every[i : min(i + s.chunk, b)]
+                        held.append((row[d], doc[d], tag[d], i - a, own))
+                        size += len(own)
+                        if size >= s.chunk:
+                            yield from flush()
+        if held:
             yield from flush()
 
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, pos int, a_doc long, a_pos int")
+    return numbered(docs).mapInArrow(run, SENT)
+
+
+def first_matches(blobs: list[bytes], inside: bool) -> tuple[np.ndarray, ...]:
+    """(blob, doc, pos, a_row, a_pos): each entry of a bucket's blobs that has an earlier one with its key, and the earliest, in another document or at another place."""
+    key, pos, doc, count, ids, tags, rows = (list(c) for c in zip(*(unpack(b) for b in blobs)))
+    docs_of = np.repeat(np.arange(len(blobs)), [len(d) for d in doc])
+    count, blob = np.concatenate(count), np.repeat(np.arange(len(blobs)), [len(k) for k in key])
+    key, pos, doc, ids, tags, rows = (np.concatenate(c) for c in (key, pos, doc, ids, tags, rows))
+    which = np.repeat(np.arange(len(doc)), count)
+    order = sorted_by(key)
+    same = key[order[1:]] == key[order[:-1]]
+    held = order[np.append(same, False) | np.append(False, same)]  # keys of several chunks
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((docs_of, rows, tags, ids))] = np.arange(len(doc))
+    held = held[sorted_by(key[held], rank[which[held]], pos[held])]
+    new = np.append(True, key[held[1:]] != key[held[:-1]])[: len(held)]
+    top = held[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    x, a = which[held], which[top]
+    own = (ids[x] == ids[a]) & (tags[x] == tags[a])
+    keep = ~new & (~own | (inside & (pos[held] > pos[top])))
+    held, top = held[keep], top[keep]
+    return blob[held], doc[which[held]], pos[held], rows[which[top]], pos[top]
+
+
+def matches(sent: DataFrame, s: Settings) -> DataFrame:
+    """(home, chunk, own, data): the buckets' answers to each chunk (doc, pos, a_row, a_pos), and the chunks' own rows as they are."""
+
+    def run(batches):
+        now, held = None, []
+
+        def flush():
+            blob, *found = first_matches([h[2] for h in held], s.inside)
+            order = np.argsort(blob, kind="stable")
+            edge = np.searchsorted(blob[order], np.arange(len(held) + 1)).tolist()
+            rows = [(held[i][0], held[i][1], False, pack(*(c[order[edge[i] : edge[i + 1]]] for c in found))) for i in range(len(held)) if edge[i] < edge[i + 1]]
+            held.clear()
+            return rows
+
+        def out(rows):
+            for i in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256]), [pa.int32(), pa.int64(), pa.bool_(), pa.binary()])], ["home", "chunk", "own", "data"])
+
+        for batch in batches:
+            passed = []
+            for bucket, chunk, home, own, data in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                if own:
+                    passed.append((home, chunk, True, data))
+                    continue
+                if bucket != now:
+                    if held:
+                        yield from out(flush())
+                    now = bucket
+                held.append((home, chunk, data))
+            yield from out(passed)
+        if held:
+            yield from out(flush())
+
+    return sent.repartition("label").sortWithinPartitions("label", "bucket", "chunk").mapInArrow(run, "home int, chunk long, own boolean, data binary")
+
+
+def merged(own: bytes, answers: list[bytes], s: Settings) -> tuple[np.ndarray, ...]:
+    """(rows, ids, tags, doc, pos, a_row, a_pos): a chunk's documents and all matches of its seeds, repeats within the chunk included, in the order of doc, a_row and pos."""
+    rows, ids, tags, later, later_pos, source, source_pos = unpack(own)
+    doc, pos, a_row, a_pos = (np.concatenate(c) for c in zip(*map(unpack, answers))) if answers else [np.zeros(0, np.int64)] * 4
+    if len(later):
+        # A repeat has the match of the chunk's first one, or that one itself.
+        place = (doc << 32) | pos
+        order = np.argsort(place)
+        wanted = (source << 32) | source_pos
+        at = order[np.minimum(np.searchsorted(place, wanted, sorter=order), len(place) - 1)] if len(place) else np.zeros(len(wanted), np.int64)
+        hit = place[at] == wanted if len(place) else np.zeros(len(wanted), bool)
+        partner, partner_pos = rows[source].copy(), source_pos.copy()
+        partner[hit], partner_pos[hit] = a_row[at[hit]], a_pos[at[hit]]
+        alike = (ids[source] == ids[later]) & (tags[source] == tags[later]) & ~hit
+        keep = ~alike | (s.inside & (later_pos > source_pos))
+        doc, pos, a_row, a_pos = (np.concatenate([x, y[keep]]) for x, y in ((doc, later), (pos, later_pos), (a_row, partner), (a_pos, partner_pos)))
+    _, partner = np.unique(a_row, return_inverse=True)
+    order = sorted_by(doc, partner, pos) if len(doc) else np.zeros(0, np.int64)
+    return rows, ids, tags, doc[order], pos[order], a_row[order], a_pos[order]
+
+
+def close_groups(doc: np.ndarray, a_row: np.ndarray, pos: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of the stretches of matches of two documents without a gap that ends a chain, of ``least`` matches or more."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (a_row[1:] != a_row[:-1]) | (np.diff(pos) > s.max_gap + s.k)))
+    stop = np.append(start[1:], len(doc))
+    enough = stop - start >= s.least
+    return start[enough], stop[enough]
 
 
 def chain(b: list[int], a: list[int], s: Settings) -> list[list[int]]:
@@ -203,87 +307,72 @@ def blocks(b: list[int], a: list[int], path: list[int], k: int) -> list[int]:
     return out
 
 
-def close_runs(positions: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of the runs of matched positions (ascending, each once) with small gaps that have as many as a passage."""
-    if not len(positions):
-        return positions, positions
-    gap = np.flatnonzero(np.diff(positions) > s.max_gap + s.k)
-    first, last = np.append(0, gap + 1), np.append(gap, len(positions) - 1)
-    keep = last - first + 1 >= s.shared
-    return positions[first[keep]], positions[last[keep]]
-
-
-def chains(found: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, a_doc, runs) of the chains; a document's matches go through one task as a sorted stream."""
+def chains(answered: DataFrame, s: Settings) -> DataFrame:
+    """(row, doc_id, tag, a_row, runs) of the chains; a chunk's matches stand in one task."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["row", "doc_id", "tag", "a_row", "runs"]
+
+    def linked(own, answers):
+        rows, ids, tags, doc, pos, a_row, a_pos = merged(own, answers, s)
+        start, stop = close_groups(doc, a_row, pos, s)
+        if not len(start):
+            return
+        # Matches on one diagonal are a chain as they stand.
+        away, bounds = np.append(a_pos - pos, 0), np.stack([start, stop], 1).ravel()
+        straight = np.minimum.reduceat(away, bounds)[::2] == np.maximum.reduceat(away, bounds)[::2]
+        at, end = start[straight], stop[straight] - 1
+        runs = np.stack([pos[at], a_pos[at], pos[end] + s.k - pos[at]], 1).ravel().astype(np.int32)
+        d = doc[at]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 3), pa.array(runs))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.array(ids[d]), pa.array(tags[d]), pa.array(a_row[at]), lists], names)
+        # Of matches that follow each other word by word the first, the last and some between: the same stretch.
+        goes_on = (doc[1:] == doc[:-1]) & (a_row[1:] == a_row[:-1]) & (np.diff(pos) == 1) & (np.diff(a_pos) == 1)
+        begins = np.append(True, ~goes_on)
+        number = np.arange(len(pos)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        kept = np.flatnonzero((number % s.stride == 0) | np.append(~goes_on, True))
+        stands_for = np.diff(np.append(kept, len(pos)))
+        out: list[tuple] = []
+        for i, j in zip(np.searchsorted(kept, start[~straight]).tolist(), np.searchsorted(kept, stop[~straight]).tolist()):
+            own_at = kept[i:j]
+            x, y, n, d = pos[own_at].tolist(), a_pos[own_at].tolist(), stands_for[i:j].tolist(), int(doc[own_at[0]])
+            for path in chain(x, y, s):
+                if sum(n[t] for t in path) >= s.least:
+                    out.append((int(rows[d]), int(ids[d]), int(tags[d]), int(a_row[own_at[0]]), blocks(x, y, path, s.k)))
+        for i in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000]), kinds)], names)
 
     def run(batches):
-        now, parts = None, []  # the document and its matches: (a_doc, pos, a_pos)
-        rows: tuple[list, list, list] = ([], [], [])
-
-        def flush():
-            a_doc, pos, a_pos = (np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
-            if len(pos) < s.shared:
-                return
-            starts, stops = close_runs(np.unique(pos), s)
-            if not len(starts):
-                return
-            at = np.searchsorted(starts, pos, side="right") - 1
-            inside = (at >= 0) & (pos <= stops[at])
-            a_doc, pos, a_pos = a_doc[inside], pos[inside], a_pos[inside]
-            # Of matches that follow each other word by word the first, the last and some between: the same stretch.
-            goes_on = (a_doc[1:] == a_doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (a_pos[1:] == a_pos[:-1] + 1)
-            begins = np.append(True, ~goes_on)
-            number = np.arange(len(pos)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-            keep = (number % s.stride == 0) | np.append(~goes_on, True)
-            a_doc, pos, a_pos = a_doc[keep], pos[keep], a_pos[keep]
-            edge = [0, *(np.flatnonzero(a_doc[1:] != a_doc[:-1]) + 1).tolist(), len(pos)]
-            partner, b, a = a_doc.tolist(), pos.tolist(), a_pos.tolist()
-            for i, j in zip(edge, edge[1:]):
-                x, y = b[i:j], a[i:j]
-                for path in [[0]] if j - i == 1 else chain(x, y, s):
-                    for column, value in zip(rows, (now, partner[i], blocks(x, y, path, s.k))):
-                        column.append(value)
-
-        def batch_of():
-            out = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int32()))], ["doc_id", "a_doc", "runs"])
-            for column in rows:
-                column.clear()
-            return out
-
+        now, own, answers = None, None, []
         for batch in batches:
-            doc, *rest = (batch.column(c).to_numpy() for c in range(4))
-            edge = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
-            for i, j in zip(edge, edge[1:]):
-                if i == j:
-                    continue
-                if doc[i] != now:
-                    if parts:
-                        flush()
-                    now, parts = int(doc[i]), []
-                parts.append([c[i:j] for c in rest])
-                if len(rows[0]) >= 10_000:
-                    yield batch_of()
-        if parts:
-            flush()
-        yield batch_of()
+            for chunk, mine, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if chunk != now:
+                    if own is not None:
+                        yield from linked(own, answers)
+                    now, own, answers = chunk, None, []
+                if mine:
+                    own = data
+                else:
+                    answers.append(data)
+        if own is not None:
+            yield from linked(own, answers)
 
-    return found.select("doc_id", "a_doc", "pos", "a_pos").repartition("doc_id").sortWithinPartitions("doc_id", "a_doc", "pos", "a_pos").mapInArrow(run, "doc_id long, a_doc long, runs array<int>")
+    return answered.repartition("home").sortWithinPartitions("home", "chunk").mapInArrow(run, "row long, doc_id long, tag long, a_row long, runs array<int>")
 
 
-def word_rows(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, words): 32-bit word hashes of the documents in the Bloom table ``wanted``."""
-    shared, js = docs.sparkSession.sparkContext.broadcast(wanted), jaccard_join.Settings()
+def word_rows(docs: DataFrame, wanted: Table) -> DataFrame:
+    """(row, doc_id, tag, words): 16-bit word hashes of the rows in the table ``wanted``; one pair of different words in 65,536 looks alike to an alignment."""
+    shared = wanted.shared(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            at = jaccard_join.places(batch.column(0).to_numpy(), js)
-            batch = batch.filter(pa.array(np.all((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1, axis=0)))
+            batch = batch.filter(pa.array(shared.value.holds(batch.column(0).to_numpy())))
             for part in V.slices(batch):
-                hashes, _, _, first = V.word_hashes(*V.text_bytes(part.column(1)))
-                short = (hashes >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([short[first[d] : first[d + 1]].tobytes() for d in range(part.num_rows)], pa.binary())], ["doc_id", "words"])
+                hashes, _, _, first = V.word_hashes(*V.text_bytes(part.column(3)))
+                short = (hashes >> np.uint64(48)).astype("<u2")
+                data = [short[first[d] : first[d + 1]].tobytes() for d in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(data, pa.binary())], ["row", "doc_id", "tag", "words"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+    return numbered(docs).mapInArrow(run, "row long, doc_id long, tag long, words binary")
 
 
 def edits(x: list[int], y: list[int]) -> int:
@@ -327,37 +416,38 @@ def diagonal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([same, 1 - same, np.ones_like(same), np.ones_like(same)])
 
 
-def shifted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Columns of the alignment of x and y with the fewest changes, up to the end of one of them."""
-    x, y = x.tolist(), y.tolist()
-    table = [list(range(len(y) + 1))]
-    for i, u in enumerate(x, 1):
-        row, last = [i], table[-1]
-        for j, v in enumerate(y, 1):
-            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (u != v)))
-        table.append(row)
-    i, j = min([(len(x), j) for j in range(len(y) + 1)] + [(i, len(y)) for i in range(len(x) + 1)], key=lambda e: (table[e[0]][e[1]], -e[0] - e[1]))
-    out = []
-    while i or j:
-        if i and j and table[i][j] == table[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((int(x[i] == y[j]), int(x[i] != y[j]), 1, 1))
-        elif i and table[i][j] == table[i - 1][j] + 1:
-            i -= 1
-            out.append((0, 1, 1, 0))
-        else:
-            j -= 1
-            out.append((0, 1, 0, 1))
-    return np.array(out[::-1], np.int64).reshape(-1, 4).T
-
-
-def common(x: np.ndarray, y: np.ndarray, k: int) -> int:
-    """Places of x whose k words stand somewhere in y, too."""
-    if min(len(x), len(y)) < k:
-        return 0
-    u, v = (sum(w[j : len(w) - k + 1 + j].astype(np.uint64) * np.uint64(pow(V.BASE, j + 1, 1 << 64)) for j in range(k)) for w in (x, y))
-    v = np.sort(v)
-    return int(np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u))
+def shifted(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[np.ndarray]:
+    """For each pair (x, y) the columns of their alignment with the fewest changes, up to the end of one of them; all pairs at once."""
+    n, most = len(xs), max((len(v) for v in (*xs, *ys)), default=0)
+    many = np.arange(n)
+    lx, ly = (np.array([len(v) for v in side]) for side in (xs, ys))
+    x, y = np.full((n, most), -1, np.int64), np.full((n, most), -2, np.int64)
+    for i in range(n):
+        x[i, : lx[i]], y[i, : ly[i]] = xs[i], ys[i]
+    table, at = np.zeros((n, most + 1, most + 1), np.int16), np.arange(most + 1, dtype=np.int16)
+    table[:, 0] = at
+    for i in range(most):
+        row, last = table[:, i + 1], table[:, i]
+        row[:, 0] = i + 1
+        row[:, 1:] = np.minimum(last[:, 1:] + 1, last[:, :-1] + (x[:, i, None] != y))
+        row[:] = np.minimum.accumulate(row - at, axis=1) + at  # words of y left out
+    # The end with the fewest changes, the farthest of equals.
+    down, across = table[many, lx], table[many, :, ly]
+    score = np.concatenate([np.where(at <= ly[:, None], down * 256 - lx[:, None] - at, 1 << 20), np.where(at <= lx[:, None], across * 256 - ly[:, None] - at, 1 << 20)], axis=1)
+    end = score.argmin(axis=1)
+    i, j = np.where(end <= most, lx, end - most - 1), np.where(end <= most, end, ly)
+    kinds, steps = np.zeros((n, 2 * most + 1), np.int8), np.zeros(n, np.int64)  # 1: alike, 2: changed, 3: a word of x alone, 4: of y
+    while (on := np.flatnonzero((i > 0) | (j > 0))).size:
+        u, v = i[on], j[on]
+        here, p, q = table[on, u, v], np.maximum(u - 1, 0), np.maximum(v - 1, 0)
+        differ = x[on, p] != y[on, q]
+        both = (u > 0) & (v > 0) & (here == table[on, p, q] + differ)
+        alone = ~both & (u > 0) & (here == table[on, p, v] + 1)
+        kinds[on, steps[on]] = np.where(both, 1 + differ, np.where(alone, 3, 4))
+        i[on], j[on] = np.where(both | alone, p, u), np.where(both | ~alone, q, v)
+        steps[on] += 1
+    parts = np.array([[0, 1, 0, 0, 0], [0, 0, 1, 1, 1], [0, 1, 1, 1, 0], [0, 1, 1, 0, 1]], np.int64)
+    return [parts[:, kinds[k, : steps[k]][::-1]] for k in range(n)]
 
 
 def stretches(columns: np.ndarray, b0: int, a0: int, s: Settings) -> list[tuple[int, int, int, int, float]]:
@@ -397,131 +487,181 @@ def size(found: list[tuple[int, int, int, int, float]]) -> int:
     return max((x[1] - x[0] for x in found), default=0)
 
 
-def align(b: np.ndarray, a: np.ndarray, runs: np.ndarray, s: Settings) -> list[tuple[int, int, int, int, float]]:
-    """Aligns two stretches along a chain (runs relative to them) and beyond its ends: b's and a's bounds and the similarity of what is similar enough."""
-    runs = runs.reshape(-1, 3)
-    b0, a0, _ = (int(v) for v in runs[0])
-    ends, core = (b0, a0), []
-    for bi, ai, n in runs.tolist():
+def common(b: list[np.ndarray], a: list[np.ndarray], k: int) -> np.ndarray:
+    """For each pair of stretches, the places of the first whose k words stand somewhere in the second."""
+
+    def hashes(stretches):
+        sizes = np.array([len(x) for x in stretches], np.int64)
+        owner = np.repeat(np.arange(len(stretches)), sizes)
+        h = grams(np.concatenate(stretches).astype(np.uint64), k)
+        inside = owner[k - 1 :] == owner[: len(h)]
+        owner = owner[: len(h)][inside]
+        return V.mix(h[inside] + owner.astype(np.uint64) * np.uint64(V.SEED_2)), owner
+
+    (x, owner), (y, _) = hashes(b), hashes(a)
+    if not len(x) or not len(y):
+        return np.zeros(len(b), np.int64)
+    y = np.sort(y)
+    return np.bincount(owner[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x], minlength=len(b))
+
+
+def core(b: np.ndarray, a: np.ndarray, runs: list[list[int]]) -> np.ndarray:
+    """The columns of two stretches from the first run of a chain to the last; what stands between two runs is one column."""
+    out, ends = [], runs[0][:2]
+    for bi, ai, n in runs:
         x, y = b[ends[0] : bi].tolist(), a[ends[1] : ai].tolist()
         if x or y:
             d = edits(x, y)
-            core.append(np.array([[max(len(x), len(y)) - d], [d], [len(x)], [len(y)]]))
-        core.append(diagonal(b[bi : bi + n], a[ai : ai + n]))
-        ends = bi + n, ai + n
-
-    def beyond(how):
-        left = how(b[:b0][::-1][: s.extend], a[:a0][::-1][: s.extend])[:, ::-1]
-        right = how(b[ends[0] :][: s.extend], a[ends[1] :][: s.extend])
-        columns = np.concatenate([left, *core, right], axis=1)
+            out.append(np.array([[max(len(x), len(y)) - d], [d], [len(x)], [len(y)]]))
+        out.append(diagonal(b[bi : bi + n], a[ai : ai + n]))
+        ends = [bi + n, ai + n]
+    return np.concatenate(out, axis=1)
+
+
+def align(b: list[np.ndarray], a: list[np.ndarray], chains: list[list[list[int]]], s: Settings) -> list[list[tuple[int, int, int, int, float]]]:
+    """Aligns pairs of stretches along their chains (runs relative to them) and beyond their ends: b's and a's bounds and the similarity of what is similar enough."""
+    out, cores, left, right = [], [], [], []
+    for x, y, runs in zip(b, a, chains):
+        (b0, a0, _), (b1, a1, n) = runs[0], runs[-1]
+        cores.append(core(x, y, runs))
+        left.append((x[:b0][::-1][: s.extend], y[:a0][::-1][: s.extend]))
+        right.append((x[b1 + n :][: s.extend], y[a1 + n :][: s.extend]))
+
+    def found(i, before, after):
+        columns = np.concatenate([before[:, ::-1], cores[i], after], axis=1)
         if columns[0].sum() < s.min_chain * s.similarity:
             return []
-        return stretches(columns, b0 - int(left[2].sum()), a0 - int(left[3].sum()), s)
+        return stretches(columns, chains[i][0][0] - int(before[2].sum()), chains[i][0][1] - int(before[3].sum()), s)
+
+    for i in range(len(b)):
+        out.append(found(i, diagonal(*left[i]), diagonal(*right[i])))
+    # Words put in or left out near the ends.
+    short = [i for i in range(len(b)) if size(out[i]) < s.min_words]
+    if short:
+        before, after = (shifted(*zip(*[side[i] for i in short])) for side in (left, right))
+        for i, x, y in zip(short, before, after):
+            more = found(i, x, y)
+            if size(more) >= s.min_words:
+                out[i] = more
+    return out
 
-    found = beyond(diagonal)
-    if size(found) < s.min_words and common(b, a, s.k) >= s.shared:
-        # Words put in or left out near the ends: as many seeds as a passage must have.
-        more = beyond(shifted)
-        if size(more) >= s.min_words:
-            return more
-    return found
+
+ALIGNED = "doc_id long, tag long, start int, stop int, a_doc long, a_tag long, a_start int, a_stop int, similarity double"
 
 
 def aligned(found: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, start, stop, a_doc, a_start, a_stop, similarity) of the chains that are similar enough."""
+    """(doc_id, tag, start, stop, a_doc, a_tag, a_start, a_stop, similarity) of the chains that are similar enough."""
     last = F.size("runs")
     c = found.select(
-        "doc_id", "a_doc", "runs",
+        "row", "doc_id", "tag", "a_row", "runs",
         F.greatest(F.col("runs")[0] - s.extend, F.lit(0)).alias("b0"), (F.col("runs")[last - 3] + F.col("runs")[last - 1] + s.extend).alias("b1"),
         F.greatest(F.col("runs")[1] - s.extend, F.lit(0)).alias("a0"), (F.col("runs")[last - 2] + F.col("runs")[last - 1] + s.extend).alias("a1"),
     )
 
     def cut(column, start, stop):
-        return F.substring(column, F.col(start) * 4 + 1, (F.col(stop) - F.col(start)) * 4)
+        return F.substring(column, F.col(start) * 2 + 1, (F.col(stop) - F.col(start)) * 2)
 
-    one = words.groupBy("doc_id").agg(F.first("words").alias("words"))
-    c = c.join(one, "doc_id").withColumn("b", cut("words", "b0", "b1")).drop("words")
-    c = c.join(one.withColumnRenamed("doc_id", "a_doc"), "a_doc").withColumn("a", cut("words", "a0", "a1")).drop("words")
+    # The sources first: many chains may lead to one, and are aligned where their own documents stand.
+    sides = words.select(F.col("row").alias("a_row"), F.col("doc_id").alias("a_doc"), F.col("tag").alias("a_tag"), "words")
+    c = c.join(sides, "a_row").withColumn("a", cut("words", "a0", "a1")).drop("words")
+    c = c.join(words.select("row", "words"), "row").withColumn("b", cut("words", "b0", "b1")).drop("words")
+    names = [f.split()[0] for f in ALIGNED.split(", ")]
 
     def run(batches):
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            rows = []
-            doc, a_doc, b0, a0 = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for i, (runs, b, a) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5), batch.column(6))):
-                runs = np.array(runs, np.int64).reshape(-1, 3) - np.array([b0[i], a0[i], 0])
-                for x in align(np.frombuffer(b.as_py(), "<u4"), np.frombuffer(a.as_py(), "<u4"), runs, s):
-                    rows.append((doc[i], x[0] + b0[i], x[1] + b0[i], a_doc[i], x[2] + a0[i], x[3] + a0[i], x[4]))
-            names = ["doc_id", "start", "stop", "a_doc", "a_start", "a_stop", "similarity"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(7)], names)
+            b, a = ([np.frombuffer(x, "<u2") for x in batch.column(i).to_pylist()] for i in (7, 8))
+            doc, tag, a_doc, a_tag, b0, a0 = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6))
+            # A stretch with a passage shares as many seeds with its source as the lemma says.
+            likely = np.flatnonzero(common(b, a, s.k) >= s.shared).tolist()
+            runs = [(np.array(batch.column(4)[i].as_py(), np.int64).reshape(-1, 3) - np.array([b0[i], a0[i], 0])).tolist() for i in likely]
+            rows = [(doc[i], tag[i], x[0] + b0[i], x[1] + b0[i], a_doc[i], a_tag[i], x[2] + a0[i], x[3] + a0[i], x[4]) for i, found in zip(likely, align([b[i] for i in likely], [a[i] for i in likely], runs, s)) for x in found]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(9)], names)
 
-    return c.select("doc_id", "a_doc", "runs", "b0", "a0", "b", "a").mapInArrow(run, "doc_id long, start int, stop int, a_doc long, a_start int, a_stop int, similarity double")
+    return c.select("doc_id", "tag", "a_doc", "a_tag", "runs", "b0", "a0", "b", "a").mapInArrow(run, ALIGNED)
 
 
-def passages(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, start, stop, a_doc, a_start, a_stop, similarity): each document's repeated passages, in words.
+def united(spans: DataFrame, keys: tuple[str, ...], s: Settings) -> DataFrame:
+    """``spans`` (keys, start, stop) with ``run``, the number of the union of overlapping or touching ones that each belongs to."""
+    inside = W.partitionBy(*keys).orderBy("start", "stop")
+    so_far = F.max("stop").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    new = spans.withColumn("new", (F.col("start") > F.coalesce(so_far, F.lit(-1))).cast("int"))
+    return new.withColumn("run", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+
 
-    ``start`` to ``stop`` is the union of aligned chains with smaller documents; the rest
-    describes the longest of them. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
-    Null and empty texts and documents below min_words have no passages. Rows with a null
-    id are left out; rows that share an id are one document of which the first text read
-    is compared. Other columns are ignored.
+def passages(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, tag, start, stop, a_doc, a_tag, a_start, a_stop, similarity): each document's repeated passages, in words.
+
+    ``start`` to ``stop`` is the union of aligned chains with smaller documents, or with
+    earlier places of the same one; the rest describes the longest of them. Words are
+    ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null and empty texts and documents below
+    min_words have no passages. Rows with a null id are left out. Rows that share an id are
+    documents of their own if their texts differ (tag is a text's CRC-32), one document if
+    not. Other columns are ignored. ``docs`` has to give the same rows at every scan.
     """
     s = settings
     scratch = scratch or Scratch(spark, "substring")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    linked = scratch.keep(chains(matches(seeds(docs, s)), s), "chains")
-    ids = linked.select("doc_id").union(linked.select("a_doc")).distinct()
-    words = scratch.keep(word_rows(docs, jaccard_join.bloom(ids, jaccard_join.Settings())), "words", "lz4")
-    good = scratch.keep(aligned(linked, words, s), "aligned")
-    # Unions of overlapping or touching stretches; a document's own, so as many as its words allow.
-    from pyspark.sql import Window as W
-
-    inside = W.partitionBy("doc_id").orderBy("start", "stop")
-    so_far = F.max("stop").over(inside.rowsBetween(W.unboundedPreceding, -1))
-    runs = good.withColumn("new", (F.col("start") > F.coalesce(so_far, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    longest = F.max(F.struct(F.col("stop") - F.col("start"), -F.col("a_doc"), "a_doc", "a_start", "a_stop", "similarity")).alias("x")
-    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), longest).where(F.col("stop") - F.col("start") >= s.min_words).select("doc_id", "start", "stop", "x.a_doc", "x.a_start", "x.a_stop", "x.similarity")
+    docs = docs.select("doc_id", "text")
+    places = labels(spark)
+    # As many buckets as partitions, or several for each where they would be large; a word has five bytes or more on average.
+    words = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = len(places) * max(1, -(-words // (5 * s.bucket * len(places))))
+    linked = scratch.keep(chains(matches(seeds(docs, s, buckets, places), s), s), "chains")
+    settle(spark)
+    wanted = table_of(linked.select("row").union(linked.select("a_row")))
+    held = scratch.keep(word_rows(docs, wanted), "words", "lz4")
+    good = scratch.keep(aligned(linked, held, s), "aligned")
+    scratch.drop("words", "chains")
+    settle(spark)
+    # A document's own stretches, so as many as its words allow.
+    runs = united(good, ("doc_id", "tag"), s)
+    longest = F.max(F.struct(F.col("stop") - F.col("start"), -F.col("a_doc"), "a_doc", "a_tag", "a_start", "a_stop", "similarity")).alias("x")
+    found = runs.groupBy("doc_id", "tag", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), longest)
+    return found.where(F.col("stop") - F.col("start") >= s.min_words).select("doc_id", "tag", "start", "stop", "x.a_doc", "x.a_tag", "x.a_start", "x.a_stop", "x.similarity")
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the words of ``spans`` (doc_id, start, stop) taken out of ``text``.
+    """``docs`` with the words of ``spans`` (doc_id, tag, start, stop) taken out of ``text``.
 
     A document of which nothing but white space is left goes; documents without spans stay
-    as they are. A document's spans are few (they don't overlap and have min_words each).
+    as they are, and so do rows that share an id with others but not the text. A document's
+    spans are few (they don't overlap and have min_words each).
     """
-    lists = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
-    both = docs.join(lists, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    lists = spans.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    both = docs.join(lists, (F.col("doc_id") == F.col("__id")) & (F.crc32("text") == F.col("__tag")), "left").drop("__id", "__tag")
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            text, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            data, offsets = V.text_bytes(batch.column(at))
             spans = batch.column(batch.num_columns - 1)
-            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
-                own = data[offsets[i] : offsets[i + 1]]
-                starts, ends, _ = V.words(own, np.array([0, len(own)]))
-                drop = np.zeros(len(own), bool)
-                for span in spans[int(i)].as_py():
-                    # with the white space after the passage, so that what stood around it stays apart
-                    stop = starts[span["stop"]] if span["stop"] < len(starts) else len(own)
-                    drop[starts[span["start"]] : stop] = True
-                text[i] = own[~drop].tobytes().decode()
-                keep[i] = bool(text[i].strip())
-            columns = list(batch.columns)[:-1]
-            columns[at] = pa.array(text, batch.schema.field(at).type)
+            keep, columns = np.ones(batch.num_rows, bool), list(batch.columns)[:-1]
+            touched = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                text = batch.column(at).to_pylist()
+                data, offsets = V.text_bytes(batch.column(at))
+                for i in touched:
+                    own = data[offsets[i] : offsets[i + 1]]
+                    starts, _, _ = V.words(own, np.array([0, len(own)]))
+                    starts, drop = np.append(starts, len(own)), np.zeros(len(own), bool)
+                    for span in spans[int(i)].as_py():
+                        # with the white space after the passage, so that what stood around it stays apart
+                        a, b = (min(span[c], len(starts) - 1) for c in ("start", "stop"))
+                        drop[starts[a] : starts[b]] = True
+                    text[i] = own[~drop].tobytes().decode()
+                    keep[i] = bool(text[i].strip())
+                columns[at] = pa.array(text, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep))
 
     return both.mapInArrow(run, docs.schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each repeated passage (removed) and one for each document that holds the copy that stays."""
+    """A row for each repeated passage (removed) and one for each stretch that holds copies that stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "substring")
-    found = scratch.keep(passages(spark, docs, scratch=scratch), "passages")
+    scratch, s = Scratch(spark, "substring"), Settings(inside=True)
+    found = scratch.keep(passages(spark, docs, s, scratch), "passages")
     gone = found.select("doc_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("stop_word"), F.col("a_doc").alias("source_doc_id"), F.col("a_start").cast("long").alias("source_start_word"), F.col("a_stop").cast("long").alias("source_stop_word"), "similarity", F.lit(True).alias("removed"))
-    stays = found.groupBy("a_doc").agg(F.min("a_start").cast("long").alias("start_word"), F.max("a_stop").cast("long").alias("stop_word"))
+    sources = found.select("a_doc", "a_tag", F.col("a_start").alias("start"), F.col("a_stop").alias("stop")).distinct()
+    stays = united(sources, ("a_doc", "a_tag"), s).groupBy("a_doc", "a_tag", "run").agg(F.min("start").cast("long").alias("start_word"), F.max("stop").cast("long").alias("stop_word"))
     none = F.lit(None).cast("long")
     return gone.union(stays.select(F.col("a_doc").alias("doc_id"), "start_word", "stop_word", none, none, none, F.lit(1.0), F.lit(False)))

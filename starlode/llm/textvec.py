@@ -7,6 +7,8 @@ empty texts.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -87,20 +89,20 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray | None =
     solid = ~(_byte_tables()[0] if separators is None else separators)[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    first = first[:n]
     begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | first[1:]
+    begins[1:] &= ~solid[:-1] | first[1:n]
     ends = solid.copy()
-    ends[:-1] &= ~solid[1:] | first[1:]
+    ends[:-1] &= ~solid[1:] | first[1:n]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, for as many bytes as are hashed at once."""
     both = []
     for factor in (BASE, pow(BASE, -1, 1 << 64)):
-        row = np.full(n + 1, factor, np.uint64)
+        row = np.full(SLICE_BYTES + 1, factor, np.uint64)
         row[0] = 1
         both.append(np.cumprod(row))
     up, down = both
@@ -113,26 +115,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over the bytes, for span_hash."""
-    size = 1 << max(20, int(len(data)).bit_length())
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size)[0][: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    size = 1 << max(20, int(len(prefix) - 1).bit_length())
-    value = (prefix[ends] - prefix[starts]) * _powers(size)[1][starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(SEED_2))
+def segments(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> list[int]:
+    """Bounds of stretches of at most SLICE_BYTES that cut no word: after a separator or between documents; a longer word stays whole."""
+    out, n = [0], len(data)
+    while n - out[-1] > SLICE_BYTES:
+        a, stop = out[-1], out[-1] + SLICE_BYTES
+        gaps = np.flatnonzero(separators[data[a:stop]])
+        cut = max(int(offsets[np.searchsorted(offsets, stop, side="right") - 1]), a + int(gaps[-1]) + 1 if len(gaps) else 0)
+        if cut <= a:  # a word longer than a stretch
+            gaps, later = separators[data[stop:]], offsets[offsets > stop]
+            cut = min(stop + int(np.argmax(gaps)) + 1 if gaps.any() else n, int(later[0]) if len(later) else n)
+        out.append(cut)
+    return [*out, n]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray | None = None):
-    """(hashes, starts, ends, first) of all words, A-Z taken as a-z."""
+    """(hashes, starts, ends, first) of all words, A-Z taken as a-z; equal words have equal hashes wherever they stand."""
+    if len(data) <= SLICE_BYTES:
+        return _word_hashes(data, offsets, separators)
+    table = _byte_tables()[0] if separators is None else separators
+    bounds = segments(data, offsets, table)
+    hashes, starts, ends = [], [], []
+    for a, b in zip(bounds, bounds[1:]):
+        h, x, y, _ = _word_hashes(data[a:b], offsets[(offsets >= a) & (offsets <= b)] - a, separators)
+        hashes.append(h)
+        starts.append(x + a)
+        ends.append(y + a)
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray | None):
     data = ascii_lower(data)
     starts, ends, first = words(data, offsets, separators)
-    return span_hash(prefix_hash(data), starts, ends), starts, ends, first
+    n = len(data)
+    if n > SLICE_BYTES:  # one word of that length
+        whole = np.array([int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(starts, ends)], np.uint64)
+        return whole, starts, ends, first
+    up, down = _powers()
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+    value = (prefix[ends] - prefix[starts]) * down[starts]
+    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(SEED_2)), starts, ends, first
 
 
 def join_hash(*parts: np.ndarray) -> np.ndarray:
@@ -249,3 +273,30 @@ def gather(order: np.ndarray, lengths: np.ndarray, values: np.ndarray, begin: np
         return values[:0]
     shift = np.repeat(begin[order] - (np.cumsum(size) - size), size)
     return values[shift + np.arange(total)]
+
+
+# ---------------------------------------------------------------- columns of numbers as bytes
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of integers as bytes: of each its least, then the others' distance from it, like bytes together, in as few bytes as the largest needs."""
+    out = [bytes([len(columns)])]
+    for c in columns:
+        c = np.ascontiguousarray(c, np.int64)
+        n, least = len(c), int(c.min()) if len(c) else 0
+        away = c.view(np.uint64) - np.uint64(least & 0xFFFFFFFFFFFFFFFF)  # the difference of two longs fits an unsigned one
+        width = (int(away.max()).bit_length() + 7) // 8 if n else 0
+        out += [struct.pack("<IBq", n, width, least), np.ascontiguousarray(away.view(np.uint8).reshape(n, 8)[:, :width].T).tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 1
+    for _ in range(data[0]):
+        n, width, least = struct.unpack_from("<IBq", data, at)
+        at += 13
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        at += n * width
+        out.append((full.view("<u8")[:, 0] + np.uint64(least & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+    return out

@@ -50,17 +50,24 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray, s: Settings) -> list[int]:
-    """Where chunks end, the last end included: after ids whose rolling hash has the right remainder, within the size limits."""
-    n = len(ids)
+def candidates(ids: np.ndarray, edge: np.ndarray, s: Settings) -> np.ndarray:
+    """Places behind ids whose rolling hash has the right remainder; a hash's window lies in one document (``edge``: len + 1 bounds)."""
+    n = len(ids) - s.window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    mixed, rolled = V.mix(ids.astype(np.uint64) + np.uint64(1)), np.zeros(n, np.uint64)
+    for j in range(s.window):
+        rolled += mixed[j : j + n] * np.uint64(pow(V.BASE, 2 * j + 1, 1 << 64))
+    found = np.flatnonzero(V.mix(rolled) % np.uint64(s.mean) == 0) + s.window
+    return found[found - edge[np.searchsorted(edge, found - 1, side="right") - 1] >= s.window]
+
+
+def cuts(found: list[int], n: int, s: Settings) -> list[int]:
+    """Where a document of n ids is cut, its end included: at the places found, within the size limits."""
     ends: list[int] = []
+    at = 0
     if n > s.least:
-        sums = np.cumsum(V.mix(ids.astype(np.uint64) + np.uint64(1)) * V._powers(1 << max(20, n.bit_length()))[0][:n])
-        rolled = sums[s.window :] - sums[: -s.window]
-        rolled = rolled * V._powers(1 << max(20, n.bit_length()))[1][1 : len(rolled) + 1]
-        found = np.flatnonzero(V.mix(rolled) % np.uint64(s.mean) == 0) + s.window + 1
-        at = 0
-        for cut in [*found.tolist(), n]:
+        for cut in [*found, n]:
             while cut - at > s.most:
                 at += s.most
                 ends.append(at)
@@ -79,56 +86,47 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
-def chunk_rows(docs: DataFrame, vocabulary: str, s: Settings) -> DataFrame:
-    """(doc_id, row, idx, n, hash, data): every document's chunks; a task hands on data only with a chunk's first occurrence."""
-    names = ["doc_id", "row", "idx", "n", "hash", "data"]
+LOADED = "doc_id long, row long, n_tokens long, chunks array<binary>, sizes array<int>, root binary, data array<binary>"
+
+
+def recipes_of(docs: DataFrame, vocabulary: str, s: Settings) -> DataFrame:
+    """(doc_id, row, n_tokens, chunks, sizes, root, data): every document's recipe; a task hands on data only with a chunk's first occurrence."""
+    names = [f.split()[0] for f in LOADED.split(", ")]
 
     def run(batches):
         tool, seen = encoder(vocabulary, "word"), set()
         for batch in batches:
             for part in V.slices(batch, limit=4 << 20):
-                ids, first = tool.encode(part.column(2))
-                rows, idx, size, hashes, data = [], [], [], [], []
-                for d in range(part.num_rows):
-                    own, at = np.append(ids[first[d] : first[d + 1]], np.uint32(s.end)), 0
-                    for i, cut in enumerate(cuts(own, s)):
-                        blob = pack_ids(own[at:cut])
+                plain, first = tool.encode(part.column(2))
+                rows = part.num_rows
+                edge = first + np.arange(rows + 1)
+                ids, inside = np.full(len(plain) + rows, s.end, np.uint32), np.ones(len(plain) + rows, bool)
+                inside[edge[1:] - 1] = False
+                ids[inside] = plain
+                places = candidates(ids, edge, s)
+                bounds = np.searchsorted(places, edge, side="right").tolist()
+                places, start = places.tolist(), edge.tolist()
+                wide = np.maximum.reduceat(ids, edge[:-1]) >= 1 << 16 if rows else []
+                raw = {2: ids.astype("<u2").tobytes(), 4: ids.astype("<u4").tobytes() if any(wide) else b""}
+                hashes, sizes, data, count, roots = [], [], [], [0], []
+                for d in range(rows):
+                    a, size = start[d], 4 if wide[d] else 2
+                    at, own, mark = a, len(hashes), bytes([size])
+                    for cut in cuts([p - a for p in places[bounds[d] : bounds[d + 1]]], start[d + 1] - a, s):
+                        blob = mark + raw[size][at * size : (a + cut) * size]
                         h = digest(blob)
-                        rows.append(d)
-                        idx.append(i)
-                        size.append(cut - at)
                         hashes.append(h)
+                        sizes.append(a + cut - at)
                         data.append(None if h in seen else blob)
                         seen.add(h)
-                        at = cut
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(idx, pa.int32()), pa.array(size, pa.int32()), pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], names)
+                        at = a + cut
+                    count.append(len(hashes))
+                    roots.append(merkle(hashes[own:]))
+                lists = [pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(x, k)) for x, k in ((hashes, pa.binary()), (sizes, pa.int32()), (data, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(edge)), *lists[:2], pa.array(roots, pa.binary()), lists[2]], names)
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return numbered.mapInArrow(run, "doc_id long, row long, idx int, n int, hash binary, data binary")
-
-
-def once(rows: DataFrame) -> DataFrame:
-    """Turns chunk rows into ("ref" rows without data) and one "chunk" row for each hash.
-
-    Only rows with data meet by hash, one of each task at most; the others stay spread.
-    """
-
-    def run(batches):
-        last = None
-        for batch in batches:
-            hashes, data = batch.column(4).to_pylist(), batch.column(5)
-            fresh = np.zeros(batch.num_rows, bool)
-            for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
-                fresh[i] = hashes[i] != last
-                last = hashes[i]
-            new = batch.filter(pa.array(fresh))
-            for part, kind in ((batch.set_column(5, batch.schema.field(5), pa.nulls(batch.num_rows, pa.binary())), "ref"), (new, "chunk")):
-                if part.num_rows:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([kind] * part.num_rows)], [*batch.schema.names, "kind"])
-
-    key = F.when(F.col("data").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("row", "idx"))
-    return rows.withColumn("k", key).repartition("k").sortWithinPartitions("k", "hash").drop("k").mapInArrow(run, "doc_id long, row long, idx int, n int, hash binary, data binary, kind string")
+    return numbered.mapInArrow(run, LOADED)
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, settings: Settings = Settings()) -> None:
@@ -137,9 +135,11 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, sett
     Null and empty texts are the end id alone. Rows with one id follow each other; rows
     without an id come first. Other columns are ignored.
     """
-    once(chunk_rows(docs, vocabulary, settings)).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/load")
-    load = spark.read.schema("doc_id long, row long, idx int, n int, hash binary, data binary, kind string").parquet(f"{path}/load")
-    recipe = load.where("kind = 'ref'").groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("idx", "hash", "n"))).alias("chunks"))
+    recipes_of(docs, vocabulary, settings).write.option("compression", "zstd").parquet(f"{path}/load")
+    load = spark.read.schema(LOADED).parquet(f"{path}/load")
+    # A chunk's data come once from each task that has it, however many documents share it.
+    fresh = load.select(F.explode(F.arrays_zip("chunks", "data")).alias("c")).where("c.data IS NOT NULL").select(F.col("c.chunks").alias("hash"), "c.data")
+    fresh.groupBy("hash").agg(F.first("data").alias("data")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     def number(batches):
         from pyspark import TaskContext
@@ -149,15 +149,11 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, sett
             n = batch.column(2).to_numpy()
             start = at + np.cumsum(n) - n
             at += int(n.sum())
-            hashes = [[c["hash"] for c in row] for row in batch.column(3).to_pylist()]
-            sizes = [[c["n"] for c in row] for row in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * batch.num_rows, pa.int32()), pa.array(start), batch.column(2), pa.array(hashes, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array([merkle(h) for h in hashes], pa.binary())],
-                ["doc_id", "row", "part", "start", "n_tokens", "chunks", "sizes", "root"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([part] * batch.num_rows, pa.int32()), pa.array(start), *batch.columns[2:]], ["doc_id", "row", "part", "start", "n_tokens", "chunks", "sizes", "root"])
 
     schema = "doc_id long, row long, part int, start long, n_tokens long, chunks array<binary>, sizes array<int>, root binary"
-    recipe.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(number, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    load.drop("data").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(number, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    delete(spark, f"{path}/load")
 
     manifest = manifest_rows(spark, path).collect()  # a row for each part
     base, rows = 0, []
@@ -165,8 +161,6 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, sett
         rows.append((row["part"], base, row["n_documents"], row["n_tokens"], row["root"]))
         base += row["n_tokens"]
     spark.createDataFrame(rows, "part int, base long, n_documents long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
-    load.where("kind = 'chunk'").select("hash", "data").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    delete(spark, f"{path}/load")
 
 
 def manifest_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -187,16 +181,23 @@ def manifest_rows(spark: SparkSession, path: str) -> DataFrame:
     return ordered.select("part", "n_tokens", "root").mapInArrow(run, "part int, n_documents long, n_tokens long, root binary")
 
 
-def verify(spark: SparkSession, path: str) -> int:
-    """Compares the manifest with the recipes and every chunk with its hash; the number of tokens, or ValueError."""
-    kept = {r["part"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+def checked_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest, if the recipes are those that it names; else ValueError."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    kept = {r["part"]: r for r in manifest.collect()}
     for row in manifest_rows(spark, path).collect():
-        if kept.pop(row["part"])["root"] != row["root"]:
+        if row["part"] not in kept or kept.pop(row["part"])["root"] != row["root"]:
             raise ValueError(f"part {row['part']} differs from its manifest")
     if kept:
         raise ValueError("the manifest has parts without recipes")
+    return manifest
+
+
+def verify(spark: SparkSession, path: str) -> int:
+    """Compares the manifest with the recipes and every chunk with its hash; the number of tokens, or ValueError."""
+    manifest = checked_manifest(spark, path)
     chunk_digests(spark, path).agg(F.count("*")).first()
-    return sum(r["n_tokens"] for r in spark.read.parquet(f"{path}/manifest").collect())
+    return sum(r["n_tokens"] for r in manifest.collect())
 
 
 def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -218,57 +219,67 @@ def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
 POLYNOMIAL = 0xEDB88320  # CRC-32, reversed: a fixed value
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC's, bits reversed."""
-    out = 0
-    for _ in range(32):
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ POLYNOMIAL if b & 1 else b >> 1
+@lru_cache(maxsize=1)
+def shifts() -> np.ndarray:
+    """(32, 4, 256): what 2 ** k zero bytes behind a text make of each byte of its CRC (k, the byte's place, its value)."""
+    value = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        value = np.where(value & 1, (value >> 1) ^ np.uint32(POLYNOMIAL), value >> 1)
+    out = np.zeros((32, 4, 256), np.uint32)
+    for place in range(4):
+        one = np.arange(256, dtype=np.uint32) << np.uint32(8 * place)
+        out[0, place] = (one >> np.uint32(8)) ^ (value[one & 255])
+    for k in range(1, 32):
+        for place in range(4):
+            out[k, place] = apply(out[k - 1], out[k - 1, place])
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _shift(n_bytes: int) -> int:
-    """x to the power of 8 * n_bytes."""
-    out, square, n = 0x80000000, 0x00800000, n_bytes
-    while n:
-        if n & 1:
-            out = _times(square, out)
-        square, n = _times(square, square), n >> 1
-    return out
+def apply(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][(crc >> 8) & 255] ^ table[2][(crc >> 16) & 255] ^ table[3][crc >> 24]
 
 
-def crc_join(first: int, second: int, size: int) -> int:
-    """The CRC of two texts one behind the other, from their own and the second's size in bytes."""
-    return _times(_shift(size), first) ^ second
+def crc_join(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The CRCs of two texts one behind the other, from their own and the second's size in bytes, elementwise."""
+    out = first.astype(np.uint32)
+    for k in range(int(size.max()).bit_length() if len(size) else 0):
+        on = (size >> k) & 1 == 1
+        out[on] = apply(shifts()[k], out[on])
+    return out ^ second.astype(np.uint32)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored chunks by way of its recipe.
 
-    Each stored chunk is read once; recipes meet its verified digest, not its ids, and the
-    digest of a document follows from those of its chunks in order. Recipes whose chunks
-    or Merkle root don't agree raise an error.
+    The recipes are compared with the manifest. Each stored chunk is read once; recipes
+    meet its verified digest, not its ids, and the digest of a document follows from those
+    of its chunks in order. Recipes whose chunks or Merkle root don't agree raise an error.
     """
+    manifest = F.broadcast(checked_manifest(spark, path).select("part", "base"))  # a row for each part
     recipes = spark.read.parquet(f"{path}/recipes")
-    refs = recipes.select("row", "part", F.posexplode("chunks").alias("idx", "hash"))
+    refs = recipes.select("row", F.posexplode("chunks").alias("idx", "hash"))
     met = refs.join(chunk_digests(spark, path), "hash", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("idx", "hash", "n", "crc"))).alias("found"))
     both = recipes.select("doc_id", "row", "part", "start", "n_tokens", "root").join(met, "row")
-    manifest = F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", "base"))  # a row for each part
 
     def run(batches):
         for batch in batches:
-            crcs = []
-            for root, n, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if merkle([c["hash"] for c in found]) != root or sum(c["n"] or 0 for c in found) != n:
+            if not batch.num_rows:
+                continue
+            found = batch.column(4)
+            edge = found.offsets.to_numpy().astype(np.int64)
+            flat = found.flatten()
+            hashes, n, crc = flat.field("hash").to_pylist(), flat.field("n").fill_null(0).to_numpy().astype(np.int64), flat.field("crc").fill_null(0).to_numpy()
+            at = edge - edge[0]
+            for d, root in enumerate(batch.column(2).to_pylist()):
+                if merkle(hashes[at[d] : at[d + 1]]) != root:
                     raise ValueError("a recipe's chunks don't rebuild its document")
-                crc = 0
-                for c in found:
-                    crc = crc_join(crc, c["crc"], 4 * c["n"]) if crc else c["crc"]
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            if (np.add.reduceat(n, at[:-1]) != batch.column(3).to_numpy()).any():
+                raise ValueError("a recipe's chunks are missing or damaged")
+            out, many = crc[at[:-1]].astype(np.uint32), np.diff(at)
+            for k in range(1, int(many.max())):
+                on = np.flatnonzero(many > k)
+                out[on] = crc_join(out[on], crc[at[on] + k], 4 * n[at[on] + k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = both.join(manifest, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "root", "n_tokens", "found")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from . import textvec as V
 
 #: Distinct pieces that a worker remembers before it forgets all of them.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +61,7 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's first (len+1); null texts are empty."""
         texts = [t or "" for t in column.to_pylist()]
-        if self.split is None or not any(map(self.split.search, texts)):
+        if not any(token in t for token in self.added for t in texts):
             return self.plain(texts)
         # What stands between added tokens is encoded as texts of their own.
         parts = [self.split.split(t) for t in texts]
@@ -87,17 +87,16 @@ class PieceEncoder:
         array, first, keep = V.pieces(texts, self.kind == "byte")
         coded = array.dictionary_encode()
         order = coded.indices.to_numpy(zero_copy_only=False)
-        known, piece = self.known, self.piece
-        ids = []
-        for text in coded.dictionary.to_pylist():
-            got = known.get(text)
+        known, pieces = self.known, coded.dictionary.to_pylist()
+        ids = list(map(known.get, pieces))
+        for i, got in enumerate(ids):
             if got is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
+                text = pieces[i]
                 skip = self.kind == "word" and V.classes()[ord(text[0])] == V.SPACE
-                got = known[text] = b"" if skip else piece(text)
-            ids.append(got)
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                ids[i] = known[text] = b"" if skip else self.piece(text)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         values = np.frombuffer(b"".join(ids), "<u4")
         if self.kind == "word":
             order = np.where(keep, order, len(ids))

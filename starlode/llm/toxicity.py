@@ -110,8 +110,12 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         .limit(settings.max_documents)
     )
     # At most max_documents pairs of numbers: their size is bounded.
-    sample = labelled.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")
-    return train(features(sample, settings), settings)
+    return train(features(sample_of(labelled, chosen), settings), settings)
+
+
+def sample_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, label, text) of ``chosen`` (doc_id, label), once each: of rows that share an id the smallest text counts."""
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def train(examples: DataFrame, settings: Settings) -> Model:
@@ -128,29 +132,32 @@ def train(examples: DataFrame, settings: Settings) -> Model:
     return Model(settings, row["bias"], np.frombuffer(row["index"], "<u4"), np.frombuffer(row["weight"], "<f8"))
 
 
-def score(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` with ``score`` (0 to 1, higher: likelier toxic) of its whole ``text``; null and empty texts get the bias's score.
+def score(df: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``df`` with the score (0 to 1, higher: likelier toxic) of its whole ``text`` as column ``name``; null and empty texts get the bias's score.
 
-    A column of ``df`` named score is replaced.
+    A column of ``df`` called ``name`` is replaced.
     """
     from pyspark.sql import types as T
 
-    df = df.drop("score")
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType(), False)])
+    df = df.drop(name)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType(), False)])
+    settings, bias = model.settings, model.bias
+    # At most 2 ** bits weights.
+    shared = df.sparkSession.sparkContext.broadcast((np.asarray(model.index, np.int64), np.asarray(model.weight, np.float32)))
 
     def run(batches):
-        table = np.zeros(1 << model.settings.bits, np.float32)
-        table[model.index] = model.weight
-        at = np.zeros(len(table), bool)
-        at[model.index] = True
+        index, weight = shared.value
+        at = np.zeros(1 << settings.bits, bool)
+        at[index] = True
         for batch in batches:
             for part in V.slices(batch):
                 text = part.column(part.schema.get_field_index("text"))
-                ids, owner = feature_ids(text, model.settings)
+                ids, owner = feature_ids(text, settings)
                 hit = np.flatnonzero(at[ids])
-                pairs = np.unique(owner[hit] * len(table) + ids[hit])  # each feature counts once a document
-                logit = model.bias + np.bincount(pairs // len(table), table[pairs % len(table)], part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(logit, -35, 35))))], [*part.schema.names, "score"])
+                pairs = np.unique((owner[hit] << settings.bits) | ids[hit])  # each feature counts once a document
+                found = weight[np.searchsorted(index, pairs & (len(at) - 1))] if len(pairs) else np.zeros(0, np.float32)
+                logit = bias + np.bincount(pairs >> settings.bits, found, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(logit, -35, 35))))], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
@@ -162,7 +169,9 @@ def held_out(column: str = "doc_id"):
 def model_for(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of the labelled documents that are not held out.
 
-    The sample is drawn from ``labels`` alone, so only the texts of its documents move.
+    The sample is drawn from ``labels`` alone, so only the texts of its documents move. Of
+    several labels of an id the largest counts, of several texts the smallest, so repeated
+    rows don't enlarge the sample; null texts are empty, null labels and ids teach nothing.
     """
     chosen = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
@@ -173,8 +182,7 @@ def model_for(documents: DataFrame, labels: DataFrame, settings: Settings = Sett
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(settings.max_documents)
     )
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return train(features(sample, settings), settings)
+    return train(features(sample_of(documents, chosen), settings), settings)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
