@@ -4,25 +4,15 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
+from ..workspace import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one a folder of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='starlode-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+_made: list[tuple[SparkSession, str]] = []
 
 
 def labels(spark: SparkSession) -> list[int]:

@@ -30,9 +30,9 @@ BITS, HASHES = 2048, 5
 class Settings:
     """levels: steps of entropy that are ranked."""
 
-    width: int = 16
-    span: int = 16
-    popularity: int = 4
+    width: int = 10
+    span: int = 8
+    popularity: int = 2
     per_filter: int = 160
     levels: int = 1000
 
