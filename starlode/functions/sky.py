@@ -6,7 +6,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalar import col
@@ -119,6 +119,29 @@ def _pixel_centres(level: int) -> tuple[np.ndarray, np.ndarray]:
     return ra % 360.0, np.degrees(np.arcsin(z))
 
 
+def with_pixel(df: DataFrame, name: str, ra: str = "ra", dec: str = "dec", level: int = HPX_LEVEL) -> DataFrame:
+    """``df`` with the nested pixel of a position as column ``name`` (Gorski et al. 2005): a base face, then the bits of its two coordinates in turn.
+
+    The steps are columns of their own, so that no expression is written out many times.
+    """
+    side = 1 << level
+    z, turn = F.col("__z"), F.col("__turn")
+    df = df.withColumns({"__z": F.sin(F.radians(F.col(dec))), "__turn": F.pmod(F.col(ra), F.lit(360.0)) / 90.0})
+    # Near the equator: falling and rising lines of the grid; near the poles: distances from the quarter's edges.
+    quarter, reach = F.least(F.floor(turn), F.lit(3)), side * F.sqrt(3.0 * (1.0 - F.abs(z)))
+    df = df.withColumns({"__falls": F.floor(side * (0.5 + turn) - side * z * 0.75), "__rises": F.floor(side * (0.5 + turn) + side * z * 0.75), "__quarter": quarter,
+                         "__near": F.least(F.floor((turn - quarter) * reach), F.lit(side - 1)), "__far": F.least(F.floor((1.0 - (turn - quarter)) * reach), F.lit(side - 1))})
+    high, a, b = F.abs(z) > 2.0 / 3.0, F.floor(F.col("__falls") / side), F.floor(F.col("__rises") / side)
+    face = F.when(high, F.when(z > 0, F.col("__quarter")).otherwise(F.col("__quarter") + 8)).when(a == b, F.pmod(a, F.lit(4)) + 4).when(a < b, a).otherwise(b + 8)
+    x = F.when(high, F.when(z > 0, side - 1 - F.col("__far")).otherwise(F.col("__near"))).otherwise(F.pmod("__rises", F.lit(side)))
+    y = F.when(high, F.when(z > 0, side - 1 - F.col("__near")).otherwise(F.col("__far"))).otherwise(side - 1 - F.pmod("__falls", F.lit(side)))
+    df = df.withColumns({"__face": face.cast("int"), "__x": x.cast("int"), "__y": y.cast("int")})
+    out = F.col("__face") * (side * side)
+    for bit in range(level):
+        out = out + F.shiftleft(F.shiftright("__x", bit).bitwiseAND(1), 2 * bit) + F.shiftleft(F.shiftright("__y", bit).bitwiseAND(1), 2 * bit + 1)
+    return df.withColumn(name, out).drop("__z", "__turn", "__falls", "__rises", "__quarter", "__near", "__far", "__face", "__x", "__y")
+
+
 def parts_in_cone(ra: float, dec: float, radius_deg: float) -> list[int]:
     """All pixels that a cone may touch; their centres lie within the radius and a pixel's reach."""
     centre_ra, centre_dec = pixel_centres()

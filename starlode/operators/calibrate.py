@@ -29,7 +29,7 @@ def pick_colour(columns: Sequence[str]) -> tuple[Column | None, str | None]:
 
 
 def calibrators(sources: DataFrame, band: str = "G", mag_range=FIT_MAG_RANGE, exclude_variable: bool = True, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """(keys, v, colour, m_inst, snr[, x, y]) of the rows that a fit may use."""
+    """(keys, v, colour, m_inst, snr[, x_pix, y_pix]) of the rows that a fit may use; the pixels are the sources' x and y."""
     v = F.col(pick_v(sources.columns)).cast("double")
     colour, _ = pick_colour(sources.columns)
     out = sources.where(F.col("band") == band).withColumn("v", v).withColumn("colour", colour if colour is not None else F.lit(None).cast("double"))
@@ -41,7 +41,7 @@ def calibrators(sources: DataFrame, band: str = "G", mag_range=FIT_MAG_RANGE, ex
     if mag_range is not None:
         out = out.where(F.col("v").between(*mag_range))
     out = out.withColumn("m_inst", instrumental_mag("flux"))
-    return out.select(*keys, "v", "colour", "m_inst", "snr", *[c for c in ("x", "y") if c in out.columns])
+    return out.select(*keys, "v", "colour", "m_inst", "snr", *[F.col(c).alias(f"{c}_pix") for c in ("x", "y") if c in out.columns])
 
 
 def fit_points(points: DataFrame, clip: float = 3.0, iters: int = 2, keys: Sequence[str] = ("frame",), use_colour: bool = True) -> DataFrame:

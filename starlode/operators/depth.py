@@ -33,6 +33,11 @@ def rms_percentiles(frames: DataFrame, limit: float = RMS_PHOTOMETRIC) -> DataFr
     return p.select(F.col("p")[0].alias("p10"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p90"), "n_photometric", "n")
 
 
+def aperture_noise(sources: DataFrame, keys: tuple[str, ...] = ("frame",), band: str = "G") -> DataFrame:
+    """(keys, sigma_aper): the median flux error of a band's sources."""
+    return sources.where(F.col("band") == band).groupBy(*keys).agg(F.median("fluxerr").alias("sigma_aper"))
+
+
 def fit_depth_model(frames: DataFrame, rms_max: float = RMS_PHOTOMETRIC, keys: tuple[str, ...] = ()) -> DataFrame:
     """v = a + b log10 t + c sky + d fwhm by least squares for each key: a, b, c, d, rms, n.
 

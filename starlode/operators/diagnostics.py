@@ -139,14 +139,8 @@ def scatter_vs_magnitude(curves: DataFrame, comps: DataFrame, mag_col: str = "v_
     """(source_id, mag, scatter_mmag, floor_mmag)."""
     ranked = ensemble.scatter_ranking(curves)
     mags = ensemble.reference_mags(comps, mag_col)
-    floor = F.min(F.when(F.col("scatter") > 0, F.col("scatter"))).over(W.partitionBy(F.lit(1)))
-    return ranked.withColumn("floor_mmag", 1000 * floor).join(mags, "source_id").select("source_id", F.col("cat").alias("mag"), (1000 * F.col("scatter")).alias("scatter_mmag"), "floor_mmag")
-
-
-#: The products of each report, by name of the function above: fixed lists.
-FRAME_REPORT = ("curve_of_growth", "fwhm_bands", "reference_vs_instrumental", "zeropoint_vs_colour", "residual_vs", "residual_map", "mag_snr", "background_panels", "detection_overlay", "match_separation", "instrumental_colour")
-FRAMES_REPORT = ("series_by_unit", "metric_histogram", "depth_vs_exptime", "depth_vs_driver")
-LIGHTCURVE_REPORT = ("finder_chart", "lightcurve", "raw_flux", "ensemble_zeropoint", "comparison_grid", "scatter_vs_magnitude")
+    floor = F.broadcast(ensemble.noise_floor(ranked))  # one row
+    return ranked.join(floor, how="cross").withColumn("floor_mmag", 1000 * F.col("floor")).join(mags, "source_id").select("source_id", F.col("cat").alias("mag"), (1000 * F.col("scatter")).alias("scatter_mmag"), "floor_mmag")
 
 
 def write_report(products: dict[str, DataFrame], outdir: str) -> dict[str, str]:

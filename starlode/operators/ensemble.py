@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_finite, slug  # noqa: F401
+from ..functions.scalar import is_finite
 from ..functions.sky import separation_deg
 
 STAR_COLUMNS = ("source_id", "ra", "dec", "phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag", "bp_rp", "v_jkc_mag", "b_jkc_mag", "r_jkc_mag", "phot_variable_flag")
@@ -21,16 +21,31 @@ def build_stars(catalogue: DataFrame, measurements: DataFrame, ra: float, dec: f
     was not measured raises ValueError.
     """
     keep = [c for c in STAR_COLUMNS if c in catalogue.columns]
-    measured = catalogue.select(*keep).join(measurements.select("source_id").distinct(), "source_id", "left_semi")
+    measured = measured_rows(catalogue.select(*keep), measurements)
     stars = measured.withColumn("sep_target_arcmin", 60.0 * separation_deg(ra, dec, "ra", "dec"))
     if target_id is None:
-        row = stars.orderBy("sep_target_arcmin", "source_id").select("source_id").first()
+        row = nearest(stars).select("source_id").first()
         target_id = row["source_id"] if row else None
     elif not stars.where(F.col("source_id") == target_id).limit(1).count():
         raise ValueError(f"target {target_id} was not measured")
     return stars.withColumn("is_target", F.col("source_id") == F.lit(target_id)).orderBy("sep_target_arcmin", "source_id")
 
 
+def measured_ids(measurements: DataFrame) -> DataFrame:
+    """The distinct ids of measurements."""
+    return measurements.select("source_id").distinct()
+
+
+def measured_rows(catalogue: DataFrame, measurements: DataFrame) -> DataFrame:
+    """The catalogue rows whose id was measured."""
+    return catalogue.join(measured_ids(measurements), "source_id", "left_semi")
+
+
+def nearest(stars: DataFrame) -> DataFrame:
+    """The row nearest to the target's position, the smaller id of two as near."""
+    return stars.orderBy("sep_target_arcmin", "source_id").limit(1)
+
+
 def target_row(stars: DataFrame, target_id: int | None = None) -> DataFrame:
     """The target's one row: the flagged one or that of an id."""
     wanted = F.col("is_target") if target_id is None else F.col("source_id") == target_id
@@ -78,6 +93,11 @@ def reference_mags(comps: DataFrame, cat_mag_col: str) -> DataFrame:
     return comps.where(is_finite(F.col(cat_mag_col).cast("double"))).groupBy("source_id").agg(F.max(F.col(cat_mag_col).cast("double")).alias("cat"))
 
 
+def first_rows(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """The first row of each key in an order."""
+    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
 def differential_lightcurve(
     measurements: DataFrame,
     target_id: int,
@@ -99,8 +119,7 @@ def differential_lightcurve(
     zp = joined.groupBy("frame").agg(F.avg("zp").alias("zp_ens"), F.coalesce(F.stddev_samp("zp"), F.lit(0.0)).alias("zp_scatter"), F.count("*").alias("n_comp")).where(F.col("n_comp") >= min_comp)
     err = F.col("mag_err") if "mag_err" in good.columns else F.lit(0.0)
     air = F.col("airmass") if "airmass" in good.columns else F.lit(None)
-    first = W.partitionBy("frame").orderBy(time_col, inst_col)
-    target = good.where(F.col("source_id") == target_id).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    target = first_rows(good.where(F.col("source_id") == target_id), ("frame",), time_col, inst_col)
     target = target.select("frame", F.col(time_col).alias("time"), F.col(inst_col).alias("inst"), F.coalesce(err, F.lit(0.0)).cast("double").alias("err"), air.cast("double").alias("airmass"))
     lc = target.join(zp, "frame").withColumn("mag", F.col("inst") + F.col("zp_ens"))
     lc = lc.withColumn("mag_err", F.sqrt(F.pow("err", 2) + F.pow(F.col("zp_scatter") / F.sqrt("n_comp"), 2)))
@@ -139,5 +158,20 @@ def scatter_ranking(curves: DataFrame, check: float = 0.05) -> DataFrame:
     return out.withColumn("check", F.col("scatter") > check).orderBy(F.desc("scatter"), "source_id")
 
 
+#: Scatter below this (mag) is rounding, not scatter.
+NO_SCATTER = 1e-9
+
+
 def noise_floor(ranking: DataFrame) -> DataFrame:
-    return ranking.agg(F.min(F.when(F.col("scatter") > 0, F.col("scatter"))).alias("floor"))
+    """The smallest positive scatter."""
+    return ranking.agg(F.min(F.when(F.col("scatter") > NO_SCATTER, F.col("scatter"))).alias("floor"))
+
+
+def with_frames(measurements: DataFrame, frames: DataFrame, *columns: str) -> DataFrame:
+    """Measurements with columns of their frames' rows, the two tables joined on ``frame``."""
+    return measurements.join(frames.select("frame", *columns), "frame")
+
+
+def sources_per_frame(measurements: DataFrame) -> DataFrame:
+    """(frame, n): how many measurements each frame has."""
+    return measurements.groupBy("frame").agg(F.count("*").alias("n"))

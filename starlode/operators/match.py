@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite
-from ..functions.sky import separation_deg, unit_vector
+from ..functions.sky import HPX_MAX_RADIUS, pixel_centres, separation_deg, unit_vector, with_pixel
 
 
 def _cells(df: DataFrame, ra: str, dec: str, size: float, spread: bool) -> DataFrame:
@@ -31,26 +31,45 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_deg: float, left_pos=("
     return a.join(b, ["cx", "cy", "cz"]).drop("cx", "cy", "cz").withColumn("sep_arcsec", sep).where(F.col("sep_arcsec") <= radius_deg * 3600.0)
 
 
-def crossmatch(sources: DataFrame, catalogue: DataFrame, key: str, tol_arcsec: float = 2.0, columns: tuple[str, ...] | None = None, id_col: str = "source_id", radii_deg=(0.01, 0.3, 10.0)) -> DataFrame:
+def nearest_far(rest: DataFrame, cat: DataFrame, best) -> DataFrame:
+    """(__key, best) of rows (__key, ra, dec) whose nearest catalogue row may be anywhere.
+
+    Level-5 pixels with catalogue rows compare with those of the rows by their centres; a
+    pixel that lies farther than the nearest one by more than both pixels' reach can't hold
+    the nearest row. At most 12288 pixels meet as many, and rows only those of the pixels left.
+    """
+    spark = rest.sparkSession
+    ra, dec = pixel_centres()
+    centres = F.broadcast(spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec))], "__q int, __qra double, __qdec double"))
+    rest, cat = with_pixel(rest, "__p"), with_pixel(cat, "__q", "cat_ra", "cat_dec")
+    from_ = rest.select("__p").distinct().join(centres.select(F.col("__q").alias("__p"), F.col("__qra").alias("__pra"), F.col("__qdec").alias("__pdec")), "__p")
+    to = F.broadcast(cat.select("__q").distinct().join(centres, "__q"))
+    apart = from_.join(to, how="cross").withColumn("__d", separation_deg(F.col("__pra"), F.col("__pdec"), F.col("__qra"), F.col("__qdec")))
+    least = F.min("__d").over(W.partitionBy("__p"))
+    likely = apart.withColumn("__least", least).where(F.col("__d") <= F.col("__least") + 4 * HPX_MAX_RADIUS).select("__p", "__q")
+    sep = separation_deg(F.col("ra"), F.col("dec"), F.col("cat_ra"), F.col("cat_dec")) * 3600.0
+    return rest.join(likely, "__p").join(cat, "__q").withColumn("sep_arcsec", sep).groupBy("__key").agg(best)
+
+
+def crossmatch(sources: DataFrame, catalogue: DataFrame, key: str, tol_arcsec: float = 2.0, columns: tuple[str, ...] | None = None, id_col: str = "source_id", radii_deg=(0.01, 0.3)) -> DataFrame:
     """Every source with its nearest catalogue row: sep_arcsec always, the row's columns only within the tolerance (strictly).
 
     Catalogue positions come as cat_ra and cat_dec, its id as ``id_col``. Sources without a
-    neighbour in the first radius look in the next wider cells, and the few that are left
-    after the last one compare with all rows; ties go to the smaller id. With an empty
-    catalogue sep_arcsec is NULL.
+    neighbour in the first radius look in the next wider cells, and what is left after the
+    last one (as of frames with a wrong solution) looks by pixels; ties go to the smaller
+    id. With an empty catalogue sep_arcsec is NULL.
     """
     columns = columns if columns is not None else tuple(c for c in catalogue.columns if c not in ("ra", "dec"))
     cat = catalogue.select(F.col("ra").alias("cat_ra"), F.col("dec").alias("cat_dec"), *[F.col(c).alias(f"__{c}") for c in dict.fromkeys((id_col, *columns))])
-    left = sources.select(F.col(key).alias("__key"), "ra", "dec")
+    left = sources.select(F.col(key).alias("__key"), "ra", "dec").where(is_finite("ra") & is_finite("dec"))
     best = F.min_by(F.struct("sep_arcsec", "cat_ra", "cat_dec", *[f"__{c}" for c in dict.fromkeys((id_col, *columns))]), F.struct("sep_arcsec", f"__{id_col}")).alias("best")
     found, rest = None, left
     for radius in radii_deg:
         got = near_pairs(rest, cat, radius).groupBy("__key").agg(best)
         found = got if found is None else found.unionByName(got)
         rest = rest.join(got.select("__key"), "__key", "left_anti")
-    sep = separation_deg(F.col("ra"), F.col("dec"), F.col("cat_ra"), F.col("cat_dec")) * 3600.0
-    far = rest.crossJoin(cat).withColumn("sep_arcsec", sep).groupBy("__key").agg(best)
-    found = found.unionByName(far)
+    far = nearest_far(rest, cat, best)
+    found = far if found is None else found.unionByName(far)
     out = sources.join(found, sources[key] == found["__key"], "left").drop("__key")
     hit = F.col("best.sep_arcsec") < tol_arcsec
     extra = [F.when(hit, F.col(f"best.__{c}")).alias(c) for c in columns if c not in sources.columns]

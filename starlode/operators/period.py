@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,39 +13,57 @@ from pyspark.sql import functions as F
 from ..functions.scalar import is_finite, phase_fold
 
 
+#: Points of the longest series that goes to the tasks (16 bytes each).
+MOST_POINTS = 4_000_000
+
+
 def periodogram(lc: DataFrame, min_period: float = 0.01, max_period: float | None = None, samples_per_peak: int = 10, mag_col: str = "dmag") -> DataFrame:
-    """(frequency, period, power): the floating-mean Lomb-Scargle power of one series on a regular grid.
+    """(frequency, period, power): the floating-mean Lomb-Scargle power of one series on a regular grid; NULL where it is undefined.
 
-    Only finite points count; below five, ValueError. The series' five sums per frequency
-    are plain aggregates over points x frequencies. Without max_period it is the baseline.
+    Only finite points count; below five, or over MOST_POINTS, ValueError. The light curve
+    is evaluated once and its points go to the tasks, each of which works out its own
+    frequencies, so nothing is shuffled. Without max_period it is the baseline.
     """
-    points = lc.where(is_finite("time") & is_finite(mag_col)).select("time", F.col(mag_col).alias("y"))
-    t0, t1, n = points.agg(F.min("time"), F.max("time"), F.count("*")).first()
+    points = lc.where(is_finite("time") & is_finite(mag_col)).select(F.col("time").cast("double").alias("t"), F.col(mag_col).cast("double").alias("y"))
+    rows = points.limit(MOST_POINTS + 1).toArrow()
+    n = rows.num_rows
     if n < 5:
         raise ValueError(f"a periodogram needs at least 5 points, got {n}")
-    base = t1 - t0
+    if n > MOST_POINTS:
+        raise ValueError(f"over {MOST_POINTS} points; bin the series first")
+    t, y = rows["t"].to_numpy(), rows["y"].to_numpy()
+    order = np.lexsort((y, t))
+    t, y = t[order] - t.min(), y[order]
+    base = float(t[-1])
     if base <= 0:
         raise ValueError("all points have one time")
     low, high = 1.0 / (max_period or base), 1.0 / min_period
     step = 1.0 / (base * samples_per_peak)
     count = 1 + int(round((high - low) / step))
     spark = lc.sparkSession
-    grid = spark.range(count).select((F.lit(low) + F.col("id") * step).alias("frequency"))
-    angle = 2 * math.pi * F.col("frequency") * (F.col("time") - t0)
-    # The points of one series are few; the grid is what grows.
-    sums = grid.crossJoin(F.broadcast(points)).withColumn("c", F.cos(angle)).withColumn("s", F.sin(angle)).groupBy("frequency").agg(
-        *[F.avg(e).alias(a) for a, e in {"c": F.col("c"), "s": F.col("s"), "y": F.col("y"), "yy": F.col("y") * F.col("y"), "yc": F.col("y") * F.col("c"), "ys": F.col("y") * F.col("s"), "cc": F.col("c") * F.col("c"), "ss": F.col("s") * F.col("s"), "cs": F.col("c") * F.col("s")}.items()]
-    )
-    return power(sums).select("frequency", (1.0 / F.col("frequency")).alias("period"), "power").orderBy("frequency")
-
-
-def power(sums: DataFrame) -> DataFrame:
-    """Adds ``power`` to means c, s, y, yy, yc, ys, cc, ss, cs of a frequency; NULL where it is undefined."""
-    e = {k: F.col(k) for k in ("c", "s", "y", "yy", "yc", "ys", "cc", "ss", "cs")}
-    yy, yc, ys = e["yy"] - e["y"] * e["y"], e["yc"] - e["y"] * e["c"], e["ys"] - e["y"] * e["s"]
-    cc, ss, cs = e["cc"] - e["c"] * e["c"], e["ss"] - e["s"] * e["s"], e["cs"] - e["c"] * e["s"]
+    shared = spark.sparkContext.broadcast((t, y))
+
+    def run(batches):
+        t, y = shared.value
+        size = max(1, 2_000_000 // len(t))
+        for batch in batches:
+            f = low + batch.column(0).to_numpy() * step
+            power = np.concatenate([lomb_scargle(f[i : i + size], t, y) for i in range(0, len(f), size)])
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(1.0 / f), pa.array(power, mask=np.isnan(power))], ["frequency", "period", "power"])
+
+    tasks = max(1, min(count // 256, spark.sparkContext.defaultParallelism * 4))
+    return spark.range(0, count, 1, tasks).mapInArrow(run, "frequency double, period double, power double")
+
+
+def lomb_scargle(frequency: np.ndarray, t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The floating-mean power at each frequency; NaN where it is undefined."""
+    angle = 2 * np.pi * frequency[:, None] * t
+    c, s = np.cos(angle), np.sin(angle)
+    mc, ms, my = c.mean(1), s.mean(1), y.mean()
+    yy, yc, ys = (y * y).mean() - my * my, (c * y).mean(1) - my * mc, (s * y).mean(1) - my * ms
+    cc, ss, cs = (c * c).mean(1) - mc * mc, (s * s).mean(1) - ms * ms, (c * s).mean(1) - mc * ms
     den = yy * (cc * ss - cs * cs)
-    return sums.withColumn("power", F.when(den > 1e-300, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / den))
+    return np.where(den > 1e-300, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / np.where(den > 1e-300, den, 1), np.nan)
 
 
 def best_period(pg: DataFrame) -> DataFrame:

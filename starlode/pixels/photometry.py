@@ -111,8 +111,7 @@ def detect(data: np.ndarray, thresh: float, mask: np.ndarray | None = None, mina
     if not np.isfinite(rms) or rms <= 0:
         return sub, back, rms, empty
     conv = smooth(np.nan_to_num(sub), DETECT_KERNEL)
-    on = conv > thresh * rms * np.sqrt((DETECT_KERNEL**2).sum()) * 1.6
-    on &= conv > thresh * rms
+    on = conv > thresh * rms
     row, span, comp, n = label(on)
     if not n:
         return sub, back, rms, empty
@@ -177,74 +176,94 @@ def centroid_masked(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarra
     return ~finite | mask[yi, xi]
 
 
-def circle_weights(dx: np.ndarray, dy: np.ndarray, r: float, sub: int = 5) -> np.ndarray:
-    """The covered part of unit pixels at offsets from a circle's centre, edge pixels sampled sub x sub."""
-    d = np.hypot(dx, dy)
+def circle_weights(dx: np.ndarray, dy: np.ndarray, r, sub: int = 5) -> np.ndarray:
+    """The covered part of unit pixels at offsets from a circle's centre, edge pixels sampled sub x sub; r is one radius or one for each pixel."""
+    d, r = np.hypot(dx, dy), np.broadcast_to(r, np.broadcast_shapes(dx.shape, dy.shape))
     out = (d <= r - 0.7072).astype(np.float32)
     edge = np.abs(d - r) < 0.7072
     if edge.any():
         s = (np.arange(sub) + 0.5) / sub - 0.5
-        out[edge] = (np.hypot(dx[edge][:, None, None] + s[None, None, :], dy[edge][:, None, None] + s[None, :, None]) <= r).mean((1, 2))
+        ex, ey, er = np.broadcast_to(dx, d.shape)[edge], np.broadcast_to(dy, d.shape)[edge], r[edge]
+        hits = np.zeros(len(ex), np.float32)
+        for u in s:
+            for v in s:
+                hits += (ex + u) ** 2 + (ey + v) ** 2 <= er * er
+        out[edge] = hits / (sub * sub)
     return out
 
 
 def sum_circle(data: np.ndarray, x, y, r, err: float, mask: np.ndarray | None = None, bkgann: tuple[float, float] | None = None):
-    """(flux, fluxerr, flag) in circles of radius r (one or one for each); centres off the image have no flux and the edge flag."""
+    """(flux, fluxerr, flag) in circles of radius r (one or one for each); centres off the image have no flux and the edge flag.
+
+    Sources whose windows are of one size are summed together, some hundred thousand pixels at a time.
+    """
     ny, nx = data.shape
+    x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
     r = np.broadcast_to(np.asarray(r, float), (n,))
     flux, area, flag = np.zeros(n), np.zeros(n), np.zeros(n, int)
-    for i in range(n):
-        if not (np.isfinite(x[i]) and np.isfinite(y[i])):
-            flux[i], flag[i] = np.nan, FLAG_EDGE
-            continue
-        big = r[i] if bkgann is None else max(r[i], bkgann[1])
-        x0, x1 = int(np.floor(x[i] - big)), int(np.ceil(x[i] + big)) + 1
-        y0, y1 = int(np.floor(y[i] - big)), int(np.ceil(y[i] + big)) + 1
-        if x0 < 0 or y0 < 0 or x1 > nx or y1 > ny:
-            flag[i] |= FLAG_EDGE
-        x0, x1, y0, y1 = max(x0, 0), min(x1, nx), max(y0, 0), min(y1, ny)
-        if x0 >= x1 or y0 >= y1:
-            continue
-        gx, gy = np.meshgrid(np.arange(x0, x1) - x[i], np.arange(y0, y1) - y[i])
-        w = circle_weights(gx, gy, r[i])
-        cell = data[y0:y1, x0:x1]
-        if mask is not None and (mask[y0:y1, x0:x1] & (w > 0)).any():
-            flag[i] |= FLAG_MASKED
-            whole = w.sum()
-            w = np.where(mask[y0:y1, x0:x1], 0, w)
-            w = w * (whole / w.sum()) if w.sum() > 0 else w
-        flux[i], area[i] = float((w * cell).sum()), float(w.sum())
-        if bkgann is not None:
-            ring = circle_weights(gx, gy, bkgann[1]) - circle_weights(gx, gy, bkgann[0])
-            flux[i] -= float((ring * cell).sum()) / max(float(ring.sum()), 1e-9) * area[i]
+    finite = np.isfinite(x) & np.isfinite(y)
+    flux[~finite], flag[~finite] = np.nan, FLAG_EDGE
+    big = r if bkgann is None else np.maximum(r, bkgann[1])
+    half = np.ceil(big).astype(int) + 1
+    for h in np.unique(half[finite]):
+        group, step = np.flatnonzero(finite & (half == h)), max(1, 400_000 // (2 * h + 1) ** 2)
+        offsets = np.arange(-h, h + 1)
+        for k in range(0, len(group), step):
+            at = group[k : k + step]
+            px, py = np.floor(x[at]).astype(int)[:, None] + offsets, np.floor(y[at]).astype(int)[:, None] + offsets
+            dx, dy = (px - x[at, None])[:, None, :], (py - y[at, None])[:, :, None]
+            on = ((px >= 0) & (px < nx))[:, None, :] & ((py >= 0) & (py < ny))[:, :, None]
+            where = np.clip(py, 0, ny - 1)[:, :, None], np.clip(px, 0, nx - 1)[:, None, :]
+            cell = data[where]
+            w = circle_weights(dx, dy, r[at, None, None]) * on
+            out = (np.floor(x[at] - big[at]) < 0) | (np.floor(y[at] - big[at]) < 0) | (np.ceil(x[at] + big[at]) + 1 > nx) | (np.ceil(y[at] + big[at]) + 1 > ny)
+            flag[at[out]] |= FLAG_EDGE
+            if mask is not None:
+                hidden = mask[where] & (w > 0)
+                touched = hidden.any((1, 2))
+                flag[at[touched]] |= FLAG_MASKED
+                whole = w.sum((1, 2))
+                w = np.where(hidden, 0, w)
+                left = w.sum((1, 2))
+                w = w * np.where(touched & (left > 0), whole / np.where(left > 0, left, 1), 1)[:, None, None]
+            flux[at], area[at] = (w * cell).sum((1, 2), dtype=np.float64), w.sum((1, 2), dtype=np.float64)
+            if bkgann is not None:
+                ring = (circle_weights(dx, dy, bkgann[1]) - circle_weights(dx, dy, bkgann[0])) * on
+                flux[at] -= (ring * cell).sum((1, 2), dtype=np.float64) / np.maximum(ring.sum((1, 2), dtype=np.float64), 1e-9) * area[at]
     return flux, err * np.sqrt(area), flag
 
 
 def flux_radius(data: np.ndarray, x, y, rmax, frac: float = 0.5) -> np.ndarray:
-    """The radius that holds a fraction of the flux within rmax."""
-    out = np.full(len(x), np.nan)
-    for i in range(len(x)):
-        radii = np.linspace(0, rmax[i], 41)[1:]
-        f = sum_circle(data, np.full(40, x[i]), np.full(40, y[i]), radii, 0.0)[0]
-        if f[-1] > 0:
-            k = int(np.argmax(f >= frac * f[-1]))
-            low, r0 = (f[k - 1], radii[k - 1]) if k else (0.0, 0.0)
-            out[i] = r0 + (radii[k] - r0) * (frac * f[-1] - low) / max(f[k] - low, 1e-12)
+    """The radius that holds a fraction of the flux within rmax, from 40 circles."""
+    rmax = np.asarray(rmax, float)
+    steps = np.arange(1, 41) / 40
+    flux = np.stack([sum_circle(data, x, y, rmax * k, 0.0)[0] for k in steps], 1) if len(rmax) else np.zeros((0, 40))
+    out, good = np.full(len(rmax), np.nan), flux[:, -1] > 0
+    k = np.argmax(flux >= frac * flux[:, -1:], axis=1)
+    row = np.arange(len(rmax))
+    low, high = np.where(k > 0, flux[row, np.maximum(k - 1, 0)], 0.0), flux[row, k]
+    r0, r1 = np.where(k > 0, rmax * steps[np.maximum(k - 1, 0)], 0.0), rmax * steps[k]
+    value = r0 + (r1 - r0) * (frac * flux[:, -1] - low) / np.maximum(high - low, 1e-12)
+    out[good] = value[good]
     return out
 
 
 def max_in_aperture(data: np.ndarray, x, y, r: float) -> np.ndarray:
+    """The largest pixel within r of the nearest pixel to each position; NaN where none is on the image."""
     ny, nx = data.shape
     n = int(np.ceil(r))
     gy, gx = np.mgrid[-n : n + 1, -n : n + 1]
     disc = gx**2 + gy**2 <= r * r
-    out = np.full(len(x), np.nan)
-    for i in np.flatnonzero(np.isfinite(x) & np.isfinite(y)):
-        yy, xx = gy[disc] + int(round(y[i])), gx[disc] + int(round(x[i]))
-        ok = (yy >= 0) & (yy < ny) & (xx >= 0) & (xx < nx)
-        if ok.any():
-            out[i] = np.nanmax(data[yy[ok], xx[ok]])
+    out, finite = np.full(len(x), np.nan), np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    step = max(1, 1_000_000 // max(int(disc.sum()), 1))
+    for k in range(0, len(finite), step):
+        at = finite[k : k + step]
+        yy, xx = np.rint(np.asarray(y)[at]).astype(int)[:, None] + gy[disc], np.rint(np.asarray(x)[at]).astype(int)[:, None] + gx[disc]
+        on = (yy >= 0) & (yy < ny) & (xx >= 0) & (xx < nx)
+        value = np.where(on, data[np.clip(yy, 0, ny - 1), np.clip(xx, 0, nx - 1)], -np.inf)
+        top = np.fmax.reduce(value, axis=1)
+        out[at] = np.where(np.isfinite(top), top, np.nan)
     return out
 
 
@@ -254,10 +273,9 @@ def bright_round(sub, objs, rms, snr_min, radius: float = 10.0, mask=None) -> np
         return (flux / err > snr_min) & (objs["b"] / objs["a"] > 0.7) & ((flag & FLAG_MASKED) == 0)
 
 
-def measure_fwhm(sub, objs, rms, snr_min: float = SNR_PSF, mask=None, most: int = 300) -> float:
+def measure_fwhm(sub, objs, rms, snr_min: float = SNR_PSF, mask=None) -> float:
     """Twice the median half-light radius of bright, round, clean sources."""
     good = np.flatnonzero(bright_round(sub, objs, rms, snr_min, mask=mask) & (objs["flag"] == 0))
-    good = good[np.argsort(-objs["flux"][good])][:most]
     if not len(good):
         return float("nan")
     r = flux_radius(sub, objs["x"][good], objs["y"][good], 6 * objs["a"][good])
@@ -270,6 +288,19 @@ def point_like(objs, reference: np.ndarray, ratio: float = COG_MAX_SIZE_RATIO) -
     return objs["a"] <= ratio * np.median(objs["a"][reference])
 
 
+def alone(x: np.ndarray, y: np.ndarray, pick: np.ndarray, far: float) -> np.ndarray:
+    """Whether each picked position has no other one within ``far``, by cells of that size."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    cx, cy = np.floor(x / far).astype(int).tolist(), np.floor(y / far).astype(int).tolist()
+    for i, key in enumerate(zip(cx, cy)):
+        cells.setdefault(key, []).append(i)
+    out = np.ones(len(pick), bool)
+    for k, i in enumerate(pick.tolist()):
+        near = np.array([j for u in (-1, 0, 1) for v in (-1, 0, 1) for j in cells.get((cx[i] + u, cy[i] + v), ()) if j != i], int)
+        out[k] = not len(near) or np.hypot(x[near] - x[i], y[near] - y[i]).min() > far
+    return out
+
+
 def growth_curve(sub, objs, rms, radii=COG_RADII, snr_min: float = SNR_PSF, mask=None, size_ratio: float = COG_MAX_SIZE_RATIO, isolation: float | None = None) -> dict:
     """radius, flux_frac, flux_frac_std over isolated bright point sources, and how many they were."""
     far = isolation if isolation is not None else 2 * radii[-1]
@@ -279,8 +310,7 @@ def growth_curve(sub, objs, rms, radii=COG_RADII, snr_min: float = SNR_PSF, mask
     if not len(pick):
         return none
     x, y = objs["x"], objs["y"]
-    near = np.array([np.sort(np.hypot(x - x[i], y - y[i]))[1] if len(x) > 1 else np.inf for i in pick])
-    pick = pick[near > far]
+    pick = pick[alone(x, y, pick, far)]
     curves = np.zeros((len(pick), len(radii)))
     clean = np.ones(len(pick), bool)
     for k, r in enumerate(radii):
@@ -446,3 +476,21 @@ def cutout(sub, nucleus, target, half: int = 70) -> dict:
     cx, cy = int(round(nucleus[0])), int(round(nucleus[1]))
     x0, x1, y0, y1 = max(cx - half, 0), min(cx + half + 1, nx), max(cy - half, 0), min(cy + half + 1, ny)
     return {"stamp": sub[y0:y1, x0:x1], "nucleus": (nucleus[0] - x0, nucleus[1] - y0), "target": (target[0] - x0, target[1] - y0), "origin": (x0, y0)}
+
+
+def background_tiles(back: np.ndarray, fitted: dict, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(background, model) at every ``step``-th pixel, the model being fit_background's surface."""
+    ny, nx = back.shape
+    y, x = np.mgrid[0:ny:step, 0:nx:step]
+    u, v = (2 * x / nx - 1).ravel(), (2 * y / ny - 1).ravel()
+    return back[::step, ::step].ravel().astype(float), np.stack([np.ones_like(u), u, v, u * u, u * v, v * v], 1) @ fitted["coeffs"]
+
+
+def mask_of(circles):
+    """A mask hook of pixel tasks for sky circles (ra, dec, radius in arcseconds)."""
+    ra, dec, radius = (np.array(c, float) for c in zip(*circles)) if len(circles) else (np.zeros(0),) * 3
+
+    def mask(frame, wcs):
+        return sky_mask(frame.shape, wcs, ra, dec, radius)
+
+    return mask

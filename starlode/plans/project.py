@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import catalogue as cat
 from ..sources.fits import list_frames
+from ..sources.frames import FrameSource, frames_of
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,11 @@ class Target:
 @dataclass
 class Project:
     """provenance and mask are functions of a Frame (and its Wcs): extra columns of a frame's row, pixels to leave out.
+    Provenance columns have the types of their values and replace columns of the same name.
+
+    frame_source gives the frames instead of frame_roots. attempts and wait_s: how often a
+    frame whose work fails for want of a file or a service is tried, and how many seconds
+    longer each time the wait is.
 
     catalogue_backend: "local" (a dataset at catalogue_dataset), "fetch" (a function of
     position and radius) or "auto", which takes the dataset if it covers the field.
@@ -51,6 +57,9 @@ class Project:
     provenance: Callable | None = None
     mask: Callable | None = None
     isolation: float | None = None
+    frame_source: FrameSource | None = None
+    attempts: int = 1
+    wait_s: float = 5.0
 
     def path(self, name: str) -> str:
         return f"{self.work_dir.rstrip('/')}/{name}"
@@ -91,7 +100,12 @@ class Project:
     def catalogue_radius_deg(self) -> float:
         return self.half_size_deg * 2**0.5 + 0.1
 
+    #: Tables of stage 2 beside the frames: curves of growth, widths, background tiles, sources and fit points.
+    DETAILS = ("cog", "bands", "tiles", "sources", "points")
+
     def frames(self, spark: SparkSession) -> DataFrame:
+        if self.frame_source is not None:
+            return frames_of(spark, self.frame_source).orderBy("place")
         return list_frames(spark, self.frame_roots, self.patterns, self.curate)
 
     def catalogue_backend_used(self, spark: SparkSession) -> str:

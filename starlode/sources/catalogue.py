@@ -81,15 +81,19 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def finalise_manifest(spark: SparkSession, path: str) -> dict:
-    """Writes manifest.json: rows, bytes and SHA-256 of each part, totals, and the columns that hold anything."""
+def part_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(hpx5, sha256, bytes) of each pixel's files, read by Spark wherever they are; a part is some thousand rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     pixel = F.regexp_extract("path", r"hpx5=(\d+)", 1).cast("int")
-    parts = files.groupBy(pixel.alias("hpx5")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("content", 256))), ""), 256).alias("sha256"), F.sum("length").alias("bytes"))
-    data = read(spark, path)
-    rows = data.groupBy("hpx5").agg(F.count("*").alias("rows"))
-    listed = parts.join(rows, "hpx5", "left").orderBy("hpx5").collect()  # at most the sphere's 12288 pixels
-    filled = data.agg(*[F.count(c).alias(c) for c in COLUMNS]).first()
+    each = files.select(pixel.alias("hpx5"), F.sha2("content", 256).alias("sha256"), "length")
+    return each.groupBy("hpx5").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("sha256"), F.sum("length").alias("bytes"))
+
+
+def finalise_manifest(spark: SparkSession, path: str) -> dict:
+    """Writes manifest.json: rows, bytes and SHA-256 of each part, totals, and the columns that hold anything."""
+    counts = read(spark, path).groupBy("hpx5").agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in COLUMNS])
+    listed = part_digests(spark, path).join(counts, "hpx5", "left").orderBy("hpx5").collect()  # at most the sphere's 12288 pixels
+    filled = {c: sum(r[c] or 0 for r in listed) for c in COLUMNS}
     out = {
         "dataset": "reference catalogue", "hpx_level": sky.HPX_LEVEL, "ref_epoch": sky.REF_EPOCH, "columns": list(COLUMNS), "columns_present": [c for c in COLUMNS if filled[c]],
         "rows": sum(r["rows"] or 0 for r in listed), "bytes": sum(r["bytes"] for r in listed), "parts": {str(r["hpx5"]): {"sha256": r["sha256"], "bytes": r["bytes"], "rows": r["rows"]} for r in listed},
@@ -174,10 +178,21 @@ def mosaic(fetch, ra: float, dec: float, half_size_deg: float, n_tiles: int = 1)
     """Union of ``fetch(ra, dec, radius)`` over tiles, each source once (its smallest row)."""
     radius = half_size_deg / n_tiles * 2**0.5 + 0.1
     parts = [fetch(a, d, radius) for a, d in sky.tile_centres(ra, dec, half_size_deg, n_tiles)]
+    return unique(stacked(parts))
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """All rows of tables one below the other; columns that one lacks are NULL."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.dropDuplicates(["source_id"])
+    return out
+
+
+def unique(table: DataFrame, key: str = "source_id") -> DataFrame:
+    """One row for each key, the smallest by its columns in turn."""
+    rest = [c for c in table.columns if c != key]
+    return table.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(*[F.col(key) if c == key else F.col(f"__row.{c}").alias(c) for c in table.columns])
 
 
 def read_bulk(spark: SparkSession, paths, columns: dict[str, str]) -> DataFrame:
@@ -188,9 +203,38 @@ def read_bulk(spark: SparkSession, paths, columns: dict[str, str]) -> DataFrame:
 
 def build_allsky(positions: DataFrame, photometry: DataFrame, path: str, v_limit: float = V_LIMIT) -> dict:
     """Joins photometry to positions by id, keeps finite V below the limit and writes the dataset."""
+    return write_dataset(with_photometry(positions, photometry, v_limit), path)
+
+
+def with_photometry(positions: DataFrame, photometry: DataFrame, v_limit: float = V_LIMIT) -> DataFrame:
+    """Positions with their photometry by id, of finite V below the limit."""
     v = F.col("v_jkc_mag")
-    kept = positions.join(photometry, "source_id").where(v.isNotNull() & ~F.isnan(v) & (v < v_limit))
-    return write_dataset(kept, path)
+    return positions.join(photometry, "source_id").where(v.isNotNull() & ~F.isnan(v.cast("double")) & (v < v_limit))
+
+
+def stage_bulk(spark: SparkSession, path: str, out: str, columns: dict[str, str]) -> bool:
+    """Extracts one bulk file's columns to a Parquet table of its own below ``out``; False if its marker says that this is done.
+
+    Spark's _SUCCESS file is the marker: a table whose writing was broken off is made anew.
+    """
+    target = f"{out}/{path.rstrip('/').rpartition('/')[2]}"
+    system, marker = _filesystem(spark, f"{target}/_SUCCESS")
+    if system.exists(marker):
+        return False
+    read_bulk(spark, path, columns).write.mode("overwrite").parquet(target)
+    return True
+
+
+def staged(spark: SparkSession, out: str, columns: dict[str, str]) -> DataFrame:
+    """All tables that ``stage_bulk`` has made."""
+    return spark.read.schema(", ".join(f"{c} {k}" for c, k in columns.items())).parquet(f"{out}/*")
+
+
+def verify_parts(spark: SparkSession, path: str) -> list[int]:
+    """The pixels whose files differ from the manifest, or of which it has no part or the dataset none."""
+    listed = {int(p): x["sha256"] for p, x in (manifest(spark, path) or {"parts": {}})["parts"].items()}
+    here = {r["hpx5"]: r["sha256"] for r in part_digests(spark, path).collect()}  # at most the sphere's 12288 pixels
+    return sorted(p for p in listed.keys() | here.keys() if listed.get(p) != here.get(p))
 
 
 def missing_parts(spark: SparkSession, path: str, published: dict) -> DataFrame:

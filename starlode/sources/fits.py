@@ -54,18 +54,57 @@ class Frame:
         return self.data[BANDS.index(band)]
 
 
-def read_bytes(path: str) -> bytes:
+def open_file(path: str):
+    """A file to read and seek in, on the local disk or any file system that pyarrow knows."""
     parsed = urlparse(path)
     if parsed.scheme in ("", "file"):
-        with open(unquote(parsed.path) if parsed.scheme else path, "rb") as f:
-            return f.read()
+        return open(unquote(parsed.path) if parsed.scheme else path, "rb")
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(inner) as f:
+    return system.open_input_file(inner)
+
+
+def read_bytes(path: str) -> bytes:
+    with open_file(path) as f:
         return f.read()
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    """Writes a file under another name first, so that a reader never sees half of it."""
+    from pyarrow import fs
+
+    parsed = urlparse(path)
+    system, inner = (fs.LocalFileSystem(), unquote(parsed.path) if parsed.scheme else path) if parsed.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+    system.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
+    with system.open_output_stream(f"{inner}.part") as out:
+        out.write(data)
+    system.move(f"{inner}.part", inner)
+
+
+def scan_file(path: str, wanted=None) -> list[Hdu]:
+    """The HDUs of a file by their headers alone; data are read only of those for which ``wanted(header)`` holds."""
+    out: list[Hdu] = []
+    with open_file(path) as f:
+        end = f.seek(0, 2)
+        end, at = f.tell() if end is None else end, 0
+        while at < end:
+            f.seek(at)
+            raw = b""
+            while b"END".ljust(80) not in [raw[i : i + 80] for i in range(max(len(raw) - BLOCK, 0), len(raw), 80)]:
+                block = f.read(BLOCK)
+                if len(block) < BLOCK:
+                    raise ValueError("truncated FITS header")
+                raw += block
+            header, size = parse_header(raw, 0)
+            data = data_size(header)
+            if at + size + data > end:
+                raise ValueError("truncated FITS data")
+            out.append(read_hdus(raw + f.read(data))[0] if wanted is not None and wanted(header) else Hdu(header))
+            at += size + -(-data // BLOCK) * BLOCK
+    return out
+
+
 def _value(text: str):
     text = text.strip()
     if text.startswith("'"):
@@ -106,15 +145,23 @@ def parse_header(raw: bytes, at: int) -> tuple[dict, int]:
                 header[key] = _value(card[10:])
 
 
-def read_hdus(raw: bytes, data: bool = True) -> list[Hdu]:
+def _axes(header: dict) -> list[int]:
+    return [int(header.get(f"NAXIS{i + 1}", 0)) for i in range(int(header.get("NAXIS", 0)))]
+
+
+def data_size(header: dict) -> int:
+    """Bytes of an HDU's data, without padding."""
+    axes = _axes(header)
+    return int(np.prod(axes, dtype=np.int64)) * abs(int(header.get("BITPIX", 8))) // 8 + int(header.get("PCOUNT", 0) or 0) if axes else 0
+
+
+def read_hdus(raw: bytes) -> list[Hdu]:
     at, out = 0, []
     while at < len(raw):
         header, at = parse_header(raw, at)
-        axes = [int(header.get(f"NAXIS{i + 1}", 0)) for i in range(int(header.get("NAXIS", 0)))]
-        bits = int(header.get("BITPIX", 8))
-        size = int(np.prod(axes, dtype=np.int64)) * abs(bits) // 8 + int(header.get("PCOUNT", 0) or 0) if axes else 0
+        axes, bits, size = _axes(header), int(header.get("BITPIX", 8)), data_size(header)
         hdu = Hdu(header)
-        if data and size:
+        if size:
             if at + size > len(raw):
                 raise ValueError("truncated FITS data")
             if header.get("XTENSION") == "BINTABLE":
@@ -125,8 +172,6 @@ def read_hdus(raw: bytes, data: bool = True) -> list[Hdu]:
                 hdu.data = x.astype(np.float32) if scale == 1 and zero == 0 else (x * scale + zero).astype(np.float32)
         out.append(hdu)
         at += -(-size // BLOCK) * BLOCK
-        if not data and at < len(raw):
-            continue
     return out
 
 
@@ -251,8 +296,15 @@ def list_frames(spark: SparkSession, roots: str | list[str], patterns: tuple[str
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
     files = files.select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
     if curate is not None:
-        keep = F.udf(lambda p: bool(curate(p)), "boolean")(F.col("path")) if callable(curate) and not hasattr(curate, "_jc") else curate
-        files = files.where(keep)
+        if callable(curate) and not hasattr(curate, "_jc"):
+
+            def chosen(batches):
+                for batch in batches:
+                    yield batch.filter(pa.array([bool(curate(p)) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+            files = files.mapInArrow(chosen, files.schema)
+        else:
+            files = files.where(curate)
     return files.orderBy(F.lower("path"))
 
 
@@ -263,35 +315,59 @@ def _text(value) -> str:
     return ("T" if value else "F") if isinstance(value, bool) else str(value)
 
 
+def typed_header(texts: dict[str, str]) -> dict:
+    """Header values of their texts: flags, numbers, else text."""
+    return {k: True if v == "T" else False if v == "F" else _number(v) for k, v in texts.items()}
+
+
+def _number(text: str):
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def header_row(path: str) -> tuple:
+    """(path, status, message, layout, ny, nx, header) of one file, of which only header blocks are read."""
+    try:
+        hdus = scan_file(path)
+        layout = layout_of(hdus)
+        main = hdus[0].header if layout != "mef" else hdus[plane_index(hdus)[0]].header
+        last = layout == "cube" and main.get("NAXIS1") == 3 and main.get("NAXIS3") != 3
+        ny, nx = (main.get("NAXIS3"), main.get("NAXIS2")) if last else (main.get("NAXIS2"), main.get("NAXIS1"))
+        return path, "ok", None, layout, ny, nx, {k: _text(v) for k, v in hdus[0].header.items() if v is not None}
+    except Exception as e:
+        return path, "failed", f"{type(e).__name__}: {e}", None, None, None, None
+
+
 def read_headers(frames: DataFrame) -> DataFrame:
     """path, status, message, layout, ny, nx and the primary header of each file; an unreadable one has status failed."""
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for path in batch.column(0).to_pylist():
-                try:
-                    hdus = read_hdus(read_bytes(path), data=False)
-                    layout = layout_of(hdus)
-                    main = hdus[0].header if layout != "mef" else hdus[plane_index(hdus)[0]].header
-                    last = layout == "cube" and main.get("NAXIS1") == 3 and main.get("NAXIS3") != 3
-                    ny, nx = (main.get("NAXIS3"), main.get("NAXIS2")) if last else (main.get("NAXIS2"), main.get("NAXIS1"))
-                    rows.append((path, "ok", None, layout, ny, nx, [(k, _text(v)) for k, v in hdus[0].header.items() if v is not None]))
-                except Exception as e:
-                    rows.append((path, "failed", f"{type(e).__name__}: {e}", None, None, None, None))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
+            rows = [header_row(path) for path in batch.column(0).to_pylist()]
+            rows = [(*r[:6], list(r[6].items()) if r[6] is not None else None) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "status", "message", "layout", "ny", "nx", "header"])
 
     return frames.select("path").mapInArrow(run, HEADER_SCHEMA)
 
 
+def star_table(path: str) -> np.ndarray | None:
+    """A file's STAR-TAB, read without its pixels."""
+    found = scan_file(path, lambda h: str(h.get("EXTNAME", "")).strip().upper() == "STAR-TAB")
+    return next((h.data for h in found if h.name == "STAR-TAB"), None)
+
+
 def read_star_tables(frames: DataFrame) -> DataFrame:
     """(path, x, y, flux) rows of the embedded STAR-TAB tables; files without one have none."""
 
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                tab = next((h.data for h in read_hdus(read_bytes(path)) if h.name == "STAR-TAB"), None)
+                tab = star_table(path)
                 if tab is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(tab)), *(pa.array(tab[c].astype(np.float64)) for c in ("x", "y", "flux"))], ["path", "x", "y", "flux"])
 

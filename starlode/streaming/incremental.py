@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.project import Project
-from ..plans.stages import characterise, log, table
-from ..sources.fits import HEADER_SCHEMA  # noqa: F401
+from ..plans.stages import add_frames, pending, table
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -30,13 +29,9 @@ def run(spark: SparkSession, project: Project, max_files: int = 25) -> int:
     n = before.count() if before is not None else 0
 
     def batch(df: DataFrame, _: int) -> None:
-        done = table(spark, project.frames_path)
-        keys = df.select("path")
-        keys = keys.join(done.select("path"), "path", "left_anti") if done is not None else keys
+        keys = pending(df.select("path"), table(spark, project.frames_path))
         if keys.limit(1).count():
-            rows, statuses = characterise(spark, project, keys)
-            rows.write.mode("append").parquet(project.frames_path)
-            log(spark, project, "characterise", statuses)
+            add_frames(spark, project, keys)
 
     query = frame_stream(spark, project, max_files).writeStream.foreachBatch(batch).option("checkpointLocation", project.path("_stream")).trigger(availableNow=True).start()
     query.awaitTermination()
