@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,4 +25,7 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(ROOT / "starlode", f"{d}/tree/starlode", ignore=shutil.ignore_patterns("__pycache__"))
         for top in ROOT.glob("*_pipeline.py"):
             shutil.copy(top, f"{d}/tree/")
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/starlode", "zip", f"{d}/tree"))
+        # Executors fetch the file from the driver as they come, so it stays until the driver ends.
+        kept = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, kept, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{kept}/starlode", "zip", f"{d}/tree"))
