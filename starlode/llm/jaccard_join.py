@@ -267,12 +267,13 @@ def components_of(spark: SparkSession, docs: DataFrame, settings: Settings = Set
     docs = docs.select("doc_id", "text")
     full = scratch.keep(documents_of(docs, s), "full", "lz4")
     rows = scratch.keep(full.drop("pool"), "rows")
-    known = rows.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    # A class has equal sets; it goes by the row of its smallest id.
-    head = F.min(F.struct("doc_id", "row")).alias("head")
-    first = scratch.keep(known.groupBy("sig").agg(head).select("sig", F.col("head.row").alias("rep"), "head"), "first")
-    classes = scratch.keep(full.join(first.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "pool"), "classes", "lz4")
+    # A class has equal sets; it goes by the row of its smallest id. Copies in a task are one row before the shuffle.
+    key = F.struct("doc_id", "row")
+    known = full.where("doc_id IS NOT NULL AND sig IS NOT NULL").groupBy("sig").agg(F.min(key).alias("head"), F.min_by(F.struct("n", "pool"), key).alias("own"))
+    classes = scratch.keep(known.select("sig", "head", F.col("head.row").alias("rep"), "own.n", "own.pool"), "classes", "lz4")
+    first = scratch.keep(classes.select("sig", "rep", "head"), "first")
     scratch.drop("full")
+    classes = classes.select("rep", "n", "pool")
     level = F.floor(F.log("n") / math.log(s.den / s.num) * (1 - 1e-9))  # sizes of linked sets are a level apart at most
     heads = prefixes(classes, s).select("rep", "token", F.explode(F.array(level, level + 1)).alias("level"))
     heads = scratch.keep(heads, "heads")

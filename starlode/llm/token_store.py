@@ -51,14 +51,16 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def candidates(ids: np.ndarray, edge: np.ndarray, s: Settings) -> np.ndarray:
-    """Places behind ids whose rolling hash has the right remainder; a hash's window lies in one document (``edge``: len + 1 bounds)."""
+    """Places behind ids whose rolling hash is among the smallest of ``mean``; a hash's window lies in one document (``edge``: len + 1 bounds)."""
     n = len(ids) - s.window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    mixed, rolled = V.mix(ids.astype(np.uint64) + np.uint64(1)), np.zeros(n, np.uint64)
-    for j in range(s.window):
-        rolled += mixed[j : j + n] * np.uint64(pow(V.BASE, 2 * j + 1, 1 << 64))
-    found = np.flatnonzero(V.mix(rolled) % np.uint64(s.mean) == 0) + s.window
+    mixed = V.mix(np.arange(int(ids.max()) + 1, dtype=np.uint64) + np.uint64(1))[ids]
+    rolled = mixed[:n].copy()
+    for j in range(1, s.window):
+        rolled *= np.uint64(V.BASE)
+        rolled += mixed[j : j + n]
+    found = np.flatnonzero(V.mix(rolled) < np.uint64((1 << 64) // s.mean)) + s.window
     return found[found - edge[np.searchsorted(edge, found - 1, side="right") - 1] >= s.window]
 
 

@@ -14,10 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import textvec as V
 
-#: Distinct pieces that a worker remembers before it forgets all of them.
+#: Distinct pieces that a worker remembers before it forgets all that its last texts don't have.
 REMEMBERED = 250_000
 
 
@@ -46,12 +47,21 @@ class PieceEncoder:
             raise ValueError(f"{path}: added tokens other than literal ones")
         self.added = {t.content: i for i, t in tokens.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
+        # Pieces that are known, how many ids each has, and all their ids one behind the other.
+        self.known, self.sizes, self.values = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def piece(self, text: str) -> bytes:
-        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        # Printable ASCII stands for itself; only a blank before it has another letter.
+        if text.isascii() and text[1:].isalnum():
+            text = self.letters[32] + text[1:] if text[0] == " " else text
+            found = self.model.tokenize(text if text.isprintable() else self.written(text))
+        else:
+            found = self.model.tokenize(self.written(text))
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
+    def written(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
+
     def prepare(self, text: str) -> str:
         """What the word vocabulary's normaliser does, but for white space, which no piece holds: NFC, then each letter's lower case."""
         if not text.isascii():
@@ -85,25 +95,32 @@ class PieceEncoder:
         if self.kind == "word":
             texts = [self.prepare(t) for t in texts]
         array, first, keep = V.pieces(texts, self.kind == "byte")
+        if self.kind == "word":  # white space has no ids
+            array, first = array.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(keep)])[first]
         coded = array.dictionary_encode()
-        order = coded.indices.to_numpy(zero_copy_only=False)
-        known, pieces = self.known, coded.dictionary.to_pylist()
-        ids = list(map(known.get, pieces))
-        for i, got in enumerate(ids):
-            if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                text = pieces[i]
-                skip = self.kind == "word" and V.classes()[ord(text[0])] == V.SPACE
-                ids[i] = known[text] = b"" if skip else self.piece(text)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        values = np.frombuffer(b"".join(ids), "<u4")
-        if self.kind == "word":
-            order = np.where(keep, order, len(ids))
-            sizes = np.append(sizes, 0)
-        begin = np.cumsum(sizes) - sizes
+        at = self.remember(coded.dictionary)
+        order, sizes = coded.indices.to_numpy(zero_copy_only=False), self.sizes[at]
         total = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
-        return V.gather(order, sizes, values, begin), total[first]
+        return V.gather(order, sizes, self.values, (np.cumsum(self.sizes) - self.sizes)[at]), total[first]
+
+    def remember(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece among the known ones; those that are new are encoded first."""
+        at = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(self.known) + len(new) > REMEMBERED:
+            # Only what these texts have stays.
+            old = np.flatnonzero(at >= 0)
+            own = at[old]
+            self.known, self.values = pieces.take(pa.array(old)), V.gather(own, self.sizes, self.values, np.cumsum(self.sizes) - self.sizes)
+            self.sizes, at[old] = self.sizes[own], np.arange(len(old))
+        if len(new):
+            words = pieces.take(pa.array(new))
+            ids = list(map(self.piece, words.to_pylist()))
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, words])
+            self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+            self.values = np.append(self.values, np.frombuffer(b"".join(ids), "<u4"))
+        return at
 
 
 @lru_cache(maxsize=2)
