@@ -122,7 +122,8 @@ def _pixel_centres(level: int) -> tuple[np.ndarray, np.ndarray]:
 def with_pixel(df: DataFrame, name: str, ra: str = "ra", dec: str = "dec", level: int = HPX_LEVEL) -> DataFrame:
     """``df`` with the nested pixel of a position as column ``name`` (Gorski et al. 2005): a base face, then the bits of its two coordinates in turn.
 
-    The steps are columns of their own, so that no expression is written out many times.
+    A row without a position has pixel -1. The steps are columns of their own, so that no
+    expression is written out many times.
     """
     side = 1 << level
     z, turn = F.col("__z"), F.col("__turn")
@@ -139,7 +140,8 @@ def with_pixel(df: DataFrame, name: str, ra: str = "ra", dec: str = "dec", level
     out = F.col("__face") * (side * side)
     for bit in range(level):
         out = out + F.shiftleft(F.shiftright("__x", bit).bitwiseAND(1), 2 * bit) + F.shiftleft(F.shiftright("__y", bit).bitwiseAND(1), 2 * bit + 1)
-    return df.withColumn(name, out).drop("__z", "__turn", "__falls", "__rises", "__quarter", "__near", "__far", "__face", "__x", "__y")
+    # Never NULL: else a join's filter for that would be pushed below all steps, written out in full.
+    return df.withColumn(name, F.coalesce(out, F.lit(-1))).drop("__z", "__turn", "__falls", "__rises", "__quarter", "__near", "__far", "__face", "__x", "__y")
 
 
 def parts_in_cone(ra: float, dec: float, radius_deg: float) -> list[int]:

@@ -115,17 +115,28 @@ def differential_lightcurve(
     result keeps its columns when no frame qualifies.
     """
     good = valid(measurements, band, inst_col, max_flag)
+    out = _curves(good, good.where(F.col("source_id") == target_id), comps, time_col, inst_col, cat_mag_col, min_comp)
+    return out.drop("source_id").orderBy("time")
+
+
+def lightcurves(measurements: DataFrame, targets: DataFrame, comps: DataFrame, band: str = "G", time_col: str = "bjd_tdb", inst_col: str = "m_inst", cat_mag_col: str = "v_jkc_mag", min_comp: int = 3, max_flag: int = 0) -> DataFrame:
+    """differential_lightcurve of all ``targets`` (source_id) at once against the same comparisons, which hold none of them: its columns and source_id."""
+    good = valid(measurements, band, inst_col, max_flag)
+    return _curves(good, good.join(targets.select("source_id").distinct(), "source_id", "left_semi"), comps, time_col, inst_col, cat_mag_col, min_comp)
+
+
+def _curves(good: DataFrame, rows: DataFrame, comps: DataFrame, time_col: str, inst_col: str, cat_mag_col: str, min_comp: int) -> DataFrame:
     joined = good.join(reference_mags(comps, cat_mag_col), "source_id").withColumn("zp", F.col("cat") - F.col(inst_col))
     zp = joined.groupBy("frame").agg(F.avg("zp").alias("zp_ens"), F.coalesce(F.stddev_samp("zp"), F.lit(0.0)).alias("zp_scatter"), F.count("*").alias("n_comp")).where(F.col("n_comp") >= min_comp)
     err = F.col("mag_err") if "mag_err" in good.columns else F.lit(0.0)
     air = F.col("airmass") if "airmass" in good.columns else F.lit(None)
-    target = first_rows(good.where(F.col("source_id") == target_id), ("frame",), time_col, inst_col)
-    target = target.select("frame", F.col(time_col).alias("time"), F.col(inst_col).alias("inst"), F.coalesce(err, F.lit(0.0)).cast("double").alias("err"), air.cast("double").alias("airmass"))
+    target = first_rows(rows, ("source_id", "frame"), time_col, inst_col)
+    target = target.select("source_id", "frame", F.col(time_col).alias("time"), F.col(inst_col).alias("inst"), F.coalesce(err, F.lit(0.0)).cast("double").alias("err"), air.cast("double").alias("airmass"))
     lc = target.join(zp, "frame").withColumn("mag", F.col("inst") + F.col("zp_ens"))
     lc = lc.withColumn("mag_err", F.sqrt(F.pow("err", 2) + F.pow(F.col("zp_scatter") / F.sqrt("n_comp"), 2)))
-    # One target's frames: the median needs them together, as light curves are short.
-    lc = lc.withColumn("dmag", F.col("mag") - F.median("mag").over(W.partitionBy(F.lit(band))))
-    return lc.select("time", "mag", "mag_err", "zp_ens", "zp_scatter", "n_comp", "airmass", "frame", "dmag").orderBy("time")
+    # A target's frames stand together for their median.
+    lc = lc.withColumn("dmag", F.col("mag") - F.median("mag").over(W.partitionBy("source_id")))
+    return lc.select("source_id", "time", "mag", "mag_err", "zp_ens", "zp_scatter", "n_comp", "airmass", "frame", "dmag")
 
 
 def summary(lc: DataFrame, target_id: int, band: str, comps: DataFrame, cat_mag_col: str = "v_jkc_mag") -> DataFrame:

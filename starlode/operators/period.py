@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite, phase_fold
+from .solve import numbered
 
 
 #: Points of the longest series that goes to the tasks (16 bytes each).
@@ -103,8 +104,13 @@ def phase_bins(folded: DataFrame, n_bins: int = 25, mag_col: str = "dmag") -> Da
 
 def running_median(points: DataFrame, x: str, y: str, keys: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """(keys, tile, x, y, n): medians of equal-count bins along x, max(n // 20, 4) of them, for series of over 20 points."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    rows = points.where(is_finite(x) & is_finite(y)).withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(x, y, *order)) - 1).where("__n > 20")
+    rows = points.where(is_finite(x) & is_finite(y))
+    if keys:
+        w = W.partitionBy(*keys)
+        rows = rows.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(x, y, *order)) - 1)
+    else:
+        rows = numbered(rows, "__i", x, y, *order).join(F.broadcast(rows.agg(F.count("*").alias("__n"))), how="cross")
+    rows = rows.where("__n > 20")
     tiles = F.greatest(F.floor(F.col("__n") / 20), F.lit(4))
     big, size = F.col("__n") % tiles, F.floor(F.col("__n") / tiles)
     # The first n % k tiles hold one more, as with NTILE.

@@ -26,7 +26,6 @@ def frame_report(spark: SparkSession, project: Project, paths: list[str] | None
     t = _tables(spark, project)
     if paths is not None:
         t = {n: df.where(F.col("path" if n == "frames" else "frame").isin(paths)) for n, df in t.items()}
-    nx, ny = 1 << 30, 1 << 30
     out = {
         "curve_of_growth": diagnostics.curve_of_growth(t["cog"], t["bands"]),
         "fwhm_bands": diagnostics.fwhm_bands(t["bands"]),
@@ -35,7 +34,7 @@ def frame_report(spark: SparkSession, project: Project, paths: list[str] | None
         "residual_map": diagnostics.residual_map(t["points"]),
         "mag_snr": diagnostics.mag_snr(t["sources"]),
         "background_panels": diagnostics.background_panels(t["tiles"]),
-        "detection_overlay": diagnostics.detection_overlay(t["sources"], nx, ny),
+        "detection_overlay": diagnostics.detection_overlay(t["sources"], 0, 0),
         "match_separation": diagnostics.match_separation(t["sources"], project.match_tol_arcsec),
         "instrumental_colour": diagnostics.instrumental_colour(t["sources"]),
     }

@@ -277,6 +277,18 @@ def agg01(s, d):
     return rounded(lightcurve(s, d).select("frame", "time", "mag", "mag_err", "zp_ens", "zp_scatter", "n_comp"), "time", "mag", "mag_err", "zp_ens", "zp_scatter")
 
 
+@query("agg01_many_lightcurves", f""", {COMPS}, good AS (SELECT * FROM meas WHERE band = 'click' AND flag <= 0),
+    zp AS (SELECT frame, avg(z) AS zp_ens, count(*) AS n_comp FROM (SELECT g.frame, c.v_jkc_mag - g.m_inst AS z FROM good g JOIN comps c USING (source_id)) GROUP BY frame HAVING count(*) >= 3),
+    lc AS (SELECT t.source_id, t.frame, t.m_inst + zp_ens AS mag, n_comp FROM good t JOIN zp USING (frame) WHERE t.source_id NOT IN (SELECT source_id FROM comps))
+    SELECT source_id, frame, round(mag, 5) AS mag, round(mag - median(mag) OVER (PARTITION BY source_id), 5) + 0.0 AS dmag, n_comp FROM lc""", "meas stars")
+def agg01_many(s, d):
+    """Every star that is no comparison is a target."""
+    comps, m = comparisons(s, d), meas(s, d)
+    targets = m.select("source_id").join(comps, "source_id", "left_anti")
+    out = ensemble.lightcurves(m, targets, comps, band="click", time_col="time")
+    return rounded(out.select("source_id", "frame", "mag", "dmag", "n_comp"), "mag", "dmag", digits=5)
+
+
 @query("agg02_dmag", lc_sql("SELECT frame, round(dmag, 6) + 0.0 AS dmag FROM lc"), "meas stars")
 def agg02(s, d):
     return rounded(lightcurve(s, d).select("frame", "dmag"), "dmag")
@@ -427,6 +439,13 @@ ORACLE["win02_running_median"] = f"""WITH meas AS ({VIEWS['meas']}), i AS (SELEC
     SELECT band, tile, round(median(time), 6) AS x, round(median(m_inst), 6) AS y, count(*) AS n FROM t GROUP BY band, tile"""
 
 
+@query("win02_running_median_whole", "WITH t AS (SELECT l_quantity, l_extendedprice, row_number() OVER (ORDER BY l_quantity, l_extendedprice, l_orderkey, l_linenumber) - 1 AS i, count(*) OVER () AS c FROM lineitem), k AS (SELECT *, greatest(c // 20, 4) AS k FROM t) SELECT CASE WHEN i < (c % k) * (c // k + 1) THEN i // (c // k + 1) ELSE (c % k) + (i - (c % k) * (c // k + 1)) // (c // k) END + 1 AS tile, median(l_quantity)::DOUBLE AS x, round(median(l_extendedprice), 4) AS y, count(*) AS n FROM k GROUP BY 1")
+def win02_whole(s, d):
+    """One series, its places by sorted ranges."""
+    rows = read(s, d, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return rounded(period.running_median(rows, "l_quantity", "l_extendedprice", order=("l_orderkey", "l_linenumber")), "y", digits=4)
+
+
 @query("win05_relative_time", "SELECT source_id, frame, band, round(time - (SELECT floor(min(time)) FROM meas), 6) AS rel_time FROM meas", "meas")
 def win05(s, d):
     return rounded(period.relative_time(meas(s, d)).select("source_id", "frame", "band", "rel_time"), "rel_time")
@@ -664,7 +683,9 @@ def set03(s, d):
     """The dataset after new rows for stored ids (label below 3) and rows with new ids (label 3)."""
     path, p = dataset(s, d), field_points(s, d)
     new = catalogue_rows(p.where("label < 3"), v="label + 100").unionByName(catalogue_rows(p.where("label = 3"), "vec_id + 1000000"))
-    catalogue.upsert(s, new, path)
+    incoming = fresh_path(s, "incoming")
+    new.write.parquet(incoming)
+    catalogue.upsert(s, s.read.parquet(incoming), path)
     return catalogue.read(s, path).select(vec_of().alias("vec_id"), F.col("v_jkc_mag").cast("double").alias("v"))
 
 
