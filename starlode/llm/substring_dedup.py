@@ -49,7 +49,7 @@ class Settings:
     extend: int = 48
     min_chain: int = 12
     chunk: int = 1 << 20
-    bucket: int = 1 << 22
+    bucket: int = 1 << 21
     stride: int = 8
     inside: bool = False
 

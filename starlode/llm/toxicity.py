@@ -8,6 +8,7 @@ the scoring tasks receive.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,7 +125,8 @@ def train(examples: DataFrame, settings: Settings) -> Model:
         for batch in batches:
             for label, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 seen.append((np.frombuffer(ids.as_py(), "<u4"), int(label > 0)))
-        seen.sort(key=lambda x: (x[1], len(x[0]), x[0].tobytes()))  # the order in which tasks deliver is not fixed
+        # The order in which tasks deliver is not fixed.
+        seen.sort(key=lambda x: (x[1], len(x[0]), hashlib.blake2b(x[0], digest_size=16).digest()))
         bias, index, weight = learn(seen, settings) if seen else (0.0, np.zeros(0), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([index.astype("<u4").tobytes()]), pa.array([weight.astype("<f8").tobytes()])], ["bias", "index", "weight"])
 
