@@ -741,7 +741,7 @@ def heads(s, d) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), F.when(kind == 0, native).when(kind == 1, server).otherwise(sparse).alias("header"))
 
 
-@query("fn12_exposure", f"WITH {HEAD} SELECT k, n::DOUBLE AS n_exp, e AS exptime, n * e AS total_exptime FROM heads")
+@query("fn12_exposure", f"WITH {HEAD} SELECT k, n::DOUBLE AS n_exp, e::DOUBLE AS exptime, (n * e)::DOUBLE AS total_exptime FROM heads")
 def fn12(s, d):
     from .functions import headers
 
