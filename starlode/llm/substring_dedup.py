@@ -631,7 +631,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     both = docs.join(lists, (F.col("doc_id") == F.col("__id")) & (F.crc32("text") == F.col("__tag")), "left").drop("__id", "__tag")
 
     def run(batches):
-        for batch in batches:
+        for batch in (few for b in batches for few in V.slices(b)):
             at = batch.schema.get_field_index("text")
             spans = batch.column(batch.num_columns - 1)
             keep, columns = np.ones(batch.num_rows, bool), list(batch.columns)[:-1]
