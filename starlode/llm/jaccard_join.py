@@ -12,8 +12,9 @@ Documents with equal sets of shingles are one class; classes are joined exactly:
    set walks the tree once for all others: paths share the overlap counted so far, and a
    subtree ends as soon as its missing or remaining shingles exclude the needed overlap.
    Pairs that are connected already are not compared.
-3. Groups of over ``block`` sets are split by hash. After the blocks' own joins, the
-   group's sets outside its largest component walk the trees of all blocks, so no pair of
+3. Groups of over ``block`` sets are split by a hash of set and group, so sets that share many
+   shingles meet others in each of their groups. After the blocks' own joins, the group's
+   sets outside its largest component walk the trees of all blocks, so no pair of
    different components stays uncompared.
 
 Nothing is capped: a group of any size is dealt out in blocks of bounded size.
@@ -283,7 +284,7 @@ def components_of(spark: SparkSession, docs: DataFrame, settings: Settings = Set
     wanted = table_of(met.select("rep").distinct())
     sets = scratch.keep(sets_of(docs, wanted, s), "sets", "lz4")
     sizes = met.groupBy("g").agg(F.count("*").alias("size"))
-    dealt = met.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / s.block)).cast("int"))
+    dealt = met.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("rep", "g"), F.ceil(F.col("size") / s.block)).cast("int"))
     own = dealt.join(sets, "rep").select("g", "block", F.lit(0).alias("part"), F.col("rep").alias("doc_id"), F.col("rep").alias("label"), F.lit(True).alias("query"), F.lit(True).alias("base"), "shingles")
     edges = scratch.keep(group_links(own, s), "edges")
     roots = components(spark, edges, scratch, "within")
