@@ -1,22 +1,23 @@
 """Byte-level BPE by a shuffle of distinct words, and decoding by the token-byte table.
 
-1. Groups of consecutive documents become their distinct pre-tokens (word, group, number
-   in the group) and streams, one for each block of documents: the numbers of all its
-   pre-tokens in order, which are their positions.
-2. The words are shuffled by value, so all groups' copies of a word stand together; it is
-   encoded once and its ids go to every group that has it. A word occurs once in a group
-   at most, so no word, however frequent, makes a task much larger than others.
+1. Groups of consecutive documents become their distinct pre-tokens and streams: for each
+   block of documents the numbers of all its pre-tokens in order, which are their positions.
+2. A group sends its words in one blob for each bucket of their hashes, so all groups'
+   copies of a word stand together; it is encoded once and its ids go back to every group
+   that has it. A word occurs once in a group at most, so no word, however frequent, makes a
+   task much larger than others. Streams go with their group.
 3. Ids and streams of a group meet, and each document's ids follow from its positions.
 
-Groups are the same each time the input is scanned; ``docs`` has to be such an input (a
-table's scan). Groups whose words and ids don't fit raise an error.
+Texts are read and split once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as V
+from .common import labels
 
-#: Bytes of text in a block; a group takes no further block beyond this many words.
-BLOCK, WORDS = 4 << 20, 400_000
-#: Streams stand behind the words of their group.
-STREAM = 1 << 30
+#: Bytes of text in a block; a group takes no further block beyond this many words; words of a bucket, about.
+BLOCK, WORDS, BUCKET = 4 << 20, 400_000, 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -52,73 +52,117 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(table(path))}, special_tokens={})
 
 
-def blocks(docs: DataFrame, want: str) -> DataFrame:
-    """(at, data): for "words" each group's distinct pre-tokens, for "streams" its blocks.
+SENT = "label int, bucket int, team long, home int, own boolean, data binary"
+KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
-    ``at`` holds the group (20 bits of the scan's partition, 12 of the group in it) and, in
-    31 bits, the word's number or, from STREAM on, that of the block.
-    """
+
+def _blob(*columns: np.ndarray, raw: bytes) -> bytes:
+    head = V.pack(*columns)
+    return struct.pack("<I", len(head)) + head + raw
+
+
+def _parts(blob: bytes) -> tuple[list[np.ndarray], memoryview]:
+    (n,) = struct.unpack_from("<I", blob)
+    return V.unpack(blob[4 : 4 + n]), memoryview(blob)[4 + n :]
+
+
+def groups(docs: DataFrame, buckets: int, places: list[int]) -> DataFrame:
+    """Rows SENT: a group's words by bucket (sizes, numbers, bytes), and its ``own`` streams; ``label`` and ``home`` name the partitions of bucket and group."""
 
     def run(batches):
-        made, known, at = 0, {}, 0
+        from pyspark import TaskContext
+
+        part, made, known, streams = TaskContext.get().partitionId(), 0, {}, []
+
+        def flush():
+            nonlocal made, known, streams
+            team, home = (part << 24) + made, places[(3 * part + made) % len(places)]
+            words = pa.array(list(known), pa.string())
+            bucket = ((V.string_hashes(words) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            data, offsets = V.text_bytes(words.take(pa.array(order)))
+            out = [(places[team % len(places)], -1, team, home, True, s) for s in streams]
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                i, j = int(edge[b]), int(edge[b + 1])
+                out.append((places[b % len(places)], b, team, home, False, _blob(np.diff(offsets[i : j + 1]), order[i:j], raw=data[offsets[i] : offsets[j]].tobytes())))
+            made, known, streams = made + 1, {}, []
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 64]), KINDS)], ["label", "bucket", "team", "home", "own", "data"])
+
         for batch in batches:
-            for part in V.slices(batch, limit=BLOCK):
+            for few in V.slices(batch, limit=BLOCK):
                 if len(known) > WORDS:
-                    made, known, at = made + 1, {}, 0
-                if made >= 1 << 12:
-                    raise ValueError("over 4096 groups in one partition; scan the input in smaller ones")
-                scan = part.column(2)[0].as_py()
-                if scan >= 1 << 20:
-                    raise ValueError("over 1,048,576 partitions in the scan; read the input in larger ones")
-                group = ((scan << 12) + made) << 31
-                array, first, _ = V.pieces(part.column(1).to_pylist(), True)
+                    yield from flush()
+                array, first, _ = V.pieces(few.column(1).to_pylist(), True)
                 coded = array.dictionary_encode()
-                words, before = coded.dictionary.to_pylist(), len(known)
-                number = np.array([known.setdefault(w, len(known)) for w in words], "<i4")
-                if want == "words":
-                    new = number >= before
-                    data, idx = coded.dictionary.filter(pa.array(new)).cast(pa.binary()), number[new]
-                else:
-                    order = number[coded.indices.to_numpy(zero_copy_only=False)]
-                    planes = np.ascontiguousarray(order.view(np.uint8).reshape(-1, 4).T)  # like bytes of the numbers together
-                    ids = part.column(0)
-                    valid = ids.is_valid().to_numpy(zero_copy_only=False)
-                    head = np.array([len(known), part.num_rows, len(order)], "<i8").tobytes()
-                    blob = head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + planes.tobytes()
-                    data, idx = pa.array([zstandard.compress(blob, 9)], pa.binary()), np.array([STREAM + at], np.int32)
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(group + idx.astype(np.int64)), data], ["at", "data"])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    return plain.mapInArrow(run, "at long, data binary")
-
-
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(at, data): the ids of each word (16 bits each), encoded once for all groups that stand together."""
+                number = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], "<i4")
+                order = number[coded.indices.to_numpy(zero_copy_only=False)]
+                planes = np.ascontiguousarray(order.view(np.uint8).reshape(-1, 4).T)  # like bytes of the numbers together
+                ids = few.column(0)
+                valid = ids.is_valid().to_numpy(zero_copy_only=False)
+                head = np.array([len(known), few.num_rows, len(order)], "<i8").tobytes()
+                streams.append(zstandard.compress(head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + planes.tobytes(), 5))
+        if streams:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SENT)
+
+
+def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(home, team, own, data): for each group its words' ids by bucket (numbers, sizes, 16-bit ids), and its streams as they are. A word is encoded once for all groups."""
 
     def run(batches):
         encode = encoding(path, pattern)._core_bpe.encode_single_piece
-        last, got = None, b""
+        now, held = None, []
+
+        def flush():
+            parts = [_parts(h[2]) for h in held]
+            sizes = np.concatenate([p[0][0] for p in parts])
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(p[1] for p in parts))])
+            coded = words.dictionary_encode()
+            ids = list(map(encode, coded.dictionary.to_pylist()))
+            many = np.fromiter(map(len, ids), np.int64, len(ids))
+            values = np.fromiter(chain.from_iterable(ids), "<u2", int(many.sum()))
+            which, begin, at, rows = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(many) - many, 0, []
+            for (home, team, _), (columns, _) in zip(held, parts):
+                own = which[at : at + len(columns[0])]
+                at += len(own)
+                rows.append((home, team, False, _blob(columns[1], many[own], raw=V.gather(own, many, values, begin).tobytes())))
+            held.clear()
+            return rows
+
+        def out(rows):
+            for i in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256]), KINDS[3:4] + KINDS[2:3] + KINDS[4:])], ["home", "team", "own", "data"])
+
         for batch in batches:
-            coded = batch.column(1).dictionary_encode()
-            ids = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:
-                    last, got = word, np.array(encode(word), "<u2").tobytes()
-                ids.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()).take(coded.indices)], ["at", "data"])
+            passed = []
+            for bucket, team, home, own, data in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                if own:
+                    passed.append((home, team, True, data))
+                    continue
+                if bucket != now:
+                    if held:
+                        yield from out(flush())
+                    now = bucket
+                held.append((home, team, data))
+            yield from out(passed)
+        if held:
+            yield from out(flush())
 
-    return words.repartition("data").sortWithinPartitions("data").mapInArrow(run, "at long, data binary")
+    return sent.repartition("label").sortWithinPartitions("label", "bucket", "team").mapInArrow(run, "home int, team long, own boolean, data binary")
 
 
-def assemble(parts: DataFrame) -> DataFrame:
-    """(doc_id, ids): every document's ids, little-endian 16-bit; the ids of a group's words stand before its streams."""
+def assemble(answered: DataFrame) -> DataFrame:
+    """(doc_id, ids): every document's ids, little-endian 16-bit; a group's ids stand before its streams."""
 
     def rebuild(stream: bytes, sizes: np.ndarray, begin: np.ndarray, values: np.ndarray):
         raw = zstandard.decompress(stream)
         n, rows, total = np.frombuffer(raw, "<i8", 3).tolist()
         if len(sizes) < n:
-            raise ValueError("a group's words and ids don't fit; is the input the same at every scan?")
+            raise ValueError("a group's words and streams don't fit")
         at = 24
         first = np.frombuffer(raw, "<i8", rows + 1, at)
         at += 8 * (rows + 1)
@@ -134,29 +178,31 @@ def assemble(parts: DataFrame) -> DataFrame:
             data = [all_ids[edge[d] : edge[d + 1]].tobytes() for d in range(i, j)]
             yield pa.RecordBatch.from_arrays([pa.array(docs[i:j], mask=~valid[i:j]), pa.array(data, pa.binary())], ["doc_id", "ids"])
 
+    def known(answers):
+        numbers, sizes, values = [], [], []
+        for a in answers:
+            (number, size), raw = _parts(a)
+            numbers.append(number)
+            sizes.append(size)
+            values.append(raw)
+        number, size = (np.concatenate([*c, np.zeros(0, np.int64)]) for c in (numbers, sizes))
+        place = np.argsort(number)
+        return size[place], (np.cumsum(size) - size)[place], np.frombuffer(b"".join(values), "<u2")
+
     def run(batches):
-        now, sizes, values, ready = None, [], [], None
+        now, answers, ready = None, [], None
         for batch in batches:
-            at, data = batch.column(0).to_numpy(), batch.column(1)
-            group, idx = at >> 31, at & ((1 << 31) - 1)
-            edge = [0, *(np.flatnonzero((group[1:] != group[:-1]) | ((idx[1:] >= STREAM) & (idx[:-1] < STREAM))) + 1).tolist(), len(group)]
-            for i, j in zip(edge, edge[1:]):
-                if i == j:
-                    continue
-                if group[i] != now:
-                    now, sizes, values, ready = int(group[i]), [], [], None
-                if idx[i] < STREAM:
-                    flat, offsets = V.text_bytes(data.slice(i, j - i))
-                    sizes.append(np.diff(offsets) // 2)
-                    values.append(flat.tobytes())
+            for team, own, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if team != now:
+                    now, answers, ready = team, [], None
+                if not own:
+                    answers.append(data)
                     continue
                 if ready is None:
-                    size = np.concatenate([*sizes, np.zeros(0, np.int64)])
-                    ready = size, np.cumsum(size) - size, np.frombuffer(b"".join(values), "<u2")
-                for k in range(i, j):
-                    yield from rebuild(data[k].as_py(), *ready)
+                    ready, answers = known(answers), []
+                yield from rebuild(data, *ready)
 
-    return parts.repartition(F.shiftright("at", 31)).sortWithinPartitions("at").mapInArrow(run, "doc_id long, ids binary")
+    return answered.repartition("home").sortWithinPartitions("home", "team", "own").mapInArrow(run, "doc_id long, ids binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -165,7 +211,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null and empty texts have no ids; rows with one id or none give a row each. Other
     columns are ignored. A vocabulary of over 65,536 tokens raises an error.
     """
-    return assemble(encode_words(blocks(docs, "words"), path, pattern).union(blocks(docs, "streams")))
+    places = labels(docs.sparkSession)
+    # As many buckets as partitions, or several for each where they would be large; about one distinct word in 50 bytes.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = len(places) * max(1, -(-size // (50 * BUCKET * len(places))))
+    return assemble(encode_words(groups(docs, buckets, places), path, pattern))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

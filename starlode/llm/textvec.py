@@ -159,6 +159,24 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray |
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(SEED_2)), starts, ends, first
 
 
+def string_hashes(column: pa.Array) -> np.ndarray:
+    """A hash of each string's bytes; equal strings have equal hashes."""
+    data, offsets = text_bytes(column)
+    up, down = _powers()
+    out, i = np.zeros(len(column), np.uint64), 0
+    while i < len(column):
+        j = max(int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1, i + 1)
+        own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if len(own) > SLICE_BYTES:  # one string of that length
+            out[i] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little")
+        else:
+            prefix = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], out=prefix[1:])
+            out[i:j] = mix((prefix[at[1:]] - prefix[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(SEED_2))
+        i = j
+    return out
+
+
 def join_hash(*parts: np.ndarray) -> np.ndarray:
     """A hash of an ordered tuple of hashes, elementwise."""
     out = np.full(len(parts[0]), SEED_3, np.uint64)
