@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ def nearest_far(rest: DataFrame, cat: DataFrame, best) -> DataFrame:
     """
     spark = rest.sparkSession
     ra, dec = pixel_centres()
-    centres = F.broadcast(spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec))], "__q int, __qra double, __qdec double"))
+    table = pa.table({"__q": pa.array(range(len(ra)), pa.int32()), "__qra": ra, "__qdec": dec})
+    centres = F.broadcast(spark.createDataFrame(table))
     rest, cat = with_pixel(rest, "__p"), with_pixel(cat, "__q", "cat_ra", "cat_dec")
     from_ = rest.select("__p").distinct().join(centres.select(F.col("__q").alias("__p"), F.col("__qra").alias("__pra"), F.col("__qdec").alias("__pdec")), "__p")
     to = F.broadcast(cat.select("__q").distinct().join(centres, "__q"))

@@ -689,6 +689,46 @@ def set03(s, d):
     return catalogue.read(s, path).select(vec_of().alias("vec_id"), F.col("v_jkc_mag").cast("double").alias("v"))
 
 
+def archive_tables(s, d) -> tuple[DataFrame, DataFrame]:
+    """Sources with G magnitudes, and synthetic photometry of those with an even label."""
+    p = field_points(s, d)
+    rows = catalogue_rows(p).join(catalogue_rows(p, v="label + 10").select("source_id", F.col("v_jkc_mag").alias("phot_g_mean_mag")), "source_id").drop("v_jkc_mag")
+    return rows, catalogue_rows(p.where("label % 2 = 0"), v="label + 11").select("source_id", "v_jkc_mag")
+
+
+@query("src12_remote_cone", f"SELECT vec_id, label + 10.0::DOUBLE AS g, CASE WHEN label % 2 = 0 THEN label + 11.0::DOUBLE END AS v FROM field WHERE {SEP.format(a0=120.0, d0=10.0, a1='ra', d1='dec')} <= 3 AND label + 10 < 17", "sky field")
+def src12(s, d):
+    """The archive's cone query over local tables."""
+    out = catalogue.remote_cone(*archive_tables(s, d), 120.0, 10.0, 3.0, 17.0)
+    return out.select(vec_of().alias("vec_id"), F.col("phot_g_mean_mag").cast("double").alias("g"), F.col("v_jkc_mag").cast("double").alias("v"))
+
+
+@query("src13_region", f"SELECT vec_id, label + 11.0::DOUBLE AS v FROM field WHERE {SEP.format(a0=121.0, d0=9.0, a1='ra', d1='dec')} <= 4 AND label % 2 = 0 AND label + 11 < 17.5", "sky field")
+def src13(s, d):
+    out = catalogue.region(*archive_tables(s, d), 121.0, 9.0, 4.0)
+    return out.select(vec_of().alias("vec_id"), F.col("v_jkc_mag").cast("double").alias("v"))
+
+
+TILES = " OR ".join(f"{SEP.format(a0=a, d0=b, a1='ra', d1='dec')} <= {1.5 / 2 * 2**0.5 + 0.1}" for a, b in sky.tile_centres(120.0, 10.0, 1.5, 2))
+
+
+@query("cat01_mosaic", f"SELECT vec_id FROM field WHERE {TILES}", "sky field")
+def cat01(s, d):
+    """Four overlapping tiles, each source once."""
+    path = dataset(s, d)
+    fetch = lambda ra, dec, r: catalogue.cone(s, path, ra, dec, r)
+    return catalogue.mosaic(fetch, 120.0, 10.0, 1.5, 2).select(vec_of().alias("vec_id"))
+
+
+@query("cat03_epoch_cone", f"""SELECT vec_id, round(pm - 360 * floor(pm / 360), 6) AS ra, round(dec - 50 * 10 / 3.6e6, 6) AS dec FROM (SELECT vec_id, dec, ra + 100 * 10 / 3.6e6 / greatest(cos(radians(dec)), 1e-8) AS pm FROM field WHERE {SEP.format(a0=120.0, d0=10.0, a1='ra', d1='dec')} <= 3)""", "sky field")
+def cat03(s, d):
+    """A cone of a dataset with proper motions, at another epoch."""
+    path = fresh_path(s, "moving")
+    catalogue.write_dataset(catalogue_rows(field_points(s, d)).withColumns({"pmra": F.lit(100.0), "pmdec": F.lit(-50.0)}), path)
+    out = catalogue.cone(s, path, 120.0, 10.0, 3.0, epoch=2026.0)
+    return rounded(out.select(vec_of().alias("vec_id"), "ra", "dec"), "ra", "dec")
+
+
 @query("snk05_manifest", "SELECT count(*) AS n, count(label) AS n_v FROM field", "sky field")
 def snk05(s, d):
     """Rows and known magnitudes by the manifest of the written dataset."""

@@ -1,9 +1,15 @@
-"""Light curves of many targets at once."""
+"""Light curves of many targets, long series, streams and a project's catalogue."""
+
+import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from starlode.operators import ensemble, period
+from starlode.plans import stages
+from starlode.plans.project import Project, Target
+from starlode.sources import catalogue
+from starlode.streaming import incremental
 
 
 def test_many_lightcurves_equal_one_by_one(spark):
@@ -25,3 +31,36 @@ def test_running_median_of_one_series(spark):
     tiles = np.array_split(np.sort(x), 5)
     assert [(r["x"], r["y"], r["n"]) for r in got] == [(np.median(t), 2 * np.median(t), len(t)) for t in tiles]
     assert period.running_median(spark.createDataFrame([(1.0, 1.0)], "x double, y double"), "x", "y").count() == 0
+
+
+def test_late_rows_of_a_stream_are_left(spark, tmp_path):
+    day = lambda n: datetime.datetime(2026, 7, n, 12)
+    for name, rows in (("a", [(day(1), "G", 21.0), (day(1), "G", 23.0), (day(2), "R", 20.0)]), ("b", [(day(10), "G", 22.0)]), ("c", [(day(1), "G", 99.0), (day(9), "G", 24.0)]), ("d", [(day(20), "G", 1.0)])):
+        spark.createDataFrame(rows, "ts timestamp, band string, zp double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, band string, zp double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = incremental.windowed_zeropoints(stream).writeStream.format("memory").queryName("zeropoints").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "log")).start()
+    query.awaitTermination()
+    got = {(r["start"].day, r["band"]): (r["n"], r["zp"]) for r in spark.table("zeropoints").collect()}
+    assert got == {(1, "G"): (2, 22.0), (2, "R"): (1, 20.0), (9, "G"): (1, 24.0), (10, "G"): (1, 22.0)}
+
+
+def test_a_projects_catalogue_comes_from_the_dataset_that_covers_it(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    from starlode.functions import sky
+
+    p = spark.createDataFrame([(i, float(120 + x), float(10 + y), float(g)) for i, (x, y, g) in enumerate(zip(rng.uniform(-3, 3, 400), rng.uniform(-3, 3, 400), rng.uniform(9, 19, 400)))], "i long, ra double, dec double, phot_g_mean_mag double")
+    rows = sky.with_pixel(p, "pixel").withColumn("source_id", F.shiftleft(F.col("pixel").cast("long"), 49) + F.col("i")).drop("pixel", "i")
+    path = f"file://{tmp_path}/ds"
+    catalogue.write_dataset(rows, path)
+    fetched = lambda s, ra, dec, r: rows.limit(3)
+    near = Project(Target("x", 120.0, 10.0), [], f"file://{tmp_path}/a", half_size_deg=0.5, gmag_limit=17.0, catalogue_dataset=path, fetch=fetched)
+    far = Project(Target("x", 300.0, -60.0), [], f"file://{tmp_path}/b", half_size_deg=0.5, catalogue_dataset=path, fetch=fetched)
+    assert near.catalogue_backend_used(spark) == "local" and far.catalogue_backend_used(spark) == "fetch"
+    r = near.catalogue_radius_deg
+    want = [x for x in rows.collect() if sky.separation(120.0, 10.0, x["ra"], x["dec"]) <= r and x["phot_g_mean_mag"] < 17]
+    assert near.catalogue(spark).count() == len(want) > 0 and far.catalogue(spark).count() == 3
+    rows.limit(1).write.mode("overwrite").parquet(near.catalogue_path)
+    assert near.catalogue(spark).count() == 1 and near.catalogue(spark, overwrite=True).count() == len(want)
+    assert near.slug == "x" and Project(Target("V* AB", 1, 2), [], "w").slug == "v__ab"
+    arrays = stages.catalogue_arrays(near, spark)
+    assert len(arrays["source_id"]) == len(want) and (np.diff(arrays["source_id"]) > 0).all() and np.isnan(arrays["mag"]).all()
