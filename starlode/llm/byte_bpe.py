@@ -56,18 +56,19 @@ SENT = "label int, bucket int, team long, home int, own boolean, data binary"
 KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
 
-def _blob(*columns: np.ndarray, raw: bytes) -> bytes:
-    head = V.pack(*columns)
-    return struct.pack("<I", len(head)) + head + raw
+def _blob(sizes: np.ndarray, steps: np.ndarray, raw: bytes) -> bytes:
+    """Words of a group: sizes, the steps from each one's number to the next, and what they hold."""
+    head = V.pack(sizes, steps)
+    return struct.pack("<I", len(head)) + head + zstandard.compress(raw, 2)
 
 
-def _parts(blob: bytes) -> tuple[list[np.ndarray], memoryview]:
+def _parts(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     (n,) = struct.unpack_from("<I", blob)
-    return V.unpack(blob[4 : 4 + n]), memoryview(blob)[4 + n :]
+    return *V.unpack(blob[4 : 4 + n]), zstandard.decompress(blob[4 + n :])
 
 
 def groups(docs: DataFrame, buckets: int, places: list[int]) -> DataFrame:
-    """Rows SENT: a group's words by bucket (sizes, numbers, bytes), and its ``own`` streams; ``label`` and ``home`` name the partitions of bucket and group."""
+    """Rows SENT: a group's words by bucket, and its ``own`` streams; ``label`` and ``home`` name the partitions of bucket and group."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -85,7 +86,7 @@ def groups(docs: DataFrame, buckets: int, places: list[int]) -> DataFrame:
             out = [(places[team % len(places)], -1, team, home, True, s) for s in streams]
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 i, j = int(edge[b]), int(edge[b + 1])
-                out.append((places[b % len(places)], b, team, home, False, _blob(np.diff(offsets[i : j + 1]), order[i:j], raw=data[offsets[i] : offsets[j]].tobytes())))
+                out.append((places[b % len(places)], b, team, home, False, _blob(np.diff(offsets[i : j + 1]), np.diff(order[i:j], prepend=0), data[offsets[i] : offsets[j]].tobytes())))
             made, known, streams = made + 1, {}, []
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 64]), KINDS)], ["label", "bucket", "team", "home", "own", "data"])
@@ -102,7 +103,7 @@ def groups(docs: DataFrame, buckets: int, places: list[int]) -> DataFrame:
                 ids = few.column(0)
                 valid = ids.is_valid().to_numpy(zero_copy_only=False)
                 head = np.array([len(known), few.num_rows, len(order)], "<i8").tobytes()
-                streams.append(zstandard.compress(head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + planes.tobytes(), 5))
+                streams.append(zstandard.compress(head + first.astype("<i8").tobytes() + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + planes.tobytes(), 9))
         if streams:
             yield from flush()
 
@@ -110,7 +111,7 @@ def groups(docs: DataFrame, buckets: int, places: list[int]) -> DataFrame:
 
 
 def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(home, team, own, data): for each group its words' ids by bucket (numbers, sizes, 16-bit ids), and its streams as they are. A word is encoded once for all groups."""
+    """(home, team, own, data): for each group its words' ids by bucket (16 bits each), and its streams as they are. A word is encoded once for all groups."""
 
     def run(batches):
         encode = encoding(path, pattern)._core_bpe.encode_single_piece
@@ -118,18 +119,18 @@ def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def flush():
             parts = [_parts(h[2]) for h in held]
-            sizes = np.concatenate([p[0][0] for p in parts])
+            sizes = np.concatenate([p[0] for p in parts])
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(p[1] for p in parts))])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(p[2] for p in parts))])
             coded = words.dictionary_encode()
             ids = list(map(encode, coded.dictionary.to_pylist()))
             many = np.fromiter(map(len, ids), np.int64, len(ids))
             values = np.fromiter(chain.from_iterable(ids), "<u2", int(many.sum()))
             which, begin, at, rows = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(many) - many, 0, []
-            for (home, team, _), (columns, _) in zip(held, parts):
-                own = which[at : at + len(columns[0])]
+            for (home, team, _), (_, steps, _) in zip(held, parts):
+                own = which[at : at + len(steps)]
                 at += len(own)
-                rows.append((home, team, False, _blob(columns[1], many[own], raw=V.gather(own, many, values, begin).tobytes())))
+                rows.append((home, team, False, _blob(many[own], steps, V.gather(own, many, values, begin).tobytes())))
             held.clear()
             return rows
 
@@ -181,8 +182,8 @@ def assemble(answered: DataFrame) -> DataFrame:
     def known(answers):
         numbers, sizes, values = [], [], []
         for a in answers:
-            (number, size), raw = _parts(a)
-            numbers.append(number)
+            size, steps, raw = _parts(a)
+            numbers.append(np.cumsum(steps))
             sizes.append(size)
             values.append(raw)
         number, size = (np.concatenate([*c, np.zeros(0, np.int64)]) for c in (numbers, sizes))
