@@ -542,15 +542,24 @@ def join07(s, d):
     return rounded(ensemble.with_frames(m, quality, "zp").groupBy("frame").agg(F.count("*").alias("n"), F.avg("zp").alias("zp")), "zp")
 
 
-def dataset(s, d) -> str:
-    path = fresh_path(s, "dataset")
-    catalogue.write_dataset(catalogue_rows(field_points(s, d)), path)
-    return path
+_datasets: dict[tuple[str, str], str] = {}
+
+
+def dataset(s, d, own: bool = False) -> str:
+    """The field as a dataset, written once a session; ``own``: a copy that the caller may change."""
+    key = (s.sparkContext.applicationId, d)
+    if own or key not in _datasets:
+        path = fresh_path(s, "dataset")
+        catalogue.write_dataset(catalogue_rows(field_points(s, d)), path)
+        if own:
+            return path
+        _datasets[key] = path
+    return _datasets[key]
 
 
 @query("cat05_cone", f"SELECT vec_id, round(sep, 6) AS sep FROM (SELECT vec_id, label, {SEP.format(a0=120.0, d0=10.0, a1='ra', d1='dec')} AS sep FROM field) WHERE sep <= 3 AND label < 8", "sky field")
 def cat05(s, d):
-    """A cone of the partitioned dataset that is written first."""
+    """A cone of the partitioned dataset, which the session's first query of it writes."""
     p = catalogue.cone(s, dataset(s, d), 120.0, 10.0, 3.0, vmag_limit=8.0)
     return rounded(p.select(vec_of().alias("vec_id"), sky.separation_deg(120.0, 10.0, "ra", "dec").alias("sep")), "sep")
 
@@ -681,7 +690,7 @@ def srt06(s, d):
 @query("set03_upsert", """SELECT vec_id, CASE WHEN label < 3 THEN label + 100 ELSE label END::DOUBLE AS v FROM field UNION ALL SELECT vec_id + 1000000, label::DOUBLE FROM field WHERE label = 3""", "sky field")
 def set03(s, d):
     """The dataset after new rows for stored ids (label below 3) and rows with new ids (label 3)."""
-    path, p = dataset(s, d), field_points(s, d)
+    path, p = dataset(s, d, own=True), field_points(s, d)
     new = catalogue_rows(p.where("label < 3"), v="label + 100").unionByName(catalogue_rows(p.where("label = 3"), "vec_id + 1000000"))
     incoming = fresh_path(s, "incoming")
     new.write.parquet(incoming)
