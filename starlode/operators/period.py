@@ -109,7 +109,7 @@ def running_median(points: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()
         w = W.partitionBy(*keys)
         rows = rows.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(x, y, *order)) - 1)
     else:
-        rows = numbered(rows, "__i", x, y, *order).join(F.broadcast(rows.agg(F.count("*").alias("__n"))), how="cross")
+        rows = numbered(rows.select(*dict.fromkeys((x, y, *order))), "__i", x, y, *order, total="__n")
     rows = rows.where("__n > 20")
     tiles = F.greatest(F.floor(F.col("__n") / 20), F.lit(4))
     big, size = F.col("__n") % tiles, F.floor(F.col("__n") / tiles)
